@@ -32,7 +32,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     these names are replaced. No shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM `__text`)")
+    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM `__text`)")
     out = docs.withColumn("__text", text).withColumn("__trimmed", trimmed)
     out = out.withColumn("__words", F.when(F.col("__trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__trimmed", f"[{SPACE}]+")))
     out = out.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != ""))
