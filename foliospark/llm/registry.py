@@ -11,6 +11,7 @@ from . import quality
 from .bpe import encode_decode
 from .chat import format_conversations
 from .common import table
+from .packing import pack
 from .secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", r"'\\### Assistant: </turn> ok' AS text")
@@ -58,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op3_byte_bpe": op3_byte_bpe,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_rules": op8_quality_rules,
+        "op9_packing": op9_packing,
         "op10_chat_format": op10_chat_format,
     }
 
