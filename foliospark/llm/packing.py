@@ -30,7 +30,7 @@ SEQUENCE_TOKENS = 2048
 #: Tokens in a unit of the histogram: rests are rounded up to it when patterns are made.
 UNIT = 8
 #: Entries of each dictionary; a full one is emptied.
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 1_000_000
 _SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
 
 
