@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import pii, quality
 from .bpe import encode_decode
 from .chat import format_conversations
 from .common import table
@@ -22,6 +23,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.spans_text(F.filter("spans", lambda x: x["kind"] < 4))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(base, 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"), "n_term")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_text=False)
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
@@ -61,6 +68,7 @@ FROM given GROUP BY conv_id
 def queries() -> dict[str, Query]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_personal_data": op5_personal_data,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
