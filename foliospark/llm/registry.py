@@ -14,6 +14,7 @@ from .chat import format_conversations
 from .common import table
 from .packing import pack
 from .secrets import scan_secrets
+from .substring import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,24 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50),
+wins AS (SELECT s.doc_id, s.i, md5(array_to_string(list_slice(d.words, s.i, s.i + 49), ' ')) AS w FROM starts s JOIN d USING (doc_id)),
+least AS (SELECT w, min(doc_id) AS lo FROM wins GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM wins JOIN least USING (w) WHERE lo < doc_id),
+gone_lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS k FROM pos p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN gone_lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.sanitize(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = pii.spans_text(F.filter("spans", lambda x: x["kind"] < 4))
@@ -68,6 +87,7 @@ FROM given GROUP BY conv_id
 def queries() -> dict[str, Query]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_personal_data": op5_personal_data,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_rules": op8_quality_rules,
@@ -77,4 +97,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL}
