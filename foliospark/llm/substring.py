@@ -31,7 +31,7 @@ WINDOW_WORDS = 50
 NODE_WORDS = 10
 WORD_ENTRIES = 500_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
@@ -51,7 +51,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and _UNBASE**i modulo 2**64 for i up to n."""
     if not _powers or len(_powers[0]) <= n:
         size = max(1024, 2 * n)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size, b, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (_BASE, _UNBASE)]
+        _powers[:] = [np.cumprod(np.array([1] + [b] * size, dtype=np.uint64), dtype=np.uint64) for b in (_BASE, _UNBASE)]
     return _powers[0], _powers[1]
 
 
