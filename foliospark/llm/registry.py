@@ -12,6 +12,7 @@ from . import pii, quality
 from .bpe import encode_decode
 from .chat import format_conversations
 from .common import table
+from .neardup import near_duplicates
 from .packing import pack
 from .secrets import scan_secrets
 from .substring import remove_repeats
@@ -19,6 +20,24 @@ from .substring import remove_repeats
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) END) AS s FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+sym AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+walk AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT w.x, s.y FROM walk w JOIN sym s ON w.y = s.x),
+comp AS (SELECT x, min(y) AS c FROM walk GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d JOIN comp ON d.doc_id = x LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -86,6 +105,7 @@ FROM given GROUP BY conv_id
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_personal_data": op5_personal_data,
@@ -97,4 +117,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL}
