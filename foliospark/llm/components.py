@@ -12,12 +12,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(materialize(least, "least"), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -27,13 +27,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Ids are long and not null; loops and repeated edges do no harm. A node
     that only loops is not returned. Each round is written to the shared
-    folder, so that the lineage stays short.
+    folder, so that the lineage stays short and the least neighbours are joined
+    as a table: Spark can then split a node of very many neighbours.
     """
     flat = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     flat = materialize(flat, "edges")
     state = None
     for _ in range(max_rounds):
-        flat = materialize(_small_star(_large_star(flat).distinct()).distinct(), "edges")
+        starred = materialize(_large_star(flat).distinct(), "edges")
+        flat = materialize(_small_star(starred).distinct(), "edges")
         now = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -153,19 +153,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = M
     band = f"explode(transform(sequence(0, {REGISTERS // BAND - 1}), b -> xxhash64(b, substring(registers, b * {2 * BAND} + 1, {2 * BAND}))))"
     rows = nodes.select(F.expr(band).alias("bucket"), "node")
     hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
-    pairs = rows.join(hubs, "bucket").where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    # Stored first: between two stored tables Spark can split a bucket that very many nodes share.
+    pairs = rows.join(materialize(hubs, "hubs"), "bucket").where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     side = lambda key, tag: nodes.select(F.col("node").alias(key), F.col("n").alias(f"n{tag}"), F.col("registers").alias(f"r{tag}"))
     near = _similar(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "na", "nb", "ra", "rb"), FLOOR)
     groups = materialize(connected_components(near), "groups")
 
     blocks = groups.groupBy(F.col("component").alias("group")).agg(F.greatest(F.lit(1), F.when(F.count("*") > 2 * block, F.ceil(F.count("*") / block)).otherwise(1)).cast("int").alias("blocks"))
-    placed = groups.withColumnRenamed("component", "group").join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = groups.withColumnRenamed("component", "group").join(materialize(blocks, "blocks"), "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.join(texts, placed["node"] == texts["doc_id"]).select("group", "node", "text", "own", F.explode(F.expr("IF(blocks = 1, array(0), filter(sequence(0, blocks - 1), o -> o <> own))")).alias("other"))
     members = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
     members = members.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
     links = connected_components(_confirm(members, size, percent))
 
-    classes = least.join(links, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
+    classes = materialize(least.join(links, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id")), "classes")
     found = sketches.drop("registers").join(classes, "mark", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
