@@ -40,6 +40,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: they are whole documents, some of them very long.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the memory of Python workers low where rows are documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, so that further columns of any name cannot clash; null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def fence(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Keep filters on costly columns above them.
+
+    The optimizer would move such a filter below the projections that make the
+    column and repeat them there, inside lambdas once for each element. It does
+    not move filters below a nondeterministic projection, which these columns
+    are made to depend on.
+    """
+    out = df.withColumn("__fence", F.monotonically_increasing_id())
+    return out.withColumns({c: F.when(F.col("__fence") >= 0, F.col(c)) for c in columns}).drop("__fence")

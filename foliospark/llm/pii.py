@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, fence, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -91,7 +91,7 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = [F.expr(_spans(kind, k)) for k, kind in enumerate(KINDS)]
     kept = [f if kind == "email" else F.filter(f, _keeps(kind)) for kind, f in zip(KINDS, found)]
     out = out.withColumn("__base", F.when(sum((F.size(f"__m_{k}") for k in KINDS), F.lit(0)) > 0, F.array_sort(F.concat(*kept))).otherwise(F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>)")))
-    return out.drop("__digits", *(f"__m_{k}" for k in KINDS), *(f"__p_{k}" for k in KINDS))
+    return fence(out, ["__base"]).drop("__digits", *(f"__m_{k}" for k in KINDS), *(f"__p_{k}" for k in KINDS))
 
 
 #: Distinct context lines that must hold a term and an entity together before anything is concluded.
@@ -161,6 +161,7 @@ def sanitize(docs: DataFrame, min_lines: int = MIN_LINES, max_disclosure: float
       (acc, x) -> IF(x.start + 1 >= acc.at, struct(x.end + 1 AS at, concat(acc.made, substring(__text, acc.at, x.start + 1 - acc.at), element_at(array('<EMAIL>', '<IP>', '<CARD>', '<PHONE>', '<TERM>'), x.kind + 1)) AS made), struct(greatest(acc.at, x.end + 1) AS at, acc.made AS made)),
       acc -> concat(acc.made, substring(__text, acc.at)))"""
     out = out.withColumn("sanitized", F.when(F.size("spans") > 0, F.expr(masked)).otherwise(F.col("text")))
+    out = fence(out, ["spans", "sanitized", *(f"n_{k}" for k in (*KINDS, "term"))])
     return out.drop("__text", "__base", "__key", "__terms", "__pattern", "__m_term", "__p_term", "__more")
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fence
 
 #: Labelled rows that the list is fitted on at most, by order of a hash of their ids.
 MAX_LABELLED = 6000
@@ -55,6 +55,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "dup_line_share": _share("n_dup_lines", "__n_lines"),
         "repeat_share": _share("n_repeat_words", "n_words"),
     })
+    out = fence(out, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES[1:]])
     return out.drop("__text", "__trimmed", "__words", "__lines", "__windows", "__sorted", "__twice", "__n_lines")
 
 

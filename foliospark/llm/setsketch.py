@@ -17,7 +17,7 @@ import xxhash
 REGISTERS = 128
 BASE = 1.001
 RATE = 20.0
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 300_000
 _TOP = 65535
 
 
