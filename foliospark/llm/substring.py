@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, materialize
+from .common import keyed_texts, materialize, small_batches
 
 WINDOW_WORDS = 50
 NODE_WORDS = 10
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 300_000
 
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -129,12 +129,14 @@ def _nodes(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[p
 
 def repeated_nodes(texts: DataFrame, window: int, k: int) -> DataFrame:
     """(doc_id, marks) of documents with nodes that other documents have too; marks by position."""
-    nodes = texts.mapInArrow(lambda it: _nodes(it, window, k), "doc_id long, pos int, node long, before long, after long")
+    # Aggregates are stored before they are joined: between two stored tables
+    # Spark can split the partition of a node that very many documents have.
+    nodes = materialize(texts.select("doc_id", "text").mapInArrow(lambda it: _nodes(it, window, k), "doc_id long, pos int, node long, before long, after long"), "nodes")
     shared = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    found = materialize(nodes.join(shared, "node"), "nodes")
+    found = materialize(nodes.join(materialize(shared, "shared"), "node"), "repeated")
     degree = found.groupBy("node").agg(*(f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))), F.count("*").alias("n"))
     one = degree.select("node", *((F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}")) & (F.col(f"n_{c}") == F.col("n"))).alias(f"one_{c}") for c in ("before", "after")))
-    marked = found.join(one, "node").select("doc_id", F.struct("pos", "node", "least", "one_before", "one_after").alias("mark"))
+    marked = found.join(materialize(one, "degrees"), "node").select("doc_id", F.struct("pos", "node", "least", "one_before", "one_after").alias("mark"))
     return marked.groupBy("doc_id").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
 
 
@@ -180,7 +182,7 @@ def _result(text: str, words: list[bytes], removed: np.ndarray | None) -> tuple[
 _OUT = "n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WORDS, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WORDS, with_text: bool = True, carry: bool = False) -> DataFrame:
     """Remove every word in a window of words that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and (with_text) text: the
@@ -188,12 +190,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WO
     Windows are judged on the input. A null text has no words; texts shorter
     than the window, and rows without a doc_id, are kept; rows of one doc_id
     are the same document to each other and each gives a row; an empty table
-    gives an empty one; other columns are ignored.
+    gives an empty one. Other columns are ignored, or (carry) exactly the
+    columns of docs are returned, with text and n_chars as they now are.
     """
-    texts = keyed_texts(docs)
+    if carry:
+        small_batches(docs.sparkSession)
+        rest = F.struct([c for c in docs.columns if c != "text"])
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
+        with_text = True
+    else:
+        texts = keyed_texts(docs).withColumn("rest", F.struct("doc_id"))
+    rest_type = texts.schema["rest"].dataType.simpleString()
     marks = repeated_nodes(texts, window, k)
     by_key = texts.join(marks, "doc_id", "left")
-    parts = "doc_id long, text string, open boolean, n_words long, n_removed long, kept_sha256 string, starts array<int>, stops array<int>, at array<int>, hashes array<long>"
+    parts = f"rest {rest_type}, doc_id long, text string, open boolean, n_words long, n_removed long, kept_sha256 string, starts array<int>, stops array<int>, at array<int>, hashes array<long>"
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,13 +221,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WO
                 rows.append((key, text_kept if with_text or is_open else None, is_open, len(words), n, digest, starts.tolist(), stops.tolist(), at.tolist(), hashes.tolist()))
             cols = list(zip(*rows)) or [()] * 10
             types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "text", "open", "n_words", "n_removed", "kept_sha256", "starts", "stops", "at", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array(c, t) for c, t in zip(cols, types))], ["rest", "doc_id", "text", "open", "n_words", "n_removed", "kept_sha256", "starts", "stops", "at", "hashes"])
 
     state = materialize(by_key.mapInArrow(compact, parts), "paths")
     windows = state.where("open").select("doc_id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    hits = windows.join(least, "hash").where("least < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
-    opened = state.where("open").select("doc_id", "text", "starts", "stops").join(hits, "doc_id", "left")
+    hits = windows.join(materialize(least, "windows"), "hash").where("least < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
+    opened = state.where("open").select("rest", "doc_id", "text", "starts", "stops").join(hits, "doc_id", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,8 +245,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WO
                 rows.append((key, kept if with_text else None, len(words), n, digest))
             cols = list(zip(*rows)) or [()] * 5
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array(c, t) for c, t in zip(cols, types))], ["rest", "doc_id", "text", "n_words", "n_removed", "kept_sha256"])
 
-    done = state.where("NOT open").select("doc_id", "text", "n_words", "n_removed", "kept_sha256")
-    out = done.unionByName(opened.mapInArrow(finish, "doc_id long, text string, " + _OUT))
-    return out if with_text else out.drop("text")
+    done = state.where("NOT open").select("rest", "doc_id", "text", "n_words", "n_removed", "kept_sha256")
+    out = done.unionByName(opened.mapInArrow(finish, f"rest {rest_type}, doc_id long, text string, " + _OUT))
+    if carry:
+        return out.select([F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns])
+    return out.drop("rest") if with_text else out.drop("rest", "text")
