@@ -12,8 +12,10 @@ from . import pii, quality
 from .bpe import encode_decode
 from .chat import format_conversations
 from .common import table
+from .lm_score import score_texts
 from .neardup import near_duplicates
 from .packing import pack
+from .search import bm25_search
 from .secrets import scan_secrets
 from .substring import remove_repeats
 
@@ -38,6 +40,21 @@ FROM d JOIN comp ON d.doc_id = x LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_search(docs.where("doc_id % 20 = 0"), docs, k=10)
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS f FROM w GROUP BY ALL), dl AS (SELECT d.doc_id, count(t) AS n FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t), c AS (SELECT count(*) AS n, sum(n) / count(*) AS mean FROM dl),
+s AS (SELECT q.doc_id AS query_id, tf.doc_id, round(sum(ln(1 + (c.n - df.df + 0.5) / (df.df + 0.5)) * tf.f * 2.2e0 / (tf.f + 1.2e0 * (0.25e0 + 0.75e0 * dl.n / c.mean))), 6) AS score
+  FROM tf q JOIN tf ON q.t = tf.t JOIN df ON df.t = q.t JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN c WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -67,6 +84,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(base, 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"), "n_term")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_text=False)
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
@@ -106,9 +127,11 @@ FROM given GROUP BY conv_id
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
+        "op2_bm25_search": op2_bm25_search,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_personal_data": op5_personal_data,
+        "op6_lm_score": op6_lm_score,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
@@ -117,4 +140,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op2_bm25_search": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL}
