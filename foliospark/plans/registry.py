@@ -5,13 +5,380 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import geometry as g
+from ..functions import scores as s
+from ..functions import text as t
+from ..operators import boxes as bx
+from ..operators import curation as cu
+from ..operators import entities as en
+from ..operators import evaluation as ev
+from ..operators import routing as ro
+from ..schemas import label_table
+from . import inputs as i
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_W, _H = F.lit(i.WIDTH), F.lit(i.HEIGHT)
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Key-information extraction
+
+
+@query(f"WITH {i.LOGITS} SELECT vec_id, pred_id, round(score, 6) AS score FROM preds")
+def kie_softmax_argmax(spark, d):
+    p = s.softmax(F.col("logits"))
+    return i.logits(spark, d).withColumn("p", p).select("vec_id", s.argmax(F.col("p")).alias("pred_id"), F.round(F.array_max("p"), 6).alias("score"))
+
+
+@query(f"WITH {i.LOGITS}, first AS (SELECT image_id, token_idx // 3 AS word_id, pred_id, score, row_number() OVER (PARTITION BY image_id, token_idx // 3 ORDER BY token_idx) AS rn FROM preds WHERE vec_id % 7 <> 0) SELECT image_id, word_id, pred_id, round(score, 6) AS score FROM first WHERE rn = 1")
+def kie_first_subtoken(spark, d):
+    tokens = i.logits(spark, d).withColumn("word_id", F.when(F.col("vec_id") % 7 != 0, F.floor(F.col("token_idx") / 3).cast("int")))
+    return en.first_subtoken(en.score_tokens(tokens)).select("image_id", "word_id", "pred_id", F.round("score", 6).alias("score"))
+
+
+_WORDS = "words AS (SELECT image_id, b AS box_idx, CASE WHEN (image_id + b) % 5 = 0 THEN ' ' ELSE 'w' || b END AS text FROM (SELECT DISTINCT image_id FROM preds), range(6) r(b))"
+
+
+@query(
+    f"WITH {i.LOGITS}, {_WORDS}, valid AS (SELECT image_id, box_idx, row_number() OVER (PARTITION BY image_id ORDER BY box_idx) - 1 AS w FROM words WHERE trim(text) <> ''), "
+    "first AS (SELECT image_id, token_idx // 3 AS w, arg_min(pred_id, token_idx) AS pred_id, arg_min(score, token_idx) AS score FROM preds GROUP BY ALL) "
+    "SELECT words.image_id, CAST(words.box_idx AS INT) AS box_idx, words.text, CAST(coalesce(f.pred_id, 12) AS INT) AS pred_id, round(coalesce(f.score, 0), 6) AS score FROM words LEFT JOIN valid USING (image_id, box_idx) LEFT JOIN first f ON f.image_id = words.image_id AND f.w = valid.w"
+)
+def kie_word_left_default(spark, d):
+    scored = en.score_tokens(i.logits(spark, d).withColumn("word_id", F.floor(F.col("token_idx") / 3).cast("int")))
+    words = scored.select("image_id").distinct().withColumn("box_idx", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    words = words.withColumn("text", F.when((F.col("image_id") + F.col("box_idx")) % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("w"), "box_idx")))
+    return en.predictions_of_words(words, en.first_subtoken(scored)).select("image_id", "box_idx", "text", "pred_id", F.round("score", 6).alias("score"))
+
+
+_LABEL_VALUES = "lab(label_id, label) AS (VALUES (0, 'ADDR'), (1, 'ADDR_PREFIX'), (2, 'AMOUNT'), (3, 'AMOUNT_PREFIX'), (4, 'BILLID'), (5, 'BILLID_PREFIX'), (6, 'CASHIER'), (7, 'CASHIER_PREFIX'), (8, 'DATETIME'), (9, 'DATETIME_PREFIX'))"
+
+
+def _labelled(spark, d):
+    words = en.score_tokens(i.logits(spark, d)).select("image_id", F.col("token_idx").alias("idx"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("text"), "pred_id", "score")
+    return en.label_words(words, label_table(spark))
+
+
+@query(f"WITH {i.LOGITS}, {_LABEL_VALUES} SELECT image_id, token_idx AS idx, label, 't' || vec_id AS text, round(score, 6) AS score FROM (SELECT * EXCLUDE (label) FROM preds) JOIN lab ON pred_id = label_id WHERE score >= 0.5 AND label IN ('ADDR', 'DATETIME', 'AMOUNT')")
+def kie_entities_filter(spark, d):
+    return en.keep_entities(_labelled(spark, d)).select("image_id", "idx", "label", "text", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {i.LOGITS}, {_LABEL_VALUES} SELECT image_id, label, string_agg('t' || vec_id, ' ' ORDER BY token_idx) AS value, round(avg(score), 6) AS mean_score FROM (SELECT * EXCLUDE (label) FROM preds) JOIN lab ON pred_id = label_id WHERE score >= 0.5 AND NOT ends_with(label, '_PREFIX') GROUP BY ALL")
+def kie_extract(spark, d):
+    """Flagship: logits to joined fields with their mean confidence."""
+    kept = en.keep_entities(_labelled(spark, d), allowed=None)
+    return kept.groupBy("image_id", "label").agg(F.array_join(en.in_order(t.strip_text(F.col("text")), F.col("idx")), " ").alias("value"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query("SELECT conv_id AS image_id, role AS label, string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' ' ORDER BY turn) AS value FROM conversations WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY ALL")
+def kie_extract_joined(spark, d):
+    rows = i.table(spark, d, "conversations").select(F.col("conv_id").alias("image_id"), F.col("role").alias("label"), F.col("turn").alias("idx"), "text")
+    return en.joined_by_label(rows).select("image_id", "label", "value")
+
+
+@query(
+    f"WITH {i.LOGITS}, {_LABEL_VALUES} SELECT image_id, regexp_replace(label, '_PREFIX$', '') AS base, coalesce(string_agg('t' || vec_id, ' ' ORDER BY token_idx) FILTER (NOT ends_with(label, '_PREFIX')), '') AS value, "
+    "coalesce(string_agg('t' || vec_id, ' ' ORDER BY token_idx) FILTER (ends_with(label, '_PREFIX')), '') AS prefix, round(coalesce(avg(score) FILTER (NOT ends_with(label, '_PREFIX')), avg(score) FILTER (ends_with(label, '_PREFIX'))), 6) AS confidence "
+    "FROM (SELECT * EXCLUDE (label) FROM preds) JOIN lab ON pred_id = label_id WHERE score >= 0.5 GROUP BY ALL"
+)
+def kie_mean_conf_fallback(spark, d):
+    return en.values_and_prefixes(_labelled(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query()
+def kie_report_rows(spark, d):
+    return en.report_rows(en.values_and_prefixes(_labelled(spark, d)), label_table(spark))
+
+
+@query()
+def kie_entity_maps(spark, d):
+    return en.entity_maps(en.keep_entities(_labelled(spark, d))).select("image_id", F.to_json("entities").alias("entities"), F.to_json("texts").alias("texts"), F.to_json("joined").alias("joined"))
+
+
+# Boxes
+
+_CLIP = "greatest(0, least(CAST(round_even({v}, 0) AS INT), {most}))"
+
+
+def _clip_sql(x1, y1, x2, y2):
+    parts = [_CLIP.format(v=v, most=m) for v, m in ((x1, i.WIDTH - 1), (y1, i.HEIGHT - 1), (x2, i.WIDTH), (y2, i.HEIGHT))]
+    return f"least({parts[0]}, {parts[2]}) AS x1, least({parts[1]}, {parts[3]}) AS y1, greatest({parts[0]}, {parts[2]}) AS x2, greatest({parts[1]}, {parts[3]}) AS y2"
+
+
+@query(f"WITH {i.BOXES} SELECT image_id, box_idx, {_clip_sql('x1', 'y1', 'x2', 'y2')} FROM boxes")
+def box_clip_round(spark, d):
+    return i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.clip_box(bx.CORNERS, _W, _H).items()))
+
+
+@query(f"WITH {i.BOXES}, grown AS (SELECT image_id, box_idx, x1 - (x2 - x1) * 0.01e0 AS a, y1 - (y2 - y1) * 0.02e0 AS b, x2 + (x2 - x1) * 0.01e0 AS c, y2 + (y2 - y1) * 0.02e0 AS d, conf FROM boxes WHERE conf >= 0.08e0), clipped AS (SELECT image_id, box_idx, {_clip_sql('a', 'b', 'c', 'd')} FROM grown) SELECT *, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS area FROM clipped WHERE greatest(0, x2 - x1) * greatest(0, y2 - y1) >= 16")
+def box_expand_area(spark, d):
+    out = bx.postprocess(i.boxes(spark, d).withColumns({"width": _W, "height": _H}))
+    return out.select("image_id", "box_idx", *bx.CORNERS, g.box_area(bx.CORNERS).alias("area"))
+
+
+@query(f"WITH {i.BOXES} SELECT image_id, box_idx, " + ", ".join(f"CAST(least(1000, greatest(0, trunc(1000 * {c} / {m}))) AS INT) AS n{c}" for c, m in zip(bx.CORNERS, (i.WIDTH, i.HEIGHT, i.WIDTH, i.HEIGHT))) + " FROM boxes")
+def box_norm1000(spark, d):
+    return i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.normalize_box(bx.CORNERS, _W, _H).items()))
+
+
+_YOLO = ", ".join(f"least(1e0, greatest(0e0, {e})) AS {n}" for n, e in (("xc", f"(x1 + x2) / 2e0 / {i.WIDTH}"), ("yc", f"(y1 + y2) / 2e0 / {i.HEIGHT}"), ("w", f"(x2 - x1) / {i.WIDTH}"), ("h", f"(y2 - y1) / {i.HEIGHT}")))
+_BACK = ", ".join(f"greatest(0, least({m}, CAST(trunc(({a} {o} {b} / 2) * {m}) AS INT))) AS {n}" for n, a, o, b, m in (("x1", "xc", "-", "w", i.WIDTH), ("y1", "yc", "-", "h", i.HEIGHT), ("x2", "xc", "+", "w", i.WIDTH), ("y2", "yc", "+", "h", i.HEIGHT)))
+
+
+@query(f"WITH {i.BOXES}, y AS (SELECT image_id, box_idx, {_YOLO} FROM boxes), back AS (SELECT image_id, box_idx, {_BACK} FROM y) SELECT * FROM back WHERE x2 > x1 AND y2 > y1")
+def box_yolo_roundtrip(spark, d):
+    y = i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.yolo_fields(bx.CORNERS, _W, _H).items()))
+    back = g.yolo_pixels(F.col("xc"), F.col("yc"), F.col("w"), F.col("h"), _W, _H)
+    return y.select("image_id", "box_idx", *(v.alias(k) for k, v in back.items())).where("x2 > x1 AND y2 > y1")
+
+
+_PAIR = (
+    "pairs AS (SELECT a.image_id, a.box_idx AS a, b.box_idx AS b, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, greatest(a.x2, b.x2) AS x2, greatest(a.y2, b.y2) AS y2, greatest(a.conf, b.conf) AS conf, CASE WHEN a.conf >= b.conf THEN a.cls_id ELSE b.cls_id END AS cls_id "
+    "FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_idx < b.box_idx WHERE greatest(a.y2 - a.y1, b.y2 - b.y1) > 0 "
+    "AND abs((a.y1 + a.y2) / 2e0 - (b.y1 + b.y2) / 2e0) <= 0.30e0 * greatest(a.y2 - a.y1, b.y2 - b.y1) "
+    "AND greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) <= 0.50e0 * least(a.x2 - a.x1, b.x2 - b.x1) "
+    "AND greatest(0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) <= 0.25e0 * greatest(a.y2 - a.y1, b.y2 - b.y1))"
+)
+
+
+@query(f"WITH {i.BOXES}, {_PAIR} SELECT image_id, a, b FROM pairs")
+def box_merge_pairs(spark, d):
+    return bx.line_pairs(i.boxes(spark, d))
+
+
+@query(f"WITH {i.BOXES}, {_PAIR} SELECT * FROM pairs")
+def box_merge_two(spark, d):
+    return bx.merged_pairs(i.boxes(spark, d))
+
+
+@query()
+def box_line_merge(spark, d):
+    return bx.merge_lines(i.boxes(spark, d))
+
+
+@query(f"WITH {i.BOXES} SELECT image_id, box_idx, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, box_idx) - 1 AS INT) AS position FROM boxes")
+def box_reading_order(spark, d):
+    return bx.reading_order(i.boxes(spark, d)).select("image_id", "box_idx", "position")
+
+
+# Orientation and instances
+
+
+@query(f"WITH {i.ROTATIONS} SELECT image_id, angle AS best_rotation_angle, round(p0, 6) AS best_p0 FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY p0 DESC, angle) AS rn FROM rot) WHERE rn = 1")
+def rot_best_of_four(spark, d):
+    return ro.best_rotation(ro.rotation_scores(i.rotations(spark, d))).withColumn("best_p0", F.round("best_p0", 6))
+
+
+_WIDE = ", ".join([f"round(max(p0) FILTER (angle = {a}), 6) AS p0_rot{a}" for a in ro.ANGLES] + [f"max(pred_class) FILTER (angle = {a}) AS pred_class_rot{a}" for a in ro.ANGLES])
+
+
+@query(f"WITH {i.ROTATIONS} SELECT image_id, arg_max(angle, {{'p': p0, 'a': -angle}}) AS best_rotation_angle, round(max(p0), 6) AS best_p0, CASE WHEN max(p0) >= 0.9e0 THEN 'accepted' WHEN max(p0) >= 0.6e0 THEN 'review' ELSE 'suspect' END AS status, {_WIDE} FROM rot GROUP BY image_id")
+def rot_status_log(spark, d):
+    return ro.rotation_log(ro.rotation_scores(i.rotations(spark, d)))
+
+
+_COARSE = "g AS (SELECT vec_id AS image_id, k AS i, label + (k - 10) / 5e0 AS angle, CAST((vec_id * 7 + k * k * 3) % 17 AS DOUBLE) AS score FROM embeddings, range(21) r(k))"
+
+
+@query(f"WITH {_COARSE} SELECT image_id, angle AS refined_angle, score AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, i) AS rn FROM g) WHERE rn = 1")
+def deskew_grid_best(spark, d):
+    images = i.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").alias("coarse_angle"))
+    scored = ro.angle_grid(images).withColumn("score", ((F.col("image_id") * 7 + F.col("i") * F.col("i") * 3) % 17).cast("double"))
+    return ro.best_angle(scored)
+
+
+@query("SELECT image_id, idx, conf FROM (SELECT o_custkey AS image_id, o_orderkey AS idx, round(o_totalprice / 100000) AS conf, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 100000) DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def seg_best_instance(spark, d):
+    rows = i.table(spark, d, "orders").select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("idx"), F.round(F.col("o_totalprice") / 100000).alias("conf"))
+    return ro.best_instance(rows)
+
+
+# Perceptual hashes, groups, leakage
+
+
+@query(f"WITH {i.PHASHES} SELECT vec_id, h AS canonical_hash_int, lpad(lower(hex(h)), 16, '0') AS canonical_hash_hex FROM ph")
+def phash_bits(spark, d):
+    return i.phashes(spark, d).withColumn("canonical_hash_hex", s.hash_hex(F.col("canonical_hash_int")))
+
+
+@query(f"WITH {i.PHASHES} SELECT a.vec_id AS record_a, b.vec_id AS record_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS hamming_distance FROM ph a JOIN ph b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 16")
+def phash_hamming_pairs(spark, d):
+    return cu.near_pairs(i.phashes(spark, d), 16, id_col="vec_id")
+
+
+@query(f"WITH RECURSIVE {i.PHASHES}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ph a JOIN ph b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 18), w AS (SELECT vec_id AS n, vec_id AS r FROM ph UNION SELECT w.n, e.b FROM w JOIN e ON w.r = e.a) SELECT n AS node, min(r) AS component FROM w GROUP BY n")
+def phash_components(spark, d):
+    hashes = i.phashes(spark, d)
+    pairs = cu.near_pairs(hashes, 18, id_col="vec_id").select(F.col("record_a").alias("a"), F.col("record_b").alias("b"))
+    return cu.components(pairs, hashes.select(F.col("vec_id").alias("node")))
+
+
+@query(f"WITH {i.RECORDS}, f AS (SELECT canonical_hash_int AS h, min(record_id) AS first FROM recs GROUP BY ALL), n AS (SELECT h, 'doc_' || lpad(CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR), 6, '0') AS document_group_id FROM f) SELECT record_id, document_group_id FROM recs JOIN n ON canonical_hash_int = h")
+def doc_exact_groups(spark, d):
+    return cu.document_groups(i.records(spark, d)).select("record_id", "document_group_id")
+
+
+_LEAK = "leak AS (SELECT a.split_name AS split_a, b.split_name AS split_b, a.record_id AS record_id_a, b.record_id AS record_id_b FROM recs a JOIN recs b ON a.canonical_hash_int = b.canonical_hash_int AND list_position(['train', 'valid', 'test'], a.split_name) < list_position(['train', 'valid', 'test'], b.split_name))"
+
+
+@query(f"WITH {i.RECORDS}, {_LEAK} SELECT * FROM leak")
+def leak_split_pairs(spark, d):
+    return cu.split_leakage(i.records(spark, d), 0).select("split_a", "split_b", "record_id_a", "record_id_b")
+
+
+@query(f"WITH {i.RECORDS}, {_LEAK} SELECT split_a, split_b, count(*) AS matched_pairs, count(DISTINCT record_id_a) AS items_a, count(DISTINCT record_id_b) AS items_b FROM leak GROUP BY ALL")
+def leak_summary(spark, d):
+    return cu.leakage_summary(cu.split_leakage(i.records(spark, d), 0))
+
+
+# Classes, balance, manifest
+
+
+@query("WITH dim(class_name) AS (VALUES ('de'), ('en'), ('es'), ('fr'), ('vi')), c AS (SELECT class_name, count(lang) AS n FROM dim LEFT JOIN documents ON lang = class_name GROUP BY ALL) SELECT class_name, n, round(100e0 * n / sum(n) OVER (), 6) AS percentage FROM c")
+def class_counts_pct(spark, d):
+    dim = spark.createDataFrame([("de",), ("en",), ("es",), ("fr",), ("vi",)], ["class_name"])
+    return cu.class_counts(i.records(spark, d), dim).select("class_name", "n", F.round("percentage", 6).alias("percentage"))
+
+
+@query("WITH c AS (SELECT lang AS class_name, count(*) AS n FROM documents GROUP BY ALL) SELECT class_name, n, max(n) OVER () - n AS need, round(max(n) OVER () / min(n) OVER (), 6) AS ratio FROM c")
+def class_balance_need(spark, d):
+    rows = i.records(spark, d)
+    dim = rows.select("class_name").distinct()
+    ratio = cu.class_counts(rows, dim).select("class_name", F.round("ratio", 6).alias("ratio"))
+    return cu.class_needs(rows, dim).join(ratio, "class_name")
+
+
+_TARGETS = ["0", "90", "180", "270"]
+
+
+def _balanced(spark, d):
+    rows = i.records(spark, d).withColumn("class_name", F.element_at(F.array(*map(F.lit, _TARGETS)), (F.pmod(F.col("record_id").cast("int"), F.lit(7)) % 4 + 1).cast("int")))
+    rows = cu.document_groups(rows.where("split_name = 'train'")).withColumn("canonical_hash_hex", s.hash_hex(F.col("canonical_hash_int")))
+    dim = spark.createDataFrame([(c,) for c in _TARGETS], ["class_name"])
+    return rows, cu.balance(rows, dim)
+
+
+@query()
+def balance_pick(spark, d):
+    return _balanced(spark, d)[1]
+
+
+@query()
+def manifest_union(spark, d):
+    return cu.manifest(*_balanced(spark, d))
+
+
+@query()
+def curation_report(spark, d):
+    return cu.curation_report(cu.manifest(*_balanced(spark, d)))
+
+
+@query("SELECT page_id, substr(CASE WHEN z = '' THEN 'img' ELSE z END, 1, 40) AS name, regexp_replace(url, '[^\\p{L}\\p{N}._-]', '_', 'g') AS file FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS z FROM pages)")
+def curate_safe_name(spark, d):
+    return i.table(spark, d, "pages").select("page_id", t.safe_name(F.col("url")).alias("name"), t.safe_filename(F.col("url")).alias("file"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 42 THEN left(text, 39) || '...' ELSE text END AS short, regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS stripped FROM documents")
+def text_shorten_strip(spark, d):
+    return i.table(spark, d, "documents").select("doc_id", t.shorten(F.col("text"), 42).alias("short"), t.strip_text(F.col("text")).alias("stripped"))
+
+
+@query("SELECT DISTINCT l_linenumber, l_suppkey % 4 AS k, CAST(((l_suppkey % 4) * 90 - (l_linenumber % 4) * 90 + 360) % 360 AS INT) AS rotation FROM lineitem")
+def required_rotation(spark, d):
+    rows = i.table(spark, d, "lineitem").select("l_linenumber", (F.col("l_suppkey") % 4).alias("k")).distinct()
+    return rows.withColumn("rotation", s.required_rotation(F.col("l_linenumber") % 4 * 90, F.col("k") * 90).cast("int"))
+
+
+# Evaluation
+
+
+def _predictions(spark, d):
+    return en.score_tokens(i.logits(spark, d)).select(F.col("label").cast("int").alias("y_true"), F.col("pred_id").alias("y_pred"))
+
+
+@query(f"WITH {i.LOGITS} SELECT c AS y_true, " + ", ".join(f"coalesce(count(*) FILTER (pred_id = {c} AND label IS NOT NULL), 0) AS \"{c}\"" for c in range(10)) + " FROM range(10) r(c) LEFT JOIN preds ON label = c GROUP BY c")
+def eval_confusion(spark, d):
+    return ev.confusion(_predictions(spark, d), list(range(10)))
+
+
+_PER = (
+    "per AS (SELECT c, (SELECT count(*) FROM preds WHERE label = c AND pred_id = c) AS hits, (SELECT count(*) FROM preds WHERE label = c) AS sup, (SELECT count(*) FROM preds WHERE pred_id = c) AS pre FROM (SELECT label AS c FROM preds UNION SELECT pred_id FROM preds)), "
+    "pr AS (SELECT c, hits, sup, CASE WHEN pre > 0 THEN hits / pre ELSE 0 END AS p, CASE WHEN sup > 0 THEN hits / sup ELSE 0 END AS r FROM per), sc AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM pr), "
+    "rep AS (SELECT CAST(c AS VARCHAR) AS label, p, r, f, sup FROM sc UNION ALL SELECT 'accuracy', sum(hits) / sum(sup), sum(hits) / sum(sup), sum(hits) / sum(sup), sum(sup) FROM sc "
+    "UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(sup) FROM sc UNION ALL SELECT 'weighted avg', sum(p * sup) / sum(sup), sum(r * sup) / sum(sup), sum(f * sup) / sum(sup), sum(sup) FROM sc)"
+)
+
+
+@query(f"WITH {i.LOGITS}, {_PER} SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(sup AS BIGINT) AS support FROM rep")
+def eval_report(spark, d):
+    return ev.report(_predictions(spark, d)).select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean_loss FROM lineitem GROUP BY ALL")
+def eval_weighted_loss(spark, d):
+    return i.table(spark, d, "lineitem").groupBy("l_returnflag").agg(ev.weighted_loss(None, "l_discount", "l_quantity")).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query("WITH h AS (SELECT CAST(user_id % 40 AS INT) AS epoch, count(*) AS metric FROM events GROUP BY ALL) SELECT min(epoch) AS epoch, metric FROM h WHERE metric = (SELECT max(metric) FROM h) GROUP BY metric")
+def eval_best_epoch(spark, d):
+    history = i.table(spark, d, "events").groupBy((F.col("user_id") % 40).cast("int").alias("epoch")).agg(F.count("*").alias("metric"))
+    return ev.best_epoch(history, "metric")
+
+
+@query("SELECT CAST(range + 1 AS INT) AS epoch, round(0.5e0 * 0.001e0 * (1 + cos(3.141592653589793e0 * range / 30)), 10) AS lr FROM range(30)")
+def lr_cosine(spark, d):
+    return spark.range(1, 31).select(F.col("id").cast("int").alias("epoch"), F.round(s.cosine_rate(0.001, F.col("id"), 30), 10).alias("lr"))
+
+
+# Batches, sets, logs
+
+
+@query("SELECT event_type AS split, count(*) FILTER (value >= 50) AS success, count(*) FILTER (NOT value >= 50) AS error, count(*) AS total FROM events GROUP BY ROLLUP (event_type)")
+def batch_rollup_status(spark, d):
+    return ro.batch_totals(i.table(spark, d, "events").select(F.col("event_type").alias("split"), (F.col("value") >= 50).alias("ok")))
+
+
+@query("WITH dim(class_name) AS (VALUES ('en'), ('fr'), ('vi')) SELECT class_name, 'missing' AS status FROM dim WHERE class_name NOT IN (SELECT lang FROM documents) UNION ALL SELECT DISTINCT lang, 'unexpected' FROM documents WHERE lang NOT IN (SELECT class_name FROM dim)")
+def dim_anti_missing(spark, d):
+    dim = spark.createDataFrame([("en",), ("fr",), ("vi",)], ["class_name"])
+    return cu.unexpected_and_missing(i.records(spark, d), dim)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    return i.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT event_type, CAST((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 16 AS INT) AS batch, event_id FROM events")
+def batch_slices(spark, d):
+    order = Window.partitionBy("event_type").orderBy("event_id")
+    return i.table(spark, d, "events").select("event_type", F.floor((F.row_number().over(order) - 1) / 16).cast("int").alias("batch"), "event_id")
+
+
+@query(f"WITH {i.RECORDS} SELECT record_id, format('{{}}_{{}}_{{:06d}}', split_name, class_name, row_number() OVER (PARTITION BY split_name, class_name ORDER BY record_id) - 1) AS name FROM recs")
+def record_names(spark, d):
+    order = Window.partitionBy("split_name", "class_name").orderBy("record_id")
+    return i.records(spark, d).select("record_id", t.record_id(F.col("split_name"), F.col("class_name"), F.row_number().over(order) - 1).alias("name"))
