@@ -22,7 +22,10 @@ from . import inputs as i
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_W, _H = F.lit(i.WIDTH), F.lit(i.HEIGHT)
+
+
+def _size():
+    return F.lit(i.WIDTH), F.lit(i.HEIGHT)
 
 
 def query(sql: str | None = None):
@@ -130,18 +133,18 @@ def _clip_sql(x1, y1, x2, y2):
 
 @query(f"WITH {i.BOXES} SELECT image_id, box_idx, {_clip_sql('x1', 'y1', 'x2', 'y2')} FROM boxes")
 def box_clip_round(spark, d):
-    return i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.clip_box(bx.CORNERS, _W, _H).items()))
+    return i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.clip_box(bx.CORNERS, *_size()).items()))
 
 
 @query(f"WITH {i.BOXES}, grown AS (SELECT image_id, box_idx, x1 - (x2 - x1) * 0.01e0 AS a, y1 - (y2 - y1) * 0.02e0 AS b, x2 + (x2 - x1) * 0.01e0 AS c, y2 + (y2 - y1) * 0.02e0 AS d, conf FROM boxes WHERE conf >= 0.08e0), clipped AS (SELECT image_id, box_idx, {_clip_sql('a', 'b', 'c', 'd')} FROM grown) SELECT *, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS area FROM clipped WHERE greatest(0, x2 - x1) * greatest(0, y2 - y1) >= 16")
 def box_expand_area(spark, d):
-    out = bx.postprocess(i.boxes(spark, d).withColumns({"width": _W, "height": _H}))
+    out = bx.postprocess(i.boxes(spark, d).withColumns({"width": F.lit(i.WIDTH), "height": F.lit(i.HEIGHT)}))
     return out.select("image_id", "box_idx", *bx.CORNERS, g.box_area(bx.CORNERS).alias("area"))
 
 
 @query(f"WITH {i.BOXES} SELECT image_id, box_idx, " + ", ".join(f"CAST(least(1000, greatest(0, trunc(1000 * {c} / {m}))) AS INT) AS n{c}" for c, m in zip(bx.CORNERS, (i.WIDTH, i.HEIGHT, i.WIDTH, i.HEIGHT))) + " FROM boxes")
 def box_norm1000(spark, d):
-    return i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.normalize_box(bx.CORNERS, _W, _H).items()))
+    return i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.normalize_box(bx.CORNERS, *_size()).items()))
 
 
 _YOLO = ", ".join(f"least(1e0, greatest(0e0, {e})) AS {n}" for n, e in (("xc", f"(x1 + x2) / 2e0 / {i.WIDTH}"), ("yc", f"(y1 + y2) / 2e0 / {i.HEIGHT}"), ("w", f"(x2 - x1) / {i.WIDTH}"), ("h", f"(y2 - y1) / {i.HEIGHT}")))
@@ -150,8 +153,8 @@ _BACK = ", ".join(f"greatest(0, least({m}, CAST(trunc(({a} {o} {b} / 2) * {m}) A
 
 @query(f"WITH {i.BOXES}, y AS (SELECT image_id, box_idx, {_YOLO} FROM boxes), back AS (SELECT image_id, box_idx, {_BACK} FROM y) SELECT * FROM back WHERE x2 > x1 AND y2 > y1")
 def box_yolo_roundtrip(spark, d):
-    y = i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.yolo_fields(bx.CORNERS, _W, _H).items()))
-    back = g.yolo_pixels(F.col("xc"), F.col("yc"), F.col("w"), F.col("h"), _W, _H)
+    y = i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.yolo_fields(bx.CORNERS, *_size()).items()))
+    back = g.yolo_pixels(F.col("xc"), F.col("yc"), F.col("w"), F.col("h"), *_size())
     return y.select("image_id", "box_idx", *(v.alias(k) for k, v in back.items())).where("x2 > x1 AND y2 > y1")
 
 
