@@ -36,7 +36,7 @@ MASKED = 0.08
 BATCH = 2048
 RATE = 0.1
 _EDGE = CLASSES  # stands for what lies beyond a document's ends
-_ROWS = 16_384
+_ROWS = 4096
 
 
 def _words(text: str) -> list[bytes]:
@@ -97,7 +97,16 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def learn_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     counts = materialize(count_words(texts), "words")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    # A histogram of rounded logarithms, a thousand rows at most, gives the count from which words belong;
+    # sorting would send every task's first words to the driver.
+    level = F.floor(F.log2("n") * 16).cast("int")
+    left, lowest = size, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("types")).orderBy(F.desc("level")).collect():
+        if r["types"] > left:
+            break
+        left, lowest = left - r["types"], r["level"]
+    chosen = [] if lowest is None else counts.where(level >= lowest).collect()
+    top = sorted(((bytes(r["word"]), r["n"]) for r in chosen), key=lambda x: (-x[1], x[0]))
     # Totals per ending: as many rows as there are pairs of last bytes, 65,536 at most.
     ends = counts.groupBy(F.expr("substring(word, -2, 2)").alias("end")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -143,6 +152,12 @@ class Network:
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return h, z
 
+    def pair_tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What two classes on the left, and two on the right, add to the hidden layer."""
+        left = self.tables[0][:, None] + self.tables[1][None, :] + self.bias
+        right = self.tables[2][:, None] + self.tables[3][None, :]
+        return left.reshape(-1, HIDDEN), right.reshape(-1, HIDDEN)
+
     def step(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One Adagrad step on a batch."""
         h, z = self.forward(context)
@@ -166,18 +181,35 @@ def _contexts(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + 2 + o] for o in OFFSETS], axis=1)
 
 
-def _train_round(texts: DataFrame, vocabulary, weights: np.ndarray, number: int, masked: float) -> np.ndarray:
+def classify(texts: DataFrame, vocabulary) -> DataFrame:
+    """(doc_id, n_words, classes as bytes, word_log: sum of the words' log-probabilities inside their classes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, net, trained = vocabulary.value.lookup(), Network(weights), 0
-        held, wanted, waiting = [], [], 0
+        lookup = vocabulary.value.lookup()
+        classes_of, logs_of = lookup.classes.astype(np.uint8), lookup.logs
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            counts, classes, logs = [], [], []
+            for text in batch.column("text").to_pylist():
                 found = _words(text)
-                if not found:
-                    continue
                 ids = np.fromiter(map(lookup.__getitem__, found), dtype=np.int64, count=len(found))
-                classes = lookup.classes[ids]
-                at = np.flatnonzero(np.random.default_rng([number, (key or 0) & 0xFFFFFFFF, len(found)]).random(len(found)) < masked)
+                counts.append(len(found))
+                classes.append(classes_of[ids].tobytes())
+                logs.append(float(logs_of[ids].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(logs, pa.float64())], ["doc_id", "n_words", "classes", "word_log"])
+
+    return texts.mapInArrow(run, "doc_id long, n_words long, classes binary, word_log double")
+
+
+def _train_round(classified: DataFrame, weights: np.ndarray, number: int, masked: float) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, trained = Network(weights), 0
+        held, wanted, waiting = [], [], 0
+        for batch in batches:
+            for key, given in zip(batch.column("doc_id").to_pylist(), batch.column("classes").to_pylist()):
+                classes = np.frombuffer(given, np.uint8).astype(np.int64)
+                at = np.flatnonzero(np.random.default_rng([number, (key or 0) & 0xFFFFFFFF, len(classes)]).random(len(classes), dtype=np.float32) < masked)
+                if not len(at):
+                    continue
                 held.append(_contexts(classes, at))
                 wanted.append(classes[at])
                 waiting += len(at)
@@ -193,7 +225,7 @@ def _train_round(texts: DataFrame, vocabulary, weights: np.ndarray, number: int,
         if trained:
             yield pa.RecordBatch.from_arrays([pa.array([net.flat.tolist()], pa.list_(pa.float32())), pa.array([trained], pa.int64())], ["weights", "n"])
 
-    moved = texts.mapInArrow(run, "weights array<float>, n long")
+    moved = classified.select("doc_id", "classes").mapInArrow(run, "weights array<float>, n long")
     sums = moved.select(F.posexplode("weights").alias("i", "w"), "n").groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w")).collect()
     if not sums:
         return weights
@@ -210,38 +242,42 @@ def score_texts(docs: DataFrame, size: int = VOCABULARY, rounds: int = ROUNDS, m
     mean_log_prob (0 without words). A null or empty text has no words and
     scores 0. Repeated rows and null doc_ids give a row each; an empty table
     gives an empty one; other columns are ignored. What reaches the driver has
-    a fixed size: the vocabulary and one set of weights a round.
+    a fixed size: the vocabulary and one set of weights a round. Texts are read
+    twice; rounds and scoring read one stored byte per word.
     """
     spark = docs.sparkSession
     texts = keyed_texts(docs)
     vocabulary = spark.sparkContext.broadcast(learn_vocabulary(texts, size))
+    classified = materialize(classify(texts, vocabulary), "classes")
     weights = initial_weights()
     for number in range(rounds):
-        weights = _train_round(texts, vocabulary, weights, number, masked)
+        weights = _train_round(classified, weights, number, masked)
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, net = vocabulary.value.lookup(), Network(shared.value)
+        net = Network(shared.value)
+        left, right = net.pair_tables()
+        edge = np.full(2, _EDGE, np.int64)
         for batch in batches:
-            counts, sums, parts, contexts, classes_of = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = _words(text)
-                counts.append(len(found))
-                ids = np.fromiter(map(lookup.__getitem__, found), dtype=np.int64, count=len(found))
-                classes = lookup.classes[ids]
-                contexts.append(_contexts(classes, np.arange(len(found))))
-                classes_of.append(classes)
-                parts.append(lookup.logs[ids])
-            logs = np.concatenate(parts) if parts else np.zeros(0)
-            if len(logs):
-                context, target = np.concatenate(contexts), np.concatenate(classes_of)
-                for i in range(0, len(target), _ROWS):
-                    z = net.forward(context[i : i + _ROWS])[1]
-                    logs[i : i + _ROWS] += z[np.arange(len(z)), target[i : i + _ROWS]]
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+            counts = np.array(batch.column("n_words").to_pylist(), dtype=np.int64)
+            parts = [x for given in batch.column("classes").to_pylist() for x in (edge, np.frombuffer(given, np.uint8).astype(np.int64), edge)]
+            padded = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            place = np.arange(int(counts.sum())) + 2 + 4 * np.repeat(np.arange(len(counts)), counts)
+            logs = np.zeros(len(place))
+            for i in range(0, len(place), _ROWS):
+                at = place[i : i + _ROWS]
+                h = np.tanh(left[padded[at - 2] * (CLASSES + 1) + padded[at - 1]] + right[padded[at + 1] * (CLASSES + 1) + padded[at + 2]])
+                z = h @ net.out
+                z += net.prior
+                top = z.max(axis=1)
+                hit = z[np.arange(len(at)), padded[at]]
+                z -= top[:, None]
+                np.exp(z, out=z)
+                logs[i : i + _ROWS] = hit - top - np.log(z.sum(axis=1))
+            ends = np.concatenate([[0], np.cumsum(counts)])
             total = np.concatenate([[0.0], np.cumsum(logs)])
-            sums = np.round(total[ends[1:]] - total[ends[:-1]], 4)
-            mean = np.round(sums / np.maximum(np.diff(ends), 1), 6)
+            sums = np.round(total[ends[1:]] - total[ends[:-1]] + np.array(batch.column("word_log").to_pylist(), dtype=float), 4)
+            mean = np.round(sums / np.maximum(counts, 1), 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), pa.array(mean)], ["doc_id", "n_words", "pll", "mean_log_prob"])
 
-    return texts.mapInArrow(run, "doc_id long, n_words long, pll double, mean_log_prob double")
+    return classified.mapInArrow(run, "doc_id long, n_words long, pll double, mean_log_prob double")
