@@ -65,4 +65,5 @@ def imbalance(largest: Column, least: Column) -> Column:
 
 
 def imbalance_advice(ratio: Column) -> Column:
-    return F.when(ratio <= 1.5, "balanced").when(ratio <= 3, "moderate").otherwise("severe")
+    """What to do about a ratio of the largest to the least class; an infinite one has an empty class."""
+    return F.when(ratio == float("inf"), "missing").when(ratio <= 1.5, "balanced").when(ratio <= 3, "moderate").otherwise("severe")

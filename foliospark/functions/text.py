@@ -60,7 +60,23 @@ def percent(probability: Column) -> Column:
     return (probability * 100).cast("int")
 
 
-
+# The colour in which each label is drawn.
+LABEL_COLOURS = {
+    "SHOP_NAME": "#1f77b4", "ADDR": "#17becf", "PHONE": "#2ca02c",
+    "BILLID": "#9467bd", "DATETIME": "#8c564b", "CASHIER": "#e377c2",
+    "TITLE": "#7f7f7f", "PRODUCT_NAME": "#ff7f0e", "AMOUNT": "#bcbd22",
+    "UNIT": "#7f7f7f", "UPRICE": "#d62728", "FPRICE": "#ff9896",
+    "TPRICE": "#c49c94", "SUB_TPRICE": "#e377c2", "TAMOUNT": "#d62728",
+    "TDISCOUNT": "#9467bd", "UDISCOUNT": "#8c564b", "RECEMONEY": "#2ca02c",
+    "REMAMONEY": "#ff7f0e",
+}
+DEFAULT_COLOUR = "#333333"
+
+
+def label_colour(label: Column) -> Column:
+    """Colour of a label or of its prefix form; other labels have the default."""
+    colours = F.create_map(*(F.lit(x) for pair in LABEL_COLOURS.items() for x in pair))
+    return F.coalesce(F.element_at(colours, base_label(label)), F.lit(DEFAULT_COLOUR))
 
 
 def colour_parts(hex_colour: Column) -> Column:

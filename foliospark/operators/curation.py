@@ -109,6 +109,14 @@ def leakage_summary(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("split_a", "split_b").agg(F.count("*").alias("matched_pairs"), F.count_distinct("record_id_a").alias("items_a"), F.count_distinct("record_id_b").alias("items_b"))
 
 
+def require_no_leakage(pairs: DataFrame) -> DataFrame:
+    """The pairs, if there are none; else an error that names a few."""
+    found = pairs.select("record_id_a", "record_id_b").limit(5).collect()
+    if found:
+        raise ValueError(f"near-duplicates across splits, for example {[tuple(r) for r in found]}")
+    return pairs
+
+
 def class_counts(records: DataFrame, classes: DataFrame, class_col: str = "class_name") -> DataFrame:
     """Count of every class in the dimension, empty ones included, its percentage, the imbalance and advice."""
     counts = classes.join(records.groupBy(class_col).agg(F.count("*").alias("n")), class_col, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))

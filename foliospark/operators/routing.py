@@ -51,3 +51,8 @@ def best_instance(instances: DataFrame) -> DataFrame:
 def batch_totals(rows: DataFrame, split: str = "split", ok: str = "ok") -> DataFrame:
     """Successes and errors per split and over all (split null)."""
     return rows.rollup(split).agg(F.count_if(F.col(ok)).alias("success"), F.count_if(~F.col(ok)).alias("error"), F.count("*").alias("total"))
+
+
+def deskew_log(normalized: DataFrame) -> DataFrame:
+    """Log of normalized images by path: status, angles and score to 2, 2 and 4 digits (empty on errors), error text."""
+    return normalized.select(F.col("image_id").alias("image_path"), "status", F.round("coarse_angle", 2).alias("coarse_angle"), F.round("refined_angle", 2).alias("refined_angle"), F.round("best_score", 4).alias("best_score"), "error").orderBy("image_path")

@@ -16,7 +16,7 @@ from ..operators import curation as cu
 from ..operators import entities as en
 from ..operators import evaluation as ev
 from ..operators import routing as ro
-from ..schemas import label_table
+from ..schemas import LABELS, label_table
 from . import inputs as i
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,3 +385,24 @@ def batch_slices(spark, d):
 def record_names(spark, d):
     order = Window.partitionBy("split_name", "class_name").orderBy("record_id")
     return i.records(spark, d).select("record_id", t.record_id(F.col("split_name"), F.col("class_name"), F.row_number().over(order) - 1).alias("name"))
+
+
+_COLOURS = ", ".join(f"('{k}', '{v}')" for k, v in t.LABEL_COLOURS.items())
+
+
+@query(f"WITH l(label_id, label) AS (VALUES {', '.join(f'({k}, {v!r})' for k, v in enumerate(LABELS))}), c(base, colour) AS (VALUES {_COLOURS}) SELECT CAST(label_id AS INT) AS label_id, label, coalesce(colour, '#333333') AS colour FROM l LEFT JOIN c ON regexp_replace(label, '_PREFIX$', '') = base")
+def label_colours(spark, d):
+    return label_table(spark).select("label_id", "label", t.label_colour(F.col("label")).alias("colour"))
+
+
+@query("SELECT p_partkey, replace(replace(replace(p_name || ' & 5% #_', '&', '\\&'), '%', '\\%'), '#', '\\#') AS half FROM part")
+def latex_cells(spark, d):
+    """LaTeX escaping, compared on the signs that do not meet."""
+    text = F.concat("p_name", F.lit(" & 5% #_"))
+    return i.table(spark, d, "part").select("p_partkey", F.replace(t.latex_escape(text), F.lit("\\_"), F.lit("_")).alias("half"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice / 500000 >= 0.9e0 THEN 'accepted' WHEN o_totalprice / 500000 >= 0.6e0 THEN 'review' ELSE 'suspect' END AS status, CAST(trunc(o_totalprice / 5000) AS INT) AS percent FROM orders")
+def route_by_confidence(spark, d):
+    p = F.col("o_totalprice") / 500000
+    return i.table(spark, d, "orders").select("o_orderkey", s.decide_status(p).alias("status"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("percent"))

@@ -56,7 +56,16 @@ def test_counts_with_empty_class(spark):
     rows = spark.createDataFrame([("0",)] * 3, ["class_name"])
     dim = spark.createDataFrame([("0",), ("90",)], ["class_name"])
     got = {r.class_name: r for r in cu.class_counts(rows, dim).collect()}
-    assert got["90"].n == 0 and got["0"].percentage == 100.0 and got["0"].ratio == float("inf") and got["0"].advice == "severe"
+    assert got["90"].n == 0 and got["0"].percentage == 100.0 and got["0"].ratio == float("inf") and got["0"].advice == "missing"
+
+
+def test_leakage(spark):
+    rows = [("a", "train", "0", "p", 5, ""), ("b", "valid", "0", "p", 5, ""), ("c", "test", "0", "p", 7, ""), ("d", "test", "0", "p", 5 + (1 << 40), "")]
+    df = spark.createDataFrame(rows, "record_id string, split_name string, class_name string, path string, canonical_hash_int long, canonical_hash_hex string")
+    near = {(r.record_id_a, r.record_id_b, r.hamming_distance) for r in cu.split_leakage(df, 1).collect()}
+    assert near == {("a", "b", 0), ("a", "c", 1), ("b", "c", 1), ("a", "d", 1), ("b", "d", 1)}
+    with pytest.raises(ValueError):
+        cu.require_no_leakage(cu.split_leakage(df, 0))
 
 
 def test_metrics(spark):
