@@ -23,19 +23,23 @@ def postprocess(detections: DataFrame, min_conf: float = DETECTOR_CONF, min_area
     return sure.withColumns(grown).where(box_area(CORNERS) >= min_area)
 
 
+def _on_one_line(boxes: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """One self-join on the image: columns a, b (a < b) and a_*, b_* of the names. Both sides share their shuffle."""
+    side = lambda t: boxes.select("image_id", F.col("box_idx").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in names))
+    corners = lambda t: tuple(f"{t}_{c}" for c in CORNERS)
+    return side("a").join(side("b"), "image_id").where((F.col("a") < F.col("b")) & same_line(corners("a"), corners("b")))
+
+
 def line_pairs(boxes: DataFrame) -> DataFrame:
     """Pairs of one image's boxes that belong to one line: image_id, a, b with a < b."""
-    side = lambda t: boxes.select("image_id", F.col("box_idx").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in CORNERS))
-    corners = lambda t: tuple(f"{t}_{c}" for c in CORNERS)
-    return side("a").join(side("b"), "image_id").where((F.col("a") < F.col("b")) & same_line(corners("a"), corners("b"))).select("image_id", "a", "b")
+    return _on_one_line(boxes, CORNERS).select("image_id", "a", "b")
 
 
 def merged_pairs(boxes: DataFrame) -> DataFrame:
     """Envelopes of line pairs; boxes carry conf and cls_id."""
     names = (*CORNERS, "conf", "cls_id")
-    side = lambda t: boxes.select("image_id", F.col("box_idx").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in names))
-    both = line_pairs(boxes).join(side("a"), ["image_id", "a"]).join(side("b"), ["image_id", "b"])
-    return both.select("image_id", "a", "b", *(v.alias(k) for k, v in merge_boxes(tuple(f"a_{c}" for c in names), tuple(f"b_{c}" for c in names)).items()))
+    merged = merge_boxes(tuple(f"a_{c}" for c in names), tuple(f"b_{c}" for c in names))
+    return _on_one_line(boxes, names).select("image_id", "a", "b", *(v.alias(k) for k, v in merged.items()))
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,13 +35,20 @@ def hash_pairs(records: DataFrame, distance: int, hash_col: str = "canonical_has
     return found.select(F.col("h").alias("hash_a"), F.col("o").alias("hash_b"), hamming(F.col("h"), F.col("o")).alias("hamming_distance")).distinct()
 
 
+def _within(a: DataFrame, b: DataFrame, records: DataFrame, distance: int, hash_col: str) -> DataFrame:
+    """a (hash_a, ...) and b (hash_b, ...) within the distance: equal hashes by one join, others over the near hashes."""
+    same = a.join(b, F.col("hash_a") == F.col("hash_b")).withColumn("hamming_distance", F.lit(0))
+    if not distance:
+        return same
+    near = hash_pairs(records, distance, hash_col)
+    both = near.unionByName(near.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b"), "hamming_distance"))
+    return same.unionByName(a.join(both, "hash_a").join(b, "hash_b").select(same.columns))
+
+
 def near_pairs(records: DataFrame, distance: int, id_col: str = "record_id", hash_col: str = "canonical_hash_int") -> DataFrame:
     """Pairs of records within the distance, record_a < record_b, equal hashes included."""
     side = lambda t: records.select(F.col(id_col).alias(f"record_{t}"), F.col(hash_col).alias(f"hash_{t}"))
-    near = hash_pairs(records, distance, hash_col)
-    both = near.unionByName(near.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b"), "hamming_distance"))
-    same = records.select(F.col(hash_col).alias("hash_a"), F.col(hash_col).alias("hash_b"), F.lit(0).alias("hamming_distance")).distinct()
-    return side("a").join(both.unionByName(same), "hash_a").join(side("b"), "hash_b").where("record_a < record_b").select("record_a", "record_b", "hamming_distance")
+    return _within(side("a"), side("b"), records, distance, hash_col).where("record_a < record_b").select("record_a", "record_b", "hamming_distance")
 
 
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -99,10 +104,7 @@ def split_leakage(records: DataFrame, distance: int = 2, splits: tuple[str, ...]
     """Near pairs across splits, each unordered pair once, the earlier split first."""
     place = F.array_position(F.array(*map(F.lit, splits)), F.col("split_name"))
     side = lambda t: records.select(place.alias(f"place_{t}"), F.col("split_name").alias(f"split_{t}"), F.col("record_id").alias(f"record_id_{t}"), F.col("class_name").alias(f"class_{t}"), F.col("path").alias(f"path_{t}"), F.col("canonical_hash_int").alias(f"hash_{t}"))
-    near = hash_pairs(records, distance) if distance else None
-    same = records.select(F.col("canonical_hash_int").alias("hash_a"), F.col("canonical_hash_int").alias("hash_b"), F.lit(0).alias("hamming_distance")).distinct()
-    both = same if near is None else reduce(DataFrame.unionByName, [same, near, near.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b"), "hamming_distance")])
-    return side("a").join(both, "hash_a").join(side("b"), "hash_b").where("place_a < place_b").drop("place_a", "place_b")
+    return _within(side("a"), side("b"), records, distance, "canonical_hash_int").where("place_a < place_b").drop("place_a", "place_b")
 
 
 def leakage_summary(pairs: DataFrame) -> DataFrame:
