@@ -114,6 +114,7 @@ def disclosing_terms(docs: DataFrame, min_lines: int = MIN_LINES, max_disclosure
     occurs = lines.select("doc_id", "line", F.explode(F.expr("filter(values, v -> instr(line, v) > 0)")).alias("entity"))
     occurs = materialize(occurs, "contexts")
     entities = occurs.groupBy("entity", F.xxhash64("line").alias("h")).agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("lines")).where(F.col("lines") >= min_lines)
+    entities = materialize(entities, "entities")  # so that Spark can split an entity of very many lines in the join
     terms = F.expr(f"array_distinct(filter(regexp_extract_all(line, r'{_TERM}', 0), t -> instr(entity, t) = 0))")
     pairs = occurs.join(entities, "entity").select("entity", "n_e", F.xxhash64("line").alias("h"), F.explode(terms).alias("term"))
     pairs = pairs.groupBy("entity", "n_e", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines")).where(F.col("lines") >= min_lines)

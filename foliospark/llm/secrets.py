@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,13 +74,18 @@ def scan(text: str, encoding: tiktoken.Encoding, max_chars_a_token: float = MAX_
                 base.append(m.span())
         random += [m.span() for m in RUN.finditer(text, *part.span()) if looks_random(m[0], encoding, max_chars_a_token)]
     if random and base:
-        base.sort()
-        random = [(a, b) for a, b in random if not _overlaps(base, a, b)]
+        random = _outside(random, base)
     return found | {"random": random}
 
 
-def _overlaps(spans: list[tuple[int, int]], start: int, stop: int) -> bool:
-    return any(a < stop and start < b for a, b in spans)
+def _outside(spans: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those spans that overlap none of the base."""
+    base = sorted(base)
+    starts, reach, far = [a for a, _ in base], [], 0
+    for _, b in base:
+        far = max(far, b)
+        reach.append(far)
+    return [(a, b) for a, b in spans if not (k := bisect_left(starts, b)) or reach[k - 1] <= a]
 
 
 def spans_text(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
