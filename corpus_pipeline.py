@@ -18,19 +18,25 @@ from foliospark.llm.packing import pack
 from foliospark.llm.substring import remove_repeats
 
 
-def _with_text(docs: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with the text of texts instead of their own, n_chars as it now is, in the order of their columns."""
-    joined = docs.drop("text").join(texts, key)
-    return joined.select([F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+def _held(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns in one, so that none of them can clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct([c for c in docs.columns if c != "text"]).alias("__row"))
+
+
+def _changed(found: DataFrame, text: str, columns: list[str], measure: bool) -> DataFrame:
+    """The held rows with a text in its place, and (measure) n_chars as it now is."""
+    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if measure else {})
+    return found.select([(new[c] if c in new else F.col("__row")[c]).alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base test nor the learned decision list rejects."""
-    return quality.apply_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    kept = quality.apply_rules(_held(docs), table(spark, sf_dir, "labels")).where("kept")
+    return _changed(kept, "text", docs.columns, measure=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least doc_id; rows without doc_id stay."""
+    """Of each group of near-duplicates the document of least doc_id; rows without doc_id stay. Rows of one doc_id are one document."""
     gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -42,8 +48,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that disclose it, masked."""
-    found = pii.sanitize(docs)
-    return found.select([F.length("sanitized").cast("long").alias(c) if c == "n_chars" else F.col("sanitized").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return _changed(pii.sanitize(_held(docs)), "sanitized", docs.columns, measure=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

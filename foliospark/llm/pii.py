@@ -147,7 +147,7 @@ def sanitize(docs: DataFrame, min_lines: int = MIN_LINES, max_disclosure: float
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     terms = disclosing_terms(texts, min_lines, max_disclosure).select(F.col("doc_id").cast("long").alias("__key"), F.col("terms").alias("__terms"))
-    out = with_base_spans(docs).join(terms, F.col("doc_id") == F.col("__key"), "left")
+    out = with_base_spans(docs.join(terms, F.col("doc_id") == F.col("__key"), "left"))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     out = out.withColumn("__pattern", pattern)
     none = F.array().cast("array<string>")

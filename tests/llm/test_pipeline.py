@@ -22,6 +22,7 @@ def write(spark, tmp_path):
     base = [text(120) for _ in range(6)]
     rows = [(i, t) for i, t in enumerate(base)] + [(10, base[0]), (11, base[1] + " tail"), (12, text(60) + " " + passage), (13, passage + " " + text(60)), (14, text(80) + " mail me@example.com now"), (15, "too short"), (16, "same words here " * 60), (17, None)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.selectExpr("*", "'mine' AS n_words", "'mine' AS spans", "'mine' AS kept", "'mine' AS rest", "'mine' AS mark", "'mine' AS rule")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(6)] + [(16, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     return dict(rows)
@@ -37,6 +38,7 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/stage{k}")
         seen[name] = docs.collect()
         assert docs.columns == names or k == 4
+        assert k == 4 or all(r.n_words == r.spans == r.kept == r.rest == r.mark == r.rule == "mine" for r in seen[name])
     kept = {r.doc_id for r in seen["quality rules"]}
     assert kept == set(given) - {15, 16, 17}
     assert {r.doc_id for r in seen["near dedup"]} == kept - {10, 11}
