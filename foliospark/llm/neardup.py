@@ -106,32 +106,76 @@ def _forest(keys: list[int], links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _confirm(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (u, v) between the nodes of each (group, i, j), whose rows come one after the other."""
+    """Edges (u, v) between the nodes of each (group, i, j), whose rows are made to come one after the other.
+
+    One more row for each that has links: v is null, u its most linked node, degree the number of u's links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, sets = None, [], []
 
-        def edges() -> list[tuple[int, int]]:
-            return _forest(keys, confirmed_links(sets, percent)) if len(keys) > 1 else []
+        def found() -> list[tuple]:
+            if len(keys) < 2:
+                return []
+            links = confirmed_links(sets, percent)
+            degrees = links.sum(axis=1)
+            top = int(degrees.argmax())
+            edges = [(at[0], at[1], u, v, None) for u, v in _forest(keys, links)]
+            return edges + ([(at[0], at[1], keys[top], None, int(degrees[top]))] if degrees[top] else [])
 
         for batch in batches:
             out = []
             for *key, node, text in zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "node", "text"))):
                 if key != at:
-                    out += edges()
+                    out += found()
                     at, keys, sets = key, [], []
-                if keys and keys[-1] == node:  # rows of one doc_id
+                if keys and keys[-1] == node:  # rows of one doc_id, or a node that comes from both sides
                     continue
                 keys.append(node)
                 sets.append(shingles(text, size))
             yield _edge_batch(out)
-        yield _edge_batch(edges())
-
-    return members.mapInArrow(run, "u long, v long")
-
-
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+        yield _edge_batch(found())
+
+    dealt = members.select("group", "i", "j", "node", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+    return dealt.mapInArrow(run, "group long, i int, u long, v long, degree long")
+
+
+def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["group", "i", "u", "v", "degree"])
+
+
+def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block: int, hubs: int = 8) -> DataFrame:
+    """Edges (u, v) that connect what the links inside all groups (node, component) connect."""
+    n_blocks = F.when(F.count("*") > 2 * block, F.ceil(F.count("*") / block)).otherwise(1).cast("int")
+    blocks = materialize(groups.groupBy(F.col("component").alias("group")).agg(n_blocks.alias("blocks")), "blocks")
+    placed = groups.withColumnRenamed("component", "group").join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = materialize(placed.join(texts, placed["node"] == texts["doc_id"]).select("group", "blocks", "own", "node", "text"), "members")
+    own = held.withColumns({"i": F.col("own"), "j": F.col("own")})
+    first = materialize(_confirm(own, size, percent), "links")
+    wide = held.where("blocks > 1")
+    edges = first.where("v IS NOT NULL").select("u", "v")
+    if wide.isEmpty():  # then every group was in one task
+        return edges
+
+    centre = F.max(F.struct("degree", F.col("u").alias("node"))).alias("top")
+    centres = materialize(first.where("v IS NULL").groupBy("group", (F.col("i") % hubs).alias("part")).agg(centre).select("group", F.col("top.node").alias("node")), "centres")
+    everywhere = wide.join(centres, ["group", "node"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.col("i"))
+    parts = ["group", "i", "j", "node", "text"]
+    second = materialize(_confirm(own.where("blocks > 1").select(parts).unionByName(everywhere.select(parts)), size, percent).where("v IS NOT NULL"), "links")
+    edges = edges.unionByName(second.select("u", "v"))
+
+    of_wide = first.where("v IS NOT NULL").select("group", "u", "v").unionByName(second.select("group", "u", "v")).join(blocks.where("blocks > 1"), "group", "left_semi")
+    known = wide.select("group", "node").distinct().join(connected_components(of_wide.select("u", "v")), "node", "left").select("group", "node", F.coalesce("component", "node").alias("class"))
+    known = materialize(known, "known")
+    sizes = known.groupBy("group", "class").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", (-F.col("class")).alias("c"))).alias("m")).select("group", (-F.col("m.c")).alias("largest"))
+    loose = known.join(materialize(sizes, "largest"), "group").where("class <> largest").select("group", "node")
+    loose_blocks = materialize(loose.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("loose_blocks")), "loose")
+    wide = wide.join(loose_blocks, "group")
+    every = wide.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1))})
+    alone = wide.join(loose, ["group", "node"]).withColumns({"i": F.pmod(F.xxhash64("node", F.lit(1)), F.col("loose_blocks")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    third = _confirm(every.select(parts).unionByName(alone.select(parts)), size, percent)
+    return edges.unionByName(third.where("v IS NOT NULL").select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = MIN_PERCENT, block: int = BLOCK) -> DataFrame:
@@ -159,12 +203,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = M
     near = _similar(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "na", "nb", "ra", "rb"), FLOOR)
     groups = materialize(connected_components(near), "groups")
 
-    blocks = groups.groupBy(F.col("component").alias("group")).agg(F.greatest(F.lit(1), F.when(F.count("*") > 2 * block, F.ceil(F.count("*") / block)).otherwise(1)).cast("int").alias("blocks"))
-    placed = groups.withColumnRenamed("component", "group").join(materialize(blocks, "blocks"), "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.join(texts, placed["node"] == texts["doc_id"]).select("group", "node", "text", "own", F.explode(F.expr("IF(blocks = 1, array(0), filter(sequence(0, blocks - 1), o -> o <> own))")).alias("other"))
-    members = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
-    members = members.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
-    links = connected_components(_confirm(members, size, percent))
+    links = connected_components(_links(groups, texts, size, percent, block))
 
     classes = materialize(least.join(links, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id")), "classes")
     found = sketches.drop("registers").join(classes, "mark", "left")
