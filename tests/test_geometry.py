@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -30,26 +31,29 @@ def test_yolo_line(spark):
     assert line == "0 0.200000 0.200000 0.200000 0.200000"
 
 
-def literal_merge(boxes):
-    """The greedy merge, written over flags and full scans."""
-    boxes = sorted(boxes, key=lambda b: (b[1], b[0]))
-    used, out = [False] * len(boxes), []
-    for i in range(len(boxes)):
-        if used[i]:
-            continue
-        used[i], cur, changed = True, list(boxes[i]), True
-        while changed:
-            changed = False
-            for j in range(len(boxes)):
-                if not used[j] and bx._one_line(cur, boxes[j]):
-                    o = boxes[j]
-                    cur = [min(cur[0], o[0]), min(cur[1], o[1]), max(cur[2], o[2]), max(cur[3], o[3]), max(cur[4], o[4]), cur[5] if cur[4] >= o[4] else o[5]]
-                    used[j] = changed = True
-        out.append(cur)
-    return sorted(out, key=lambda b: (b[1], b[0]))
-
-
-def test_line_merge_against_literal_model(spark):
+def settle(line, others):
+    """Fold the others into a line, in their order, until a fold leaves all of them."""
+
+    def take(state, box):
+        grown, left = state
+        if not bx._one_line(grown, box):
+            return grown, [*left, box]
+        corners = [f(x, y) for f, x, y in zip((min, min, max, max, max), grown, box)]
+        return [*corners, (grown if grown[4] >= box[4] else box)[5]], left
+
+    grown, left = reduce(take, others, (line, []))
+    return (grown, left) if len(left) == len(others) else settle(grown, left)
+
+
+def by_definition(boxes):
+    """Lines of boxes in reading order, recursively."""
+    if not boxes:
+        return []
+    line, left = settle(boxes[0], boxes[1:])
+    return [line, *by_definition(left)]
+
+
+def test_line_merge_against_its_definition(spark):
     rng = random.Random(5)
     images = {}
     for k in range(300):
@@ -61,5 +65,6 @@ def test_line_merge_against_literal_model(spark):
         got.setdefault(r.image_id, []).append([r.x1, r.y1, r.x2, r.y2, r.conf, r.cls_id])
     for k, bs in images.items():
         if bs:
-            assert got[k] == literal_merge(bs)
+            place = lambda b: (b[1], b[0])
+            assert got[k] == sorted(by_definition(sorted(bs, key=place)), key=place)
             assert len(got[k]) <= len(bs)
