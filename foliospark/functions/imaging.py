@@ -210,13 +210,11 @@ def coarse_angle(image: np.ndarray) -> float:
 
 def refine_angle(image: np.ndarray, coarse: float, steps: int = 10, per_degree: float = 5.0) -> tuple[float, float]:
     """Of 21 angles around the coarse one that of the greatest projection score, the lowest on ties."""
-    plain, best = gray(image), (coarse, -1.0)
-    for i in range(2 * steps + 1):
-        angle = coarse + (i - steps) / per_degree
-        score = projection_score(rotate_keep_canvas(plain, angle))
-        if score > best[1]:
-            best = (angle, score)
-    return best
+    plain = gray(image)
+    angles = [coarse + (i - steps) / per_degree for i in range(2 * steps + 1)]
+    scores = [projection_score(rotate_keep_canvas(plain, a)) for a in angles]
+    best = int(np.argmax(scores))  # the first of equal ones
+    return angles[best], scores[best]
 
 
 def enhance(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
