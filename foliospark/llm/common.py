@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,15 @@ def fence(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     out = df.withColumn("__fence", F.monotonically_increasing_id())
     return out.withColumns({c: F.when(F.col("__fence") >= 0, F.col(c)) for c in columns}).drop("__fence")
+
+
+def forgetting(run: Callable[[Iterator], Iterator], forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """run, after which forget() is called: workers outlive their tasks, what they remember should not."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return wrapped

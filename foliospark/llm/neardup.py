@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, materialize
+from .common import forgetting, keyed_texts, materialize
 from .components import connected_components
-from .setsketch import REGISTERS, estimate, fingerprint, shingles, sketch
+from .setsketch import REGISTERS, estimate, fingerprint, forget, shingles, sketch
 
 SHINGLE_WORDS = 4
 #: Links have 100 * intersection >= MIN_PERCENT * union.
@@ -44,7 +44,7 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
                 registers.append(sketch(elements).astype("<u2").tobytes() if len(elements) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "mark", "registers"])
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, mark long, registers binary")
+    return texts.mapInArrow(forgetting(run, forget), "doc_id long, n_shingles long, mark long, registers binary")
 
 
 def _similar(pairs: DataFrame, floor: float) -> DataFrame:
@@ -137,7 +137,7 @@ def _confirm(members: DataFrame, size: int, percent: int) -> DataFrame:
         yield _edge_batch(found())
 
     dealt = members.select("group", "i", "j", "node", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
-    return dealt.mapInArrow(run, "group long, i int, u long, v long, degree long")
+    return dealt.mapInArrow(forgetting(run, forget), "group long, i int, u long, v long, degree long")
 
 
 def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -30,6 +30,12 @@ class _WordHash(dict):
 
 
 _words = _WordHash()
+
+
+def forget() -> None:
+    _words.clear()
+
+
 _PLACES = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 

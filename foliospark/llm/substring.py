@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, materialize, small_batches
+from .common import forgetting, keyed_texts, materialize, small_batches
 
 WINDOW_WORDS = 50
 NODE_WORDS = 10
@@ -47,6 +47,12 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def forget() -> None:
+    _words.clear()
+
+
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and _UNBASE**i modulo 2**64 for i up to n."""
     if not _powers or len(_powers[0]) <= n:
@@ -131,7 +137,7 @@ def repeated_nodes(texts: DataFrame, window: int, k: int) -> DataFrame:
     """(doc_id, marks) of documents with nodes that other documents have too; marks by position."""
     # Aggregates are stored before they are joined: between two stored tables
     # Spark can split the partition of a node that very many documents have.
-    nodes = materialize(texts.select("doc_id", "text").mapInArrow(lambda it: _nodes(it, window, k), "doc_id long, pos int, node long, before long, after long"), "nodes")
+    nodes = materialize(texts.select("doc_id", "text").mapInArrow(forgetting(lambda it: _nodes(it, window, k), forget), "doc_id long, pos int, node long, before long, after long"), "nodes")
     shared = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     found = materialize(nodes.join(materialize(shared, "shared"), "node"), "repeated")
     degree = found.groupBy("node").agg(*(f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))), F.count("*").alias("n"))
@@ -223,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WO
             types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array(c, t) for c, t in zip(cols, types))], ["rest", "doc_id", "text", "open", "n_words", "n_removed", "kept_sha256", "starts", "stops", "at", "hashes"])
 
-    state = materialize(by_key.mapInArrow(compact, parts), "paths")
+    state = materialize(by_key.mapInArrow(forgetting(compact, forget), parts), "paths")
     windows = state.where("open").select("doc_id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     hits = windows.join(materialize(least, "windows"), "hash").where("least < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
@@ -248,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WO
             yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array(c, t) for c, t in zip(cols, types))], ["rest", "doc_id", "text", "n_words", "n_removed", "kept_sha256"])
 
     done = state.where("NOT open").select("rest", "doc_id", "text", "n_words", "n_removed", "kept_sha256")
-    out = done.unionByName(opened.mapInArrow(finish, f"rest {rest_type}, doc_id long, text string, " + _OUT))
+    out = done.unionByName(opened.mapInArrow(forgetting(finish, forget), f"rest {rest_type}, doc_id long, text string, " + _OUT))
     if carry:
         return out.select([F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns])
     return out.drop("rest") if with_text else out.drop("rest", "text")
