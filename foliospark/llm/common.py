@@ -68,10 +68,32 @@ def fence(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns({c: F.when(F.col("__fence") >= 0, F.col(c)) for c in columns}).drop("__fence")
 
 
+#: What one operator's tasks remember in this worker, to be dropped when another operator's task comes.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def _claim(owner: str, forget: Callable[[], None] | None) -> None:
+    for name in [k for k in _kept if k != owner]:
+        _kept.pop(name)()
+    if forget is not None:
+        _kept[owner] = forget
+
+
+def remembering(run: Callable[[Iterator], Iterator], owner: str, forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """run, whose memory is kept for the owner's next task and dropped by any other that claims the worker."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        _claim(owner, forget)
+        yield from run(batches)
+
+    return wrapped
+
+
 def forgetting(run: Callable[[Iterator], Iterator], forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
     """run, after which forget() is called: workers outlive their tasks, what they remember should not."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        _claim("", None)
         try:
             yield from run(batches)
         finally:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forgetting, keyed_texts, materialize
+from .common import keyed_texts, materialize, remembering
 from .cutting_stock import plan
 
 SEQUENCE_TOKENS = 2048
@@ -66,10 +66,6 @@ class WordIds(dict):
             self[word] = out
         return out
 
-    def forget(self) -> None:
-        self.clear()
-        self.pieces.clear()
-
     def encode(self, text: str, end: int) -> bytes:
         words = text.split(" ") if any(c in text for c in _SEPARATORS) else text.split()
         return b"".join(map(self.__getitem__, words)) + struct.pack("<I", end)
@@ -102,6 +98,10 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _forget_words() -> None:
+    _word_ids.cache_clear()
+
+
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end: int = 1, size: int = SEQUENCE_TOKENS) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens. Narrow: no shuffle."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -119,10 +119,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end: int = 1, size: int = S
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    def forget() -> None:
-        _word_ids(tokenizer_path).forget()
-
-    return keyed_texts(docs).mapInArrow(forgetting(run, forget), ", ".join(f"{n} long" for n in names))
+    return keyed_texts(docs).mapInArrow(remembering(run, "packing", _forget_words), ", ".join(f"{n} long" for n in names))
 
 
 def assign(pieces: DataFrame, size: int = SEQUENCE_TOKENS, unit: int = UNIT) -> DataFrame:
