@@ -94,47 +94,47 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return fence(out, ["__base"]).drop("__digits", *(f"__m_{k}" for k in KINDS), *(f"__p_{k}" for k in KINDS))
 
 
-#: Distinct context lines that must hold a term and an entity together before anything is concluded.
-MIN_LINES = 3
 #: Share of an entity's information content that a term may reveal.
 MAX_DISCLOSURE = 0.9
 _TERM = r"[\p{L}\p{N}_]{3,}"
 
 
-def disclosing_terms(docs: DataFrame, min_lines: int = MIN_LINES, max_disclosure: float = MAX_DISCLOSURE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, max_disclosure: float = MAX_DISCLOSURE) -> DataFrame:
     """(doc_id, terms): what reveals a protected entity of that document too strongly.
 
-    With counts of lines over the whole corpus, term t and entity e, it is
-    log(N n(t,e) / (n(t) n(e))) >= max_disclosure * log(N / n(e)), where at
-    least min_lines different lines hold both (copies of a line are one).
+    With counts of different lines over the whole corpus (copies of a line are
+    one), term t and entity e, it is
+    log(N n(t,e) / ((n(t) + 1) n(e))) >= max_disclosure * log(N / n(e)).
+    The one more line stands for those outside the corpus that hold the term
+    without the entity. So every entity is assessed, one that stands in a
+    single line too, and how rare its terms must be follows from the corpus:
+    below about a thousand lines no single line proves anything.
     Counts are pre-aggregated before every shuffle.
     """
     found = with_base_spans(docs).where(F.size("__base") > 0)
     lines = found.select("doc_id", F.array_distinct(F.transform("__base", lambda x: x["value"])).alias("values"), F.explode(F.split("__text", "\n")).alias("line"))
     occurs = lines.select("doc_id", "line", F.explode(F.expr("filter(values, v -> instr(line, v) > 0)")).alias("entity"))
     occurs = materialize(occurs, "contexts")
-    entities = occurs.groupBy("entity", F.xxhash64("line").alias("h")).agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("lines")).where(F.col("lines") >= min_lines)
+    contexts = materialize(occurs.select("entity", "line").distinct(), "lines")
+    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
     entities = materialize(entities, "entities")  # so that Spark can split an entity of very many lines in the join
     terms = F.expr(f"array_distinct(filter(regexp_extract_all(line, r'{_TERM}', 0), t -> instr(entity, t) = 0))")
-    pairs = occurs.join(entities, "entity").select("entity", "n_e", F.xxhash64("line").alias("h"), F.explode(terms).alias("term"))
-    pairs = pairs.groupBy("entity", "n_e", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines")).where(F.col("lines") >= min_lines)
-    pairs = materialize(pairs.select("entity", "term", "n_e", "n_te"), "pairs")
-    if pairs.isEmpty():  # then no count of terms can matter
-        return occurs.sparkSession.createDataFrame([], "doc_id long, terms array<string>")
-    every = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    words = every.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(line, r'{_TERM}', 0))")).alias("term"))
-    n_lines = every.where(F.col("line").rlike(f"[^{SPACE}]")).count()
+    pairs = contexts.select("entity", F.explode(terms).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = materialize(pairs, "pairs").join(entities, "entity")
+    every = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(F.col("line").rlike(f"[^{SPACE}]"))
+    n_lines = every.select(F.xxhash64("line")).distinct().count()
+    words = every.distinct().select(F.explode(F.expr(f"array_distinct(regexp_extract_all(line, r'{_TERM}', 0))")).alias("term"))
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = F.log(F.lit(float(n_lines)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) >= max_disclosure * F.log(F.lit(float(n_lines)) / F.col("n_e"))
-    disclosed = pairs.join(n_t, "term").where(told & (F.col("n_e") < n_lines)).select("entity", "term")
-    hits = occurs.join(disclosed, "entity").where(F.expr("instr(line, term) > 0")).select("doc_id", "term")
+    told = F.log(F.lit(float(n_lines)) * F.col("n_te") / ((F.col("n_t") + 1) * F.col("n_e"))) >= max_disclosure * F.log(F.lit(float(n_lines)) / F.col("n_e"))
+    disclosed = materialize(pairs.join(n_t, "term").where(told & (F.col("n_e") < n_lines)).select("entity", "term"), "disclosed")
+    hits = occurs.select("doc_id", "entity", F.explode(terms).alias("term")).join(disclosed, ["entity", "term"]).select("doc_id", "term")
     return materialize(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), "terms")
 
 
 _ANY_SPANS = "cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>)"
 
 
-def sanitize(docs: DataFrame, min_lines: int = MIN_LINES, max_disclosure: float = MAX_DISCLOSURE) -> DataFrame:
+def sanitize(docs: DataFrame, max_disclosure: float = MAX_DISCLOSURE) -> DataFrame:
     """Documents (doc_id, text and any other columns) with spans and sanitized text.
 
     Adds spans: array<struct<start, kind, end, value>>, sorted (kind 0-3 as in
@@ -142,12 +142,14 @@ def sanitize(docs: DataFrame, min_lines: int = MIN_LINES, max_disclosure: float
     sanitized: the text with each span replaced by its kind's mark (of spans
     that overlap, the first). A null text stays null and has no spans; null
     ids, repeated rows and further columns pass through, columns of these names
-    are replaced; an empty table gives an empty one. The terms are joined as a
-    small table; where they are many, by a sort-merge join.
+    are replaced; an empty table gives an empty one. Only rows with an entity
+    are joined with terms, as the others have none.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    terms = disclosing_terms(texts, min_lines, max_disclosure).select(F.col("doc_id").cast("long").alias("__key"), F.col("terms").alias("__terms"))
-    out = with_base_spans(docs.join(terms, F.col("doc_id") == F.col("__key"), "left"))
+    terms = disclosing_terms(texts, max_disclosure).select(F.col("doc_id").cast("long").alias("__key"), F.col("terms").alias("__terms"))
+    every = with_base_spans(docs)
+    without = every.where(F.size("__base") == 0).withColumns({"__key": F.lit(None).cast("long"), "__terms": F.lit(None).cast("array<string>")})
+    out = every.where(F.size("__base") > 0).join(terms, F.col("doc_id") == F.col("__key"), "left").unionByName(without)
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     out = out.withColumn("__pattern", pattern)
     none = F.array().cast("array<string>")

@@ -228,6 +228,14 @@ def test_disclosing_terms(spark):
     assert out[150].sanitized == out[150].text and out[900].n_term == 0  # copies of one line prove nothing
 
 
+def test_terms_of_an_entity_in_one_line(spark):
+    rows = [(i, f"please write us about item {i} at noon\nmore of item {i} with names") for i in range(1000)]
+    rows += [(5000 + k, "please write us at noon about Ykcoowrebba one@only.org today") for k in range(3)] + [(6000, "names with Ghtlqm and names\nnothing else here")]
+    out = {r.doc_id: r for r in pii.sanitize(docs(spark, rows)).collect()}
+    assert all(out[5000 + k].sanitized == "please write us at noon about <TERM> <EMAIL> <TERM>" and out[5000 + k].n_term == 2 for k in range(3))
+    assert out[6000].sanitized == out[6000].text and out[3].n_term == 0  # rare, but beside no entity
+
+
 # 6: language model
 
 
