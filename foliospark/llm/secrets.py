@@ -37,6 +37,7 @@ MAX_CHARS_A_TOKEN = 2.0
 _IS_HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _IS_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _IS_NAME = re.compile(r"[/_-]*[A-Za-z]+([/_=-]+[A-Za-z]+)*[/_=-]*[0-9]{0,4}[/_=-]*\Z")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _IS_NUMBER = re.compile(r"[0-9+/_=-]+\Z")
 
 
@@ -58,8 +59,12 @@ def _encoding(rank_path: str, pattern: str) -> tiktoken.Encoding:
 
 def looks_random(run: str, encoding: tiktoken.Encoding, max_chars_a_token: float = MAX_CHARS_A_TOKEN) -> bool:
     """Whether a run is neither a known form nor written in few tokens."""
-    if _IS_NAME.match(run) or _IS_NUMBER.match(run) or _IS_UUID.match(run) or (_IS_HEX.match(run) and len(run) in DIGEST_LENGTHS):
+    if _IS_NUMBER.match(run) or _IS_UUID.match(run) or (_IS_HEX.match(run) and len(run) in DIGEST_LENGTHS):
         return False
+    if _IS_NAME.match(run):  # an identifier only where its words are in the vocabulary; separators cost tokens but prove nothing
+        words = _LETTERS.findall(run)
+        if sum(map(len, words)) >= max_chars_a_token * sum(len(encoding.encode_ordinary(w)) for w in words):
+            return False
     return len(run) < max_chars_a_token * len(encoding.encode_ordinary(run))
 
 

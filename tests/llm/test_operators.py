@@ -295,6 +295,18 @@ def test_secret_rules_against_plain_regular_expressions():
         assert got["hex"] == [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
 
 
+def test_secrets_of_letters_only():
+    rng, enc = random.Random(5), secrets._encoding(RANKS, public_tokenizers.PATTERN)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters, least in ((lower + upper, 0.98), (lower, 0.85), (upper, 0.95)):
+        keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 40) for _ in range(100)]
+        assert sum(secrets.scan(f"use {k} now", enc)["random"] == [(4, 4 + len(k))] for k in keys) >= least * len(keys)
+    groups = ["-".join("".join(rng.choice(lower) for _ in range(4)) for _ in range(5)) for _ in range(100)]
+    assert sum(secrets.looks_random(g, enc) for g in groups) >= 85
+    for name in ("some_long_identifier_name_here", "getDocumentElementByIdentifier", "/usr/local/share/documents/readme", "MAXIMUM_NUMBER_OF_CONNECTIONS", "internationalization", "list_of_all_the_names_2024"):
+        assert not secrets.looks_random(name, enc)
+
+
 # 8: quality rules
 
 
