@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -278,10 +279,12 @@ _TARGETS = ["0", "90", "180", "270"]
 
 
 def _balanced(spark, d):
+    """Records of all splits, each split's grouped by itself, and the picks that balance train."""
     rows = i.records(spark, d).withColumn("class_name", F.element_at(F.array(*map(F.lit, _TARGETS)), (F.pmod(F.col("record_id").cast("int"), F.lit(7)) % 4 + 1).cast("int")))
-    rows = cu.document_groups(rows.where("split_name = 'train'")).withColumn("canonical_hash_hex", s.hash_hex(F.col("canonical_hash_int")))
+    rows = rows.withColumn("canonical_hash_hex", s.hash_hex(F.col("canonical_hash_int")))
+    train, *others = [cu.document_groups(rows.where(F.col("split_name") == name)) for name in cu.SPLITS]
     dim = spark.createDataFrame([(c,) for c in _TARGETS], ["class_name"])
-    return rows, cu.balance(rows, dim)
+    return reduce(DataFrame.unionByName, others, train), cu.balance(train, dim)
 
 
 @query()

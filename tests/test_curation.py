@@ -1,3 +1,5 @@
+import collections
+import os
 import random
 
 import pytest
@@ -6,6 +8,9 @@ from pyspark.sql import functions as F
 from foliospark.operators import curation as cu
 from foliospark.operators import evaluation as ev
 from foliospark.operators import routing as ro
+from foliospark.plans import registry
+
+DIR = "/root/testdata/sf0.001"
 
 
 def test_hash_pairs_against_brute_force(spark):
@@ -85,3 +90,15 @@ def test_rotation_ties_take_the_first_angle(spark):
     df = spark.createDataFrame([("a", a, [1.0, 1.0, 0.0, 0.0]) for a in (270, 0, 90, 180)], "image_id string, angle int, logits array<double>")
     row = ro.rotation_log(ro.rotation_scores(df)).first()
     assert row.best_rotation_angle == 0 and row.pred_class_rot90 == 0 and row.status == "suspect"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
+def test_manifest_holds_the_originals_of_all_splits(spark):
+    ids = [r.doc_id for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id").collect()]
+    want = collections.Counter(cu.SPLITS[i % 3] for i in ids)
+    rows = registry.queries()["manifest_union"](spark, DIR).collect()
+    assert collections.Counter(r.split_name for r in rows if r.row_type == "original") == want
+    assert {r.split_name for r in rows if r.row_type == "augmented"} == {"train"}
+    report = registry.queries()["curation_report"](spark, DIR).first()
+    made = collections.Counter(r.split_name for r in rows)
+    assert {x.split_name: x.images for x in report.splits} == dict(made) and report.total == len(rows)
