@@ -9,6 +9,7 @@ document's score is the sum of its words' conditional log-probabilities.
 Word statistics cover the whole corpus. So does training: in each round every
 partition starts from the shared weights, trains on masked words of all its
 documents, and the partitions' weights are averaged by their number of words.
+Rounds go through disjoint masks, which together hold every word.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ VOCABULARY = 20_000
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 32
 ROUNDS = 2
-MASKED = 0.08
+#: Share of a document's positions that a round masks at least; more, where the rounds would not else mask each once.
+MASKED = 0.5
 BATCH = 2048
 RATE = 0.1
 _EDGE = CLASSES  # stands for what lies beyond a document's ends
@@ -200,14 +202,22 @@ def classify(texts: DataFrame, vocabulary) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_words long, classes binary, word_log double")
 
 
-def _train_round(classified: DataFrame, weights: np.ndarray, number: int, masked: float) -> np.ndarray:
+def masked_positions(key: int | None, n: int, number: int, masks: int) -> np.ndarray:
+    """Positions of a document that round number masks: any `masks` rounds in a row mask each once."""
+    if masks == 1:
+        return np.arange(n)
+    dealt = np.random.default_rng([(key or 0) & 0xFFFFFFFF, n]).integers(0, masks, n, dtype=np.uint16)
+    return np.flatnonzero(dealt == number % masks)
+
+
+def _train_round(classified: DataFrame, weights: np.ndarray, number: int, masks: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, trained = Network(weights), 0
         held, wanted, waiting = [], [], 0
         for batch in batches:
             for key, given in zip(batch.column("doc_id").to_pylist(), batch.column("classes").to_pylist()):
                 classes = np.frombuffer(given, np.uint8).astype(np.int64)
-                at = np.flatnonzero(np.random.default_rng([number, (key or 0) & 0xFFFFFFFF, len(classes)]).random(len(classes), dtype=np.float32) < masked)
+                at = masked_positions(key, len(classes), number, masks)
                 if not len(at):
                     continue
                 held.append(_contexts(classes, at))
@@ -215,10 +225,11 @@ def _train_round(classified: DataFrame, weights: np.ndarray, number: int, masked
                 waiting += len(at)
                 if waiting >= BATCH:
                     context, target = np.concatenate(held), np.concatenate(wanted)
-                    for i in range(0, waiting, BATCH):
+                    whole = waiting - waiting % BATCH
+                    for i in range(0, whole, BATCH):
                         net.step(context[i : i + BATCH], target[i : i + BATCH])
-                    trained += waiting
-                    held, wanted, waiting = [], [], 0
+                    trained += whole
+                    held, wanted, waiting = [context[whole:]], [target[whole:]], waiting - whole
         if waiting:
             net.step(np.concatenate(held), np.concatenate(wanted))
             trained += waiting
@@ -250,8 +261,9 @@ def score_texts(docs: DataFrame, size: int = VOCABULARY, rounds: int = ROUNDS, m
     vocabulary = spark.sparkContext.broadcast(learn_vocabulary(texts, size))
     classified = materialize(classify(texts, vocabulary), "classes")
     weights = initial_weights()
+    masks = max(1, min(rounds, int(1 / masked)))
     for number in range(rounds):
-        weights = _train_round(classified, weights, number, masked)
+        weights = _train_round(classified, weights, number, masks)
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

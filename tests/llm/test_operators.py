@@ -270,6 +270,15 @@ def test_word_probabilities_of_a_class_sum_to_at_most_one(spark):
     assert max(mass.values()) <= 1.0001
 
 
+def test_every_word_is_a_training_target(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score, "_train_round", lambda c, w, number, masks: seen.append((number, masks)) or w)
+    lm_score.score_texts(docs(spark, [(1, "a b c")]))
+    for n in (0, 1, 7, 500):
+        at = np.concatenate([lm_score.masked_positions(3, n, number, masks) for number, masks in seen])
+        assert sorted(at.tolist()) == list(range(n))
+
+
 # 7: secrets
 
 
