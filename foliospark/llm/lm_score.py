@@ -28,7 +28,9 @@ from .common import keyed_texts, materialize
 
 OWN_CLASSES, SHARED_CLASSES = 96, 32
 CLASSES = OWN_CLASSES + SHARED_CLASSES
-#: The most frequent words that have a probability of their own; others share their class's remainder.
+#: Distinct words up to which there are CLASSES; with more, classes grow with their fourth root.
+TYPES = 1 << 20
+#: The most frequent words, which every worker knows; the counts of all others are joined. Scores do not depend on it.
 VOCABULARY = 20_000
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 32
@@ -37,7 +39,6 @@ ROUNDS = 2
 MASKED = 0.5
 BATCH = 2048
 RATE = 0.1
-_EDGE = CLASSES  # stands for what lies beyond a document's ends
 _ROWS = 4096
 
 
@@ -45,33 +46,38 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def _shared_class(word: bytes) -> int:
-    return OWN_CLASSES + xxhash.xxh32_intdigest(word[-2:]) % SHARED_CLASSES
+def _shared_class(word: bytes, own: int, shared: int) -> int:
+    return own + xxhash.xxh32_intdigest(word[-2:]) % shared
 
 
 @dataclass
 class Vocabulary:
-    """Class and log-probability inside the class of the frequent words; per class that of any other word."""
+    """Class and log-probability inside the class of the frequent words; per class the logarithm of its words' number."""
 
     words: dict[bytes, tuple[int, float]]
-    rest: list[float]
+    totals: list[float]
+    own: int
+    shared: int
+
+    @property
+    def classes(self) -> int:
+        return self.own + self.shared
 
     def lookup(self) -> _Lookup:
         return _Lookup(self)
 
 
 class _Lookup(dict):
-    """Word to an index into classes and log-probabilities; unseen words are added while there is room."""
+    """Word to an index into classes and log-probabilities, for a word from `known` on without its own count; such words are added while there is room."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__((w, i) for i, w in enumerate(vocabulary.words))
-        n = len(vocabulary.words)
-        self.known = n
-        self.classes = np.array([c for c, _ in vocabulary.words.values()] + list(range(OWN_CLASSES, CLASSES)), dtype=np.int64)
-        self.logs = np.array([p for _, p in vocabulary.words.values()] + vocabulary.rest[OWN_CLASSES:])
+        self.known, self.own, self.shared = len(vocabulary.words), vocabulary.own, vocabulary.shared
+        self.classes = np.array([c for c, _ in vocabulary.words.values()] + list(range(self.own, vocabulary.classes)), dtype=np.int64)
+        self.logs = np.array([p for _, p in vocabulary.words.values()] + [-t for t in vocabulary.totals[self.own :]])
 
     def __missing__(self, word: bytes) -> int:
-        i = self.known + _shared_class(word) - OWN_CLASSES
+        i = self.known + _shared_class(word, self.own, self.shared) - self.own
         if len(self) < self.known + 300_000 and len(word) < 64:
             self[word] = i
         return i
@@ -97,8 +103,11 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    counts = materialize(count_words(texts), "words")
+def learn_vocabulary(texts: DataFrame, size: int = VOCABULARY, counts: DataFrame | None = None) -> Vocabulary:
+    counts = materialize(count_words(texts), "words") if counts is None else counts
+    growth = max(1.0, (counts.count() / TYPES) ** 0.25)
+    own, shared = round(OWN_CLASSES * growth), round(SHARED_CLASSES * growth)
+    size = max(size, own)
     # A histogram of rounded logarithms, a thousand rows at most, gives the count from which words belong;
     # sorting would send every task's first words to the driver.
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -110,39 +119,32 @@ def learn_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     chosen = [] if lowest is None else counts.where(level >= lowest).collect()
     top = sorted(((bytes(r["word"]), r["n"]) for r in chosen), key=lambda x: (-x[1], x[0]))
     # Totals per ending: as many rows as there are pairs of last bytes, 65,536 at most.
-    ends = counts.groupBy(F.expr("substring(word, -2, 2)").alias("end")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
-    mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    ends = counts.groupBy(F.expr("substring(word, -2, 2)").alias("end")).agg(F.sum("n").alias("n")).collect()
+    mass = np.zeros(own + shared)
     for r in ends:
-        c = _shared_class(bytes(r["end"]))
-        mass[c] += r["n"]
-        types[c] += r["types"]
-    classes = {w: i if i < OWN_CLASSES else _shared_class(w) for i, (w, _) in enumerate(top)}
-    for i, (w, n) in enumerate(top):
-        if i < OWN_CLASSES:
-            mass[i] = n
-            mass[_shared_class(w)] -= n
-            types[_shared_class(w)] -= 1
-    left, left_types = mass.copy(), types.copy()
-    for w, n in top[OWN_CLASSES:]:
-        left[classes[w]] -= n
-        left_types[classes[w]] -= 1
+        mass[_shared_class(bytes(r["end"]), own, shared)] += r["n"]
+    classes = {w: i if i < own else _shared_class(w, own, shared) for i, (w, _) in enumerate(top)}
+    for i, (w, n) in enumerate(top[:own]):
+        mass[i] = n
+        mass[_shared_class(w, own, shared)] -= n
     total = mass + 1  # one count is kept for words never seen
-    rest = np.log((np.maximum(left, 0) + 1) / (np.maximum(left_types, 0) + 1) / total)
-    return Vocabulary({w: (classes[w], float(np.log(n / total[classes[w]]))) for w, n in top}, rest.tolist())
+    return Vocabulary({w: (classes[w], float(np.log(n / total[classes[w]]))) for w, n in top}, np.log(total).tolist(), own, shared)
 
 
-def initial_weights(seed: int = 7) -> np.ndarray:
+def initial_weights(seed: int = 7, classes: int = CLASSES) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 0.1, len(OFFSETS) * (CLASSES + 1) * HIDDEN), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN * CLASSES), np.zeros(CLASSES)]
+    parts = [rng.normal(0, 0.1, len(OFFSETS) * (classes + 1) * HIDDEN), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN * classes), np.zeros(classes)]
     return np.concatenate(parts).astype(np.float32)
 
 
 class Network:
     def __init__(self, weights: np.ndarray):
         self.flat = weights.astype(np.float32).copy()
-        sizes = np.cumsum([len(OFFSETS) * (CLASSES + 1) * HIDDEN, HIDDEN, HIDDEN * CLASSES, CLASSES])
+        positions = len(OFFSETS)
+        self.classes = classes = (len(self.flat) - (positions + 1) * HIDDEN) // ((positions + 1) * HIDDEN + 1)
+        sizes = np.cumsum([positions * (classes + 1) * HIDDEN, HIDDEN, HIDDEN * classes, classes])
         tables, self.bias, out, self.prior = np.split(self.flat, sizes[:-1])
-        self.tables, self.out = tables.reshape(len(OFFSETS), CLASSES + 1, HIDDEN), out.reshape(HIDDEN, CLASSES)
+        self.tables, self.out = tables.reshape(positions, classes + 1, HIDDEN), out.reshape(HIDDEN, classes)
         self.seen = np.full_like(self.flat, 1e-3)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +172,7 @@ class Network:
         back = (d @ self.out.T) * (1 - h * h)
         tables = np.zeros_like(self.tables)
         for p in range(len(OFFSETS)):
-            hot = np.zeros((n, CLASSES + 1), dtype=np.float32)
+            hot = np.zeros((n, self.classes + 1), dtype=np.float32)
             hot[np.arange(n), context[:, p]] = 1
             tables[p] = hot.T @ back
         grad = np.concatenate([tables.ravel(), back.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0)]).astype(np.float32)
@@ -178,28 +180,46 @@ class Network:
         self.flat -= rate * grad / np.sqrt(self.seen)
 
 
-def _contexts(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([[_EDGE, _EDGE], classes, [_EDGE, _EDGE]])
+def _contexts(classes: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
+    """Classes around positions; edge stands for what lies beyond a document's ends."""
+    padded = np.concatenate([[edge, edge], classes, [edge, edge]])
     return np.stack([padded[at + 2 + o] for o in OFFSETS], axis=1)
 
 
 def classify(texts: DataFrame, vocabulary) -> DataFrame:
-    """(doc_id, n_words, classes as bytes, word_log: sum of the words' log-probabilities inside their classes)."""
+    """(row, doc_id, n_words, classes as two bytes each, word_log, rare, times).
+
+    word_log is the sum of the words' log-probabilities inside their classes,
+    where each of the rare words, which occurs so many times, counts as once seen.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = vocabulary.value.lookup()
-        classes_of, logs_of = lookup.classes.astype(np.uint8), lookup.logs
+        classes_of, logs_of = lookup.classes.astype(np.uint16), lookup.logs
         for batch in batches:
-            counts, classes, logs = [], [], []
+            counts, classes, logs, rare, times = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = _words(text)
                 ids = np.fromiter(map(lookup.__getitem__, found), dtype=np.int64, count=len(found))
                 counts.append(len(found))
                 classes.append(classes_of[ids].tobytes())
                 logs.append(float(logs_of[ids].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(logs, pa.float64())], ["doc_id", "n_words", "classes", "word_log"])
+                others = Counter([found[i] for i in np.flatnonzero(ids >= lookup.known).tolist()])
+                rare.append(list(others))
+                times.append(list(others.values()))
+            arrays = [pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *arrays], ["row", "doc_id", "n_words", "classes", "word_log", "rare", "times"])
 
-    return texts.mapInArrow(run, "doc_id long, n_words long, classes binary, word_log double")
+    ddl = "row long, doc_id long, n_words long, classes binary, word_log double, rare array<binary>, times array<long>"
+    return texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl)
+
+
+def with_rare_words(classified: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_words, classes, word_log) with the rare words' own counts in word_log."""
+    rare = classified.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    logs = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("rare_log"))
+    rows = classified.select("row", "doc_id", "n_words", "classes", "word_log").join(logs, "row", "left")
+    return rows.select("doc_id", "n_words", "classes", (F.col("word_log") + F.coalesce("rare_log", F.lit(0.0))).alias("word_log"))
 
 
 def masked_positions(key: int | None, n: int, number: int, masks: int) -> np.ndarray:
@@ -216,11 +236,11 @@ def _train_round(classified: DataFrame, weights: np.ndarray, number: int, masks:
         held, wanted, waiting = [], [], 0
         for batch in batches:
             for key, given in zip(batch.column("doc_id").to_pylist(), batch.column("classes").to_pylist()):
-                classes = np.frombuffer(given, np.uint8).astype(np.int64)
+                classes = np.frombuffer(given, np.uint16).astype(np.int64)
                 at = masked_positions(key, len(classes), number, masks)
                 if not len(at):
                     continue
-                held.append(_contexts(classes, at))
+                held.append(_contexts(classes, at, net.classes))
                 wanted.append(classes[at])
                 waiting += len(at)
                 if waiting >= BATCH:
@@ -252,15 +272,20 @@ def score_texts(docs: DataFrame, size: int = VOCABULARY, rounds: int = ROUNDS, m
     Returns doc_id, n_words, pll (sum of the words' log-probabilities) and
     mean_log_prob (0 without words). A null or empty text has no words and
     scores 0. Repeated rows and null doc_ids give a row each; an empty table
-    gives an empty one; other columns are ignored. What reaches the driver has
-    a fixed size: the vocabulary and one set of weights a round. Texts are read
-    twice; rounds and scoring read one stored byte per word.
+    gives an empty one; other columns are ignored. Every word has its own
+    probability inside its class: the most frequent are broadcast, the counts
+    of the others are joined. The classes grow with the number of distinct
+    words. What reaches the driver is the frequent words and one set of weights
+    a round. Texts are read twice; rounds and scoring read two stored bytes per
+    word.
     """
     spark = docs.sparkSession
     texts = keyed_texts(docs)
-    vocabulary = spark.sparkContext.broadcast(learn_vocabulary(texts, size))
+    counts = materialize(count_words(texts), "words")
+    learned = learn_vocabulary(texts, size, counts)
+    vocabulary = spark.sparkContext.broadcast(learned)
     classified = materialize(classify(texts, vocabulary), "classes")
-    weights = initial_weights()
+    weights = initial_weights(classes=learned.classes)
     masks = max(1, min(rounds, int(1 / masked)))
     for number in range(rounds):
         weights = _train_round(classified, weights, number, masks)
@@ -269,16 +294,16 @@ def score_texts(docs: DataFrame, size: int = VOCABULARY, rounds: int = ROUNDS, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(shared.value)
         left, right = net.pair_tables()
-        edge = np.full(2, _EDGE, np.int64)
+        edge, wide = np.full(2, net.classes, np.int64), net.classes + 1
         for batch in batches:
             counts = np.array(batch.column("n_words").to_pylist(), dtype=np.int64)
-            parts = [x for given in batch.column("classes").to_pylist() for x in (edge, np.frombuffer(given, np.uint8).astype(np.int64), edge)]
+            parts = [x for given in batch.column("classes").to_pylist() for x in (edge, np.frombuffer(given, np.uint16).astype(np.int64), edge)]
             padded = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             place = np.arange(int(counts.sum())) + 2 + 4 * np.repeat(np.arange(len(counts)), counts)
             logs = np.zeros(len(place))
             for i in range(0, len(place), _ROWS):
                 at = place[i : i + _ROWS]
-                h = np.tanh(left[padded[at - 2] * (CLASSES + 1) + padded[at - 1]] + right[padded[at + 1] * (CLASSES + 1) + padded[at + 2]])
+                h = np.tanh(left[padded[at - 2] * wide + padded[at - 1]] + right[padded[at + 1] * wide + padded[at + 2]])
                 z = h @ net.out
                 z += net.prior
                 top = z.max(axis=1)
@@ -292,4 +317,4 @@ def score_texts(docs: DataFrame, size: int = VOCABULARY, rounds: int = ROUNDS, m
             mean = np.round(sums / np.maximum(counts, 1), 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), pa.array(mean)], ["doc_id", "n_words", "pll", "mean_log_prob"])
 
-    return classified.mapInArrow(run, "doc_id long, n_words long, pll double, mean_log_prob double")
+    return with_rare_words(classified, counts).mapInArrow(run, "doc_id long, n_words long, pll double, mean_log_prob double")

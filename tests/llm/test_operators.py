@@ -279,6 +279,18 @@ def test_every_word_is_a_training_target(spark, monkeypatch):
         assert sorted(at.tolist()) == list(range(n))
 
 
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}a" for i in range(200) for _ in range(200 - i)]
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[i::40])) for i in range(40)]
+    every, few = ({r.doc_id: r for r in lm_score.score_texts(docs(spark, rows), size=n).collect()} for n in (10_000, 150))
+    assert all(every[i].pll == pytest.approx(few[i].pll, abs=1e-3) for i, _ in rows)  # whether broadcast or joined
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm_score, "TYPES", 8)
+    assert lm_score.learn_vocabulary(texts).classes > 2 * lm_score.CLASSES
+
+
 # 7: secrets
 
 
