@@ -37,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of least doc_id; rows without doc_id stay. Rows of one doc_id are one document."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, size=5).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -50,6 +50,21 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+def test_near_dedup_is_on_five_words(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(200)]
+        near = list(base)
+        for at in rng.sample(range(5, 195, 10), g % 7):
+            near[at] = "changed"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i for i in sets if i % 2 == 0 or 100 * len(sets[i] & sets[i - 1]) < 80 * len(sets[i] | sets[i - 1])}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_against_sql(spark, name):
