@@ -8,7 +8,8 @@ one edge; runs of such nodes are its nonbranching paths. A path is compacted
 to one span per document: every occurrence is the same words, so the least
 document that holds one of its nodes decides for all windows inside. Only
 windows across a branch or a path's end are compared one by one, by their
-hashes, and all marks are verified at their coordinates in the source text.
+hashes. Marks are recomputed from the document's own text at their coordinates;
+the earlier document's words are not read, so equality rests on 64-bit hashes.
 
 Every window of ``window`` words holds its own minimiser, which is chosen
 whatever surrounds the window, so no repeated window is missed.
