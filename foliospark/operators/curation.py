@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import hamming, imbalance, imbalance_advice, required_rotation
 from ..functions.text import document_id
+from ..storage import store
 
 SPLITS = ("train", "valid", "test")
 #: Hash bits that are divided among the bands.
@@ -46,69 +50,92 @@ def _within(a: DataFrame, b: DataFrame, records: DataFrame, distance: int, hash_
 
 
 def near_pairs(records: DataFrame, distance: int, id_col: str = "record_id", hash_col: str = "canonical_hash_int") -> DataFrame:
-    """Pairs of records within the distance, record_a < record_b, equal hashes included."""
+    """Every pair of records within the distance, record_a < record_b, equal hashes included. Copies give all their pairs: document_groups and leakage_summary need none of them."""
     side = lambda t: records.select(F.col(id_col).alias(f"record_{t}"), F.col(hash_col).alias(f"hash_{t}"))
     return _within(side("a"), side("b"), records, distance, hash_col).where("record_a < record_b").select("record_a", "record_b", "hamming_distance")
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over edges (a, b); nodes without edges are their own.
 
     Labels go to neighbours and then to their label's label, so rounds grow
-    with the logarithm of the longest chain; each round is checkpointed.
+    with the logarithm of the longest chain; each round is stored. It ends when
+    no label changes, which it must, as labels only ever fall.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).distinct()
-    for _ in range(max_rounds):
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = store(both, "edges")
+    labels, changed = nodes.select("node", F.col("node").alias("label")).distinct(), True
+    while changed:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         told = labels.join(heard, "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("near"))
         hop = told.select(F.col("node").alias("near"), F.col("near").alias("far"))
-        new = told.join(hop, "near", "left").select("node", F.coalesce("far", "near").alias("next"), "label").checkpoint()
+        new = store(told.join(hop, "near", "left").select("node", F.coalesce("far", "near").alias("next"), "label"), "labels")
         changed = not new.where("next <> label").isEmpty()
         labels = new.select("node", F.col("next").alias("label"))
-        if not changed:
-            break
     return labels.withColumnRenamed("label", "component")
 
 
 def document_groups(records: DataFrame, distance: int = 0, hash_col: str = "canonical_hash_int", order_col: str = "record_id") -> DataFrame:
     """Records with document_group_id doc_000000, ..., numbered by their first record.
 
-    At distance 0 groups are equal hashes; beyond, what near hashes connect.
-    The numbers come from a rank over the groups, not over the records.
+    At distance 0 groups are equal hashes; beyond, what near hashes connect. A
+    record without a hash is a group of its own. The numbers come from a rank
+    over the groups, not over the records.
     """
+    alone = F.concat(F.lit("#"), F.col(order_col).cast("string"))
     if distance == 0:
-        keyed = records.withColumn("group_key", F.col(hash_col))
+        keyed = records.withColumn("group_key", F.coalesce(F.col(hash_col).cast("string"), alone))
     else:
-        nodes = records.select(F.col(hash_col).alias("node")).distinct()
+        nodes = records.select(F.col(hash_col).alias("node")).where("node IS NOT NULL").distinct()
         near = hash_pairs(records, distance, hash_col).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"))
-        keyed = records.join(components(near, nodes).withColumnRenamed("component", "group_key"), F.col(hash_col) == F.col("node")).drop("node")
+        keyed = records.join(components(near, nodes), F.col(hash_col) == F.col("node"), "left").withColumn("group_key", F.coalesce(F.col("component").cast("string"), alone)).drop("node", "component")
     first = keyed.groupBy("group_key").agg(F.min(order_col).alias("first"))
-    numbered = number_rows(first, "first").select("group_key", document_id(F.col("number")).alias("document_group_id"))
+    numbered = number_rows(first, ["first"]).select("group_key", document_id(F.col("number")).alias("document_group_id"))
     return keyed.join(numbered, "group_key").drop("group_key")
 
 
-def number_rows(rows: DataFrame, order_col: str) -> DataFrame:
-    """Add number from 0 in the order of a column, without one task for all: rank in ranges, plus the ranges' sizes."""
-    ranged = rows.repartitionByRange(order_col).withColumn("part", F.spark_partition_id())
-    ranked = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(order_col)))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
-    return ranked.join(F.broadcast(before), "part").withColumn("number", (F.col("before") + F.col("within") - 1).cast("long")).drop("part", "within", "before")
+def number_rows(rows: DataFrame, order: list[str], by: list[str] = []) -> DataFrame:
+    """Add number from 0 in the given order, inside each key of by.
+
+    No task holds all rows of a key: rows are dealt in ranges, ranked inside
+    their range, and the sizes of the ranges before are added. The ranges are
+    stored once, as Spark would sample others for each use of them.
+    """
+    part = F.spark_partition_id().alias("__part")
+    ranged = store(rows.repartitionByRange(*by, *order).select("*", part), "ranges")
+    keys = ["__part", *by]
+    sizes = ranged.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")).drop("__n")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    ranked = ranged.withColumn("__within", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    joined = ranked.alias("r").join(before.alias("s"), reduce(Column.__and__, same))
+    return joined.select(*(F.col(f"r.{c}") for c in rows.columns), (F.col("s.__before") + F.col("r.__within") - 1).cast("long").alias("number"))
 
 
 def split_leakage(records: DataFrame, distance: int = 2, splits: tuple[str, ...] = SPLITS) -> DataFrame:
-    """Near pairs across splits, each unordered pair once, the earlier split first."""
+    """Every near pair across splits once, the earlier split first; leakage_summary counts them without listing."""
     place = F.array_position(F.array(*map(F.lit, splits)), F.col("split_name"))
     side = lambda t: records.select(place.alias(f"place_{t}"), F.col("split_name").alias(f"split_{t}"), F.col("record_id").alias(f"record_id_{t}"), F.col("class_name").alias(f"class_{t}"), F.col("path").alias(f"path_{t}"), F.col("canonical_hash_int").alias(f"hash_{t}"))
     return _within(side("a"), side("b"), records, distance, "canonical_hash_int").where("place_a < place_b").drop("place_a", "place_b")
 
 
-def leakage_summary(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("split_a", "split_b").agg(F.count("*").alias("matched_pairs"), F.count_distinct("record_id_a").alias("items_a"), F.count_distinct("record_id_b").alias("items_b"))
+def leakage_summary(records: DataFrame, distance: int = 2, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """Per two splits the number of near pairs and of records in them: split_a, split_b, matched_pairs, items_a, items_b.
+
+    Pairs are counted from the number of records of each hash in each split;
+    a million copies of one image are one row, not a million times as many.
+    """
+    place = F.array_position(F.array(*map(F.lit, splits)), F.col("split_name"))
+    sizes = records.where("canonical_hash_int IS NOT NULL").groupBy("split_name", place.alias("place"), F.col("canonical_hash_int").alias("hash")).agg(F.count("*").alias("n"))
+    sizes = store(sizes, "sizes")
+    side = lambda t: sizes.select(*(F.col(c).alias(f"{c}_{t}") for c in sizes.columns))
+    met = _within(side("a"), side("b"), records, distance, "canonical_hash_int").where("place_a < place_b")
+    met = met.select("split_name_a", "split_name_b", "hash_a", "hash_b", "n_a", "n_b")
+    pair = [F.col("split_name_a").alias("split_a"), F.col("split_name_b").alias("split_b")]
+    a = met.groupBy(*pair, "hash_a").agg(F.first("n_a").alias("n"), F.sum(F.col("n_a") * F.col("n_b")).alias("pairs"))
+    b = met.groupBy(*pair, "hash_b").agg(F.first("n_b").alias("n"))
+    total = a.groupBy("split_a", "split_b").agg(F.sum("pairs").alias("matched_pairs"), F.sum("n").alias("items_a"))
+    return total.join(b.groupBy("split_a", "split_b").agg(F.sum("n").alias("items_b")), ["split_a", "split_b"])
 
 
 def require_no_leakage(pairs: DataFrame) -> DataFrame:
@@ -141,11 +168,22 @@ def unexpected_and_missing(seen: DataFrame, expected: DataFrame, name: str = "cl
     return extra.unionByName(expected.select(name).distinct().join(values, name, "left_anti").withColumn("status", F.lit("missing")))
 
 
-def eligible_groups(records: DataFrame, classes: DataFrame) -> DataFrame:
-    """(target_class, document_group_id) of groups that have a record of another class. Classes are a handful."""
-    targets = F.array(*(F.lit(r["class_name"]) for r in classes.select("class_name").distinct().orderBy("class_name").collect()))
-    seen = records.select("document_group_id", "class_name").distinct()
-    return seen.select(F.explode(F.array_except(targets, F.array("class_name"))).alias("target_class"), "document_group_id").distinct()
+def _turns(n: int, used: dict[str, int], classes: list[str]) -> list[tuple[int, int, list[str]]]:
+    """How n picks in a row, each of the class used least so far (the first by name on ties), go around the classes.
+
+    Intervals (low, high, classes): pick k of an interval is of class (k - low) mod their number. Adds to used.
+    """
+    order, out, at = sorted(classes, key=lambda c: (used.get(c, 0), c)), [], 0
+    levels = [used.get(c, 0) for c in order]
+    for j in range(1, len(order) + 1):
+        room = n - at if j == len(order) else min(n - at, j * (levels[j] - levels[j - 1]))
+        if room:
+            turn = sorted(order[:j])
+            out.append((at, at + room, turn))
+            for i, c in enumerate(turn):
+                used[c] = levels[j - 1] + room // j + (i < room % j)
+            at += room
+    return out
 
 
 def balance(records: DataFrame, classes: DataFrame, seed: int = 42) -> DataFrame:
@@ -153,24 +191,36 @@ def balance(records: DataFrame, classes: DataFrame, seed: int = 42) -> DataFrame
 
     For each target class as many document groups as it lacks, in an order of
     hashes of seed, target and group; each group at most once per target, from
-    a record of another class. Picks go around the source classes in turn, so
-    that none is used much more than the others where groups allow it.
-    Raises where a target has fewer eligible groups than it lacks.
+    its first record of the other class that was used least for this target so
+    far (the first by name on ties). Groups with the same choice of classes
+    take their turns one after the other, so the turns follow from their
+    number and no task goes through all groups. Classes are a handful, so are
+    their combinations. Raises where a target has fewer eligible groups than it
+    lacks.
     """
-    needs = class_needs(records, classes).select(F.col("class_name").alias("target_class"), "need").where("need > 0")
-    groups = eligible_groups(records, classes).join(F.broadcast(needs), "target_class")
-    short = groups.groupBy("target_class", "need").agg(F.count("*").alias("have")).join(needs, ["target_class", "need"], "right").where("coalesce(have, 0) < need")
-    if (lacking := short.select("target_class").limit(5).collect()):
-        raise ValueError(f"not enough document groups for {[r[0] for r in lacking]}")
-    order = F.xxhash64(F.lit(seed), "target_class", "document_group_id")
-    turn = Window.partitionBy("target_class").orderBy(order, "document_group_id")
-    picked = groups.withColumn("turn", F.row_number().over(turn)).where("turn <= need")
-    source = records.select("document_group_id", F.col("class_name").alias("source_class"), "record_id", "path", "canonical_hash_hex")
-    options = picked.join(source, "document_group_id").where("source_class <> target_class")
-    best = Window.partitionBy("target_class", "document_group_id").orderBy(F.pmod(F.xxhash64("source_class") + F.col("turn"), F.lit(3)), "source_class", "record_id")
-    chosen = options.withColumn("choice", F.row_number().over(best)).where("choice = 1")
+    spark = records.sparkSession
+    needs = {r["class_name"]: r["need"] for r in class_needs(records, classes).where("need > 0").collect()}
+    first = records.groupBy("document_group_id", "class_name").agg(F.min(F.struct("record_id", "path", "canonical_hash_hex")).alias("record"))
+    groups = first.groupBy("document_group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "record")))).alias("held"))
+    target = F.explode(F.array(*(F.struct(F.lit(c).alias("target_class"), F.lit(n).alias("need")) for c, n in sorted(needs.items()))) if needs else F.expr("cast(array() AS array<struct<target_class:string,need:bigint>>)"))
+    options = F.array_except(F.map_keys("held"), F.array("target_class"))
+    eligible = groups.select("document_group_id", "held", target.alias("t")).select("document_group_id", "held", "t.*").withColumn("options", options).where(F.size("options") > 0)
+    turn = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), "target_class", "document_group_id"))
+    picked = number_rows(eligible.withColumn("turn", turn), ["turn", "document_group_id"], ["target_class"]).where("number < need")
+    picked = number_rows(picked.withColumn("choice", F.array_join("options", ",")).drop("number"), ["turn", "document_group_id"], ["target_class", "choice"])
+    counts = sorted(picked.groupBy("target_class", "choice", "options").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["target_class"], r["choice"]))
+    have = Counter()
+    for r in counts:
+        have[r["target_class"]] += r["n"]
+    if lacking := [c for c in sorted(needs) if have[c] < needs[c]]:
+        raise ValueError(f"not enough document groups for {lacking}")
+    used: dict[str, dict[str, int]] = {c: {} for c in needs}
+    turns = [(r["target_class"], r["choice"], *t) for r in counts for t in _turns(r["n"], used[r["target_class"]], r["options"])]
+    plan = spark.createDataFrame(turns, "target_class string, choice string, low long, high long, turn_classes array<string>")
+    chosen = picked.join(F.broadcast(plan), ["target_class", "choice"]).where("number >= low AND number < high")
+    chosen = chosen.withColumn("source_class", F.expr("turn_classes[cast((number - low) % size(turn_classes) AS int)]")).withColumn("record", F.expr("held[source_class]"))
     rotation = required_rotation(F.col("source_class").cast("int"), F.col("target_class").cast("int"))
-    return chosen.select("target_class", "source_class", "document_group_id", "record_id", "path", "canonical_hash_hex", rotation.alias("rotation_applied"))
+    return chosen.select("target_class", "source_class", "document_group_id", "record.*", rotation.alias("rotation_applied"))
 
 
 def manifest(records: DataFrame, picks: DataFrame) -> DataFrame:

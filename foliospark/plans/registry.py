@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import scores as s
@@ -255,7 +254,7 @@ def leak_split_pairs(spark, d):
 
 @query(f"WITH {i.RECORDS}, {_LEAK} SELECT split_a, split_b, count(*) AS matched_pairs, count(DISTINCT record_id_a) AS items_a, count(DISTINCT record_id_b) AS items_b FROM leak GROUP BY ALL")
 def leak_summary(spark, d):
-    return cu.leakage_summary(cu.split_leakage(i.records(spark, d), 0))
+    return cu.leakage_summary(i.records(spark, d), 0)
 
 
 # Classes, balance, manifest
@@ -380,14 +379,14 @@ def json_props(spark, d):
 
 @query("SELECT event_type, CAST((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 16 AS INT) AS batch, event_id FROM events")
 def batch_slices(spark, d):
-    order = Window.partitionBy("event_type").orderBy("event_id")
-    return i.table(spark, d, "events").select("event_type", F.floor((F.row_number().over(order) - 1) / 16).cast("int").alias("batch"), "event_id")
+    numbered = cu.number_rows(i.table(spark, d, "events").select("event_type", "event_id"), ["event_id"], ["event_type"])
+    return numbered.select("event_type", F.floor(F.col("number") / 16).cast("int").alias("batch"), "event_id")
 
 
 @query(f"WITH {i.RECORDS} SELECT record_id, format('{{}}_{{}}_{{:06d}}', split_name, class_name, row_number() OVER (PARTITION BY split_name, class_name ORDER BY record_id) - 1) AS name FROM recs")
 def record_names(spark, d):
-    order = Window.partitionBy("split_name", "class_name").orderBy("record_id")
-    return i.records(spark, d).select("record_id", t.record_id(F.col("split_name"), F.col("class_name"), F.row_number().over(order) - 1).alias("name"))
+    numbered = cu.number_rows(i.records(spark, d).select("record_id", "split_name", "class_name"), ["record_id"], ["split_name", "class_name"])
+    return numbered.select("record_id", t.record_id(F.col("split_name"), F.col("class_name"), F.col("number")).alias("name"))
 
 
 _COLOURS = ", ".join(f"('{k}', '{v}')" for k, v in t.LABEL_COLOURS.items())

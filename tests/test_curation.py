@@ -50,6 +50,44 @@ def test_balance_and_manifest(spark):
     assert report.total == 36
 
 
+def test_numbers_of_a_million_groups_and_of_tiny_partitions(spark):
+    n = 1_000_000
+    rows = spark.range(n).selectExpr("lpad(cast(id AS string), 8, '0') AS record_id", "xxhash64(id) AS canonical_hash_int")
+    got = cu.document_groups(rows).selectExpr("count(*)", "count(DISTINCT document_group_id)", "count_if(document_group_id <> format_string('doc_%06d', cast(record_id AS long)))").first()
+    assert tuple(got) == (n, n, 0)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        few = cu.number_rows(rows.limit(300_000).withColumn("k", F.when(F.col("record_id") % 3 != 0, "hot")), ["record_id"], ["k"])
+        assert few.groupBy("k").agg(F.count("*"), F.count_distinct("number"), F.max("number")).orderBy("k").collect() == [(None, 100_000, 100_000, 99_999), ("hot", 200_000, 200_000, 199_999)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_least_used_source(spark):
+    rng = random.Random(2)
+    for _ in range(300):
+        classes = rng.sample(["0", "180", "270", "90"], rng.randint(1, 4))
+        used = {c: rng.randint(0, 6) for c in rng.sample(classes, rng.randint(0, len(classes)))}
+        n, want, seen = rng.randint(0, 30), dict(used), []
+        for _ in range(n):
+            c = min(classes, key=lambda c: (want.get(c, 0), c))
+            want[c] = want.get(c, 0) + 1
+            seen.append(c)
+        turns = cu._turns(n, used, classes)
+        assert [t[(k - low) % len(t)] for low, high, t in turns for k in range(low, high)] == seen
+        assert {c: v for c, v in used.items() if v} == {c: v for c, v in want.items() if v}
+
+
+def test_records_without_a_hash_are_groups_of_their_own(spark):
+    df = spark.createDataFrame([("a", 5), ("b", None), ("c", 5), ("d", None), ("e", 4)], "record_id string, canonical_hash_int long")
+    for distance, want in ((0, 4), (1, 3)):
+        got = {r.record_id: r.document_group_id for r in cu.document_groups(df, distance).collect()}
+        assert len(got) == 5 and len(set(got.values())) == want and got["a"] == got["c"] == "doc_000000"
+
+
 def test_too_few_groups_raise(spark):
     rows = records(spark, {"0": 5}).withColumn("document_group_id", F.lit("doc_000000"))
     dim = spark.createDataFrame([("0",), ("90",)], ["class_name"])
@@ -69,6 +107,10 @@ def test_leakage(spark):
     df = spark.createDataFrame(rows, "record_id string, split_name string, class_name string, path string, canonical_hash_int long, canonical_hash_hex string")
     near = {(r.record_id_a, r.record_id_b, r.hamming_distance) for r in cu.split_leakage(df, 1).collect()}
     assert near == {("a", "b", 0), ("a", "c", 1), ("b", "c", 1), ("a", "d", 1), ("b", "d", 1)}
+    for distance in (0, 1):
+        pairs = [tuple(r) for r in cu.split_leakage(df, distance).select("split_a", "split_b", "record_id_a", "record_id_b").collect()]
+        want = {k: (len(v), len({x[2] for x in v}), len({x[3] for x in v})) for k in {p[:2] for p in pairs} for v in [[p for p in pairs if p[:2] == k]]}
+        assert {(r.split_a, r.split_b): (r.matched_pairs, r.items_a, r.items_b) for r in cu.leakage_summary(df, distance).collect()} == want
     with pytest.raises(ValueError):
         cu.require_no_leakage(cu.split_leakage(df, 0))
 
