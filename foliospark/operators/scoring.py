@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import imaging as im
 from ..schemas import DETECTOR_CONF, LABELS, SEGMENT_CONF
+from ..storage import bound_batches
 
 #: Rows of an Arrow batch: images are large.
 IMAGE_BATCH = 32
@@ -91,7 +92,7 @@ def _map_rows(frame: DataFrame, columns: list[str], schema: str, rows) -> DataFr
             out = [row for given in batch.itertuples(index=False) for row in rows(given)]
             yield pd.DataFrame(out, columns=names)
 
-    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IMAGE_BATCH))
+    bound_batches(frame.sparkSession, IMAGE_BATCH)
     return frame.select(*columns).mapInPandas(run, schema)
 
 

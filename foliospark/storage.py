@@ -63,3 +63,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in held:
             files, at = _located(spark, path)
             files.delete(at, True)
+
+
+def bound_batches(spark: SparkSession, rows: int) -> None:
+    """At most so many rows in an Arrow batch, as rows are whole documents or images.
+
+    Plans run later than they are made, so the session keeps the least number
+    that any operator asked for: it is never raised again.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > rows:
+        spark.conf.set(setting, str(rows))
