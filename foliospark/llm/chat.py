@@ -7,10 +7,11 @@ wrote earlier (trimming old turns, say) breaks this and is reported. A text's
 place inside its span is found by rendering the turn once more with a probe
 character in its stead.
 
-Rows are streamed in (conversation, turn) order, so memory holds one fragment
-of at most ``fragment`` turns, not the conversation. Up to that length a
-conversation is rendered as a whole; a longer one in fragments, for which the
-template must not look further back than the fragment's first turn.
+Rows are streamed in (conversation, turn) order. Any template is given the
+whole conversation's prefixes, however long it is, so that a rewrite is found
+wherever it reaches. Only a template that declares each turn independent of
+the others is rendered fragment by fragment, so that memory holds one fragment
+and the work stays linear; the declaration is tested at each border.
 """
 
 from __future__ import annotations
@@ -30,12 +31,16 @@ PROBE = "\ue000"
 
 @dataclass(frozen=True)
 class Template:
-    """render() writes turns, parse() reads them back, escape() is what render() does to a text."""
+    """render() writes turns, parse() reads them back, escape() is what render() does to a text.
+
+    independent: the rendering of turns is that of each alone, joined.
+    """
 
     render: Callable[[Turns], str]
     parse: Callable[[str], Turns]
     escape: Callable[[str], str]
     unescape: Callable[[str], str]
+    independent: bool = False
 
 
 def escape(text: str) -> str:
@@ -62,7 +67,7 @@ def parse_tagged(out: str) -> Turns:
     return [(unescape(role), unescape(text)) for role, text in re.findall(r"<turn ([^<>\n]*)>\n([^<]*)\n</turn>\n", out)]
 
 
-TAGGED = Template(render_tagged, parse_tagged, escape, unescape)
+TAGGED = Template(render_tagged, parse_tagged, escape, unescape, independent=True)
 
 
 @dataclass
@@ -95,6 +100,7 @@ class _Conversation:
     def __init__(self, key: int | None, template: Template, loss_role: str, keep_text: bool):
         self.key, self.template, self.loss_role, self.keep_text = key, template, loss_role, keep_text
         self.turns: Turns = []
+        self.last: Turns = []
         self.n = self.loss_chars = self.chars = 0
         self.turn_hash, self.loss_hash = hashlib.sha256(), hashlib.sha256()
         self.rewrites = False
@@ -106,6 +112,10 @@ class _Conversation:
             return
         found = locate(self.turns, self.template)
         self.rewrites |= found.rewrites
+        if self.last:  # the declared independence, at the border of two fragments
+            border = [*self.last, self.turns[0]]
+            self.rewrites |= self.template.render(border) != "".join([self.template.render([t]) for t in border])
+        self.last = self.turns[-1:]
         read = self.template.parse(found.text)
         for role, text in read:
             self.turn_hash.update(f"{role}\n{text}\n".encode())
@@ -144,7 +154,9 @@ def format_conversations(rows: DataFrame, template: Template = TAGGED, loss_role
     Rows of one turn number keep the order (role, text); repeated rows are
     repeated turns. An empty table gives an empty one. Other columns are
     ignored. One shuffle, by conv_id; a conversation is digested in order, so
-    it is one task's, as a stream.
+    it is one task's, as a stream. A template that is not independent is given
+    each conversation whole: its memory and, as prefixes are rendered again, the
+    square of its turns are that task's.
     """
     schema = pa.schema(_DIGEST + (_TEXT if keep_text else []))
 
@@ -158,7 +170,7 @@ def format_conversations(rows: DataFrame, template: Template = TAGGED, loss_role
                         done.append(at.row())
                     at = _Conversation(key, template, loss_role, keep_text)
                 at.turns.append((role, text))
-                if len(at.turns) >= fragment:
+                if template.independent and len(at.turns) >= fragment:
                     at.flush()
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)

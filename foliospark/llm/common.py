@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import bound_batches
+from ..storage import store as materialize  # noqa: F401  the operators' name for it
+
 #: White space of the word contracts: blank, tab, newline, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -16,38 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in spark.checkpoint.dir; only where that is
-    unset (tests on one machine) a local folder is set.
-    """
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back.
-
-    Cuts the lineage in a way that outlives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of an Arrow batch: they are whole documents, some of them very long.
 BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep the memory of Python workers low where rows are documents."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark, BATCH_ROWS)
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,22 +22,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in the edges (u, v); component is the least node reachable.
 
     Ids are long and not null; loops and repeated edges do no harm. A node
     that only loops is not returned. Each round is written to the shared
     folder, so that the lineage stays short and the least neighbours are joined
-    as a table: Spark can then split a node of very many neighbours.
+    as a table: Spark can then split a node of very many neighbours. It ends
+    when a round changes nothing; ends of edges only ever get smaller.
     """
     flat = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     flat = materialize(flat, "edges")
-    state = None
-    for _ in range(max_rounds):
+    state = now = None
+    while now is None or now != state:
+        state = now
         starred = materialize(_large_star(flat).distinct(), "edges")
         flat = materialize(_small_star(starred).distinct(), "edges")
         now = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return flat.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(flat.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -40,7 +40,7 @@ class WordIds(dict):
     The tokenizer drops white space and never joins across it, so words can be
     encoded one by one. A word of common Latin letters is cut by the
     tokenizer's own pattern and its pieces go straight to the merges; any other
-    word takes the whole way, normaliser included.
+    word, one that holds a special token's text too, takes the whole way.
     """
 
     def __init__(self, path: str):
@@ -48,11 +48,12 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = _PieceIds(self.tokenizer.model)
         self._cut = regex.compile(spec).findall
-        self._plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+        plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._plain = lambda word: plain(word) and not any(t in word for t in special)
 
     def __missing__(self, word: str) -> bytes:
         if self._plain(word):

@@ -366,12 +366,12 @@ def test_decision_list_on_held_out_rows():
 
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(11)
-    texts = [(i, " ".join(rng.choice(["alpha", "beta's", "Gamma7", "δ", "x-y"]) for _ in range(rng.randint(0, 2500)))) for i in range(120)] + [(500, None), (501, ""), (None, "anonymous words")]
+    texts = [(i, " ".join(rng.choice(["alpha", "beta's", "Gamma7", "δ", "x-y"]) for _ in range(rng.randint(0, 2500)))) for i in range(120)] + [(500, None), (501, ""), (None, "anonymous words"), (502, "hello <|endoftext|> world a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|><|endoftext|> é<|endoftext|>")]
     rows = packing.pack(docs(spark, texts), WORDS).collect()
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
+    assert tok.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -418,6 +418,16 @@ def test_cutting_stock_against_the_bound():
         plan({30: 1}, 20)
 
 
+def test_packing_ids_are_the_plain_librarys():
+    from tokenizers import Tokenizer
+
+    rng, ids, tok = random.Random(7), packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\x1c", "Wörd", "don't", "42", "漢", "😀", "-", "ﬁ", "\u0301", "İ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert list(memoryview(ids.encode(text, 1)).cast("I")) == [*tok.encode(text, add_special_tokens=False).ids, 1], text
+
+
 # 10: chat
 
 
@@ -443,3 +453,23 @@ def test_template_that_rewrites_history_is_found():
     template = chat.Template(trims, chat.parse_tagged, chat.escape, chat.unescape)
     assert chat.locate([("user", "hello"), ("assistant", "world")], template).rewrites
     assert not chat.locate([("user", "hello"), ("assistant", "world")], chat.TAGGED).rewrites
+
+
+def test_rewrites_of_long_conversations_are_found(spark):
+    late = lambda turns: "".join(f"<turn {r}>\n{chat.escape(t if len(turns) < 600 or k else 'gone')}\n</turn>\n" for k, (r, t) in enumerate(turns))
+    forgets, lies = chat.Template(late, chat.parse_tagged, chat.escape, chat.unescape), lambda turns: f"{len(turns)} " + chat.render_tagged(turns)
+    rows = [(c, i, "user", f"t{i}") for c, n in ((1, 610), (2, 590)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: (r.n_turns, r.rewrites_history) for r in chat.format_conversations(df, forgets, keep_text=False).collect()}
+    assert found == {1: (610, True), 2: (590, False)}
+    declared = chat.Template(lies, chat.parse_tagged, chat.escape, chat.unescape, independent=True)
+    assert all(r.rewrites_history for r in chat.format_conversations(df, declared, keep_text=False).collect())
+
+
+def test_awkward_conversations_and_packing(spark):
+    rows = [(None, None, None, None), (1, None, "assistant", ""), (1, None, "assistant", ""), (1, 0, "user", "x" * 200_000), (2, 0, "", "\x00<")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, n_turns int, spans string")
+    out = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert {k: r.n_turns for k, r in out.items()} == {None: 1, 1: 3, 2: 1} and out[2].formatted.count("<") == 2
+    packed = packing.pack(docs(spark, awkward()), WORDS).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.start == 0) == collections.Counter(i for i, _ in awkward())
