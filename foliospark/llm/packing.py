@@ -51,24 +51,28 @@ class WordIds(dict):
         spec = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = _PieceIds(self.tokenizer.model)
         self._cut = regex.compile(spec).findall
-        plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._plain = lambda word: plain(word) and not any(t in word for t in special)
+        self._plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+        self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if self._plain(word):
             out = b"".join(map(self.pieces.__getitem__, self._cut(word.lower())))
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = self._whole(word)
         if len(self) >= WORD_ENTRIES:
             self.clear()
         if len(word) < 64:
             self[word] = out
         return out
 
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str, end: int) -> bytes:
         words = text.split(" ") if any(c in text for c in _SEPARATORS) else text.split()
+        if any(t in text for t in self._special):
+            return b"".join([self._whole(w) if any(t in w for t in self._special) else self[w] for w in words]) + struct.pack("<I", end)
         return b"".join(map(self.__getitem__, words)) + struct.pack("<I", end)
 
 
