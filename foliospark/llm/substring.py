@@ -8,8 +8,12 @@ one edge; runs of such nodes are its nonbranching paths. A path is compacted
 to one span per document: every occurrence is the same words, so the least
 document that holds one of its nodes decides for all windows inside. Only
 windows across a branch or a path's end are compared one by one, by their
-hashes. Marks are recomputed from the document's own text at their coordinates;
-the earlier document's words are not read, so equality rests on 64-bit hashes.
+hashes.
+
+Hashes of 64 bits only propose. Every proposal names its source's coordinates,
+and stands if what the source itself made of its words there agrees: for a path
+a 128-bit digest of all its words, for a window a second hash by another
+function. A proposal that does not agree removes nothing.
 
 Every window of ``window`` words holds its own minimiser, which is chosen
 whatever surrounds the window, so no repeated window is missed.
@@ -38,20 +42,24 @@ _powers: list[np.ndarray] = []
 
 
 class _WordHash(dict):
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_ENTRIES:
             self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        out = self[word] = xxhash.xxh3_64_intdigest(word, seed=self.seed)
         return out
 
 
-_words = _WordHash()
+#: For what is proposed, and for the test of windows.
+_words, _test_words = _WordHash(0), _WordHash(0x5851F42D4C957F2D)
 
 
 def forget() -> None:
     _words.clear()
-
-
+    _test_words.clear()
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +79,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Spans:
     """Hashes of any span of a text's words, from one prefix sum."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], table: _WordHash = _words):
         n = len(words)
         up, down = _power_tables(n + 1)
-        hashes = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=n)
+        hashes = np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=n)
         self.up = up
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(hashes * down[:n], out=self.prefix[1:])
@@ -135,15 +143,15 @@ def _nodes(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[p
 
 
 def repeated_nodes(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc_id, marks) of documents with nodes that other documents have too; marks by position."""
+    """(doc_id, marks) of documents with nodes that other documents have too; marks by position, each with the first occurrence's place."""
     # Aggregates are stored before they are joined: between two stored tables
     # Spark can split the partition of a node that very many documents have.
     nodes = materialize(texts.select("doc_id", "text").mapInArrow(forgetting(lambda it: _nodes(it, window, k), forget), "doc_id long, pos int, node long, before long, after long"), "nodes")
-    shared = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    shared = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most").select("node", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_at"))
     found = materialize(nodes.join(materialize(shared, "shared"), "node"), "repeated")
     degree = found.groupBy("node").agg(*(f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))), F.count("*").alias("n"))
     one = degree.select("node", *((F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}")) & (F.col(f"n_{c}") == F.col("n"))).alias(f"one_{c}") for c in ("before", "after")))
-    marked = found.join(materialize(one, "degrees"), "node").select("doc_id", F.struct("pos", "node", "least", "one_before", "one_after").alias("mark"))
+    marked = found.join(materialize(one, "degrees"), "node").select("doc_id", F.struct("pos", "node", "source", "source_at", "one_before", "one_after").alias("mark"))
     return marked.groupBy("doc_id").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
 
 
@@ -154,29 +162,32 @@ def _covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def _paths(key: int, words: list[bytes], marks: tuple, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of the paths that an earlier document has, positions and hashes of windows that are still open."""
+def _paths(words: list[bytes], marks: tuple, window: int, k: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Paths that several documents have, as (start, length, source, source_at, test), and positions, hashes and tests of windows that are still open."""
     spans = Spans(words)
     values = spans.all(k)
     least, at = minimisers(values, window - k + 1)
     order = {int(p): i for i, p in enumerate(at)}
     n = len(at)
-    seen, owner, one_before, one_after = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
-    for pos, node, first, before, after in zip(*marks):
+    seen, one_before, one_after = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    source, source_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for pos, node, first, first_at, before, after in zip(*marks):
         i = order.get(pos)
         if i is not None and values[pos] == node:
-            seen[i], owner[i], one_before[i], one_after[i] = True, first, before, after
+            seen[i], source[i], source_at[i], one_before[i], one_after[i] = True, first, first_at, before, after
     joined = seen[:-1] & seen[1:] & one_after[:-1] & one_before[1:]
     head = np.flatnonzero(np.concatenate([[True], ~joined]))
     tail = np.concatenate([head[1:], [n]]) - 1
     starts, stops = at[head], at[tail] + k
     known = seen[head] & (stops - starts >= window)
     inside = np.zeros(len(words) - window + 1, bool)
-    for a, b in zip(starts[known], stops[known]):
+    paths = []
+    for h, a, b in zip(head[known].tolist(), starts[known].tolist(), stops[known].tolist()):
         inside[a : b - window + 1] = True
-    gone = known & (owner[head] < key)
+        paths.append((a, b - a, int(source[h]), int(source_at[h]), hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest()))
     still = np.flatnonzero(np.isin(least, values[at[seen]]) & ~inside)
-    return starts[gone], stops[gone], still, spans.hash(still, still + window)
+    tests = Spans(words, _test_words).hash(still, still + window) if len(still) else still
+    return paths, still, spans.hash(still, still + window), tests
 
 
 def _result(text: str, words: list[bytes], removed: np.ndarray | None) -> tuple[str, int, str]:
@@ -209,8 +220,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WO
         texts = keyed_texts(docs).withColumn("rest", F.struct("doc_id"))
     rest_type = texts.schema["rest"].dataType.simpleString()
     marks = repeated_nodes(texts, window, k)
-    by_key = texts.join(marks, "doc_id", "left")
-    parts = f"rest {rest_type}, doc_id long, text string, open boolean, n_words long, n_removed long, kept_sha256 string, starts array<int>, stops array<int>, at array<int>, hashes array<long>"
+    by_key = texts.withColumn("own", F.xxhash64("text")).join(marks, "doc_id", "left")  # own tells rows of one doc_id apart
+    parts = f"rest {rest_type}, doc_id long, own long, text string, open boolean, n_words long, n_removed long, kept_sha256 string, paths array<struct<at:int,length:int,source:long,source_at:int,test:binary>>, at array<int>, hashes array<long>, tests array<long>"
+    path_type = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_at", pa.int32()), ("test", pa.binary())])
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,37 +230,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = NODE_WO
             marks = batch.column("marks")
             for i, (key, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
                 words = text.encode("utf-8").split()
-                given = marks[i]
-                starts = stops = at = hashes = np.zeros(0, np.int64)
-                if given.is_valid and len(words) >= window:
-                    fields = given.values.flatten()
-                    starts, stops, at, hashes = _paths(key, words, tuple(f.to_pylist() for f in fields), window, k)
-                is_open = len(at) > 0
-                text_kept, n, digest = (text, 0, None) if is_open else _result(text, words, _covered(len(words), starts, stops) if len(starts) else None)
-                rows.append((key, text_kept if with_text or is_open else None, is_open, len(words), n, digest, starts.tolist(), stops.tolist(), at.tolist(), hashes.tolist()))
+                paths, at, hashes, tests = [], *[np.zeros(0, np.int64)] * 3
+                if marks[i].is_valid and len(words) >= window:
+                    paths, at, hashes, tests = _paths(words, tuple(f.to_pylist() for f in marks[i].values.flatten()), window, k)
+                is_open = len(at) > 0 or any(source < key for _, _, source, *_ in paths)
+                digest = None if is_open else hashlib.sha256(b" ".join(words)).hexdigest()
+                rows.append((key, text if with_text or is_open else None, is_open, len(words), 0, digest, [dict(zip(("at", "length", "source", "source_at", "test"), p)) for p in paths], at.tolist(), hashes.tolist(), tests.tolist()))
             cols = list(zip(*rows)) or [()] * 10
-            types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array(c, t) for c, t in zip(cols, types))], ["rest", "doc_id", "text", "open", "n_words", "n_removed", "kept_sha256", "starts", "stops", "at", "hashes"])
+            types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.list_(path_type), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2]
+            first, *others = (pa.array(c, t) for c, t in zip(cols, types))
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), first, batch.column("own"), *others], ["rest", "doc_id", "own", "text", "open", "n_words", "n_removed", "kept_sha256", "paths", "at", "hashes", "tests"])
 
     state = materialize(by_key.mapInArrow(forgetting(compact, forget), parts), "paths")
-    windows = state.where("open").select("doc_id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    hits = windows.join(materialize(least, "windows"), "hash").where("least < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
-    opened = state.where("open").select("rest", "doc_id", "text", "starts", "stops").join(hits, "doc_id", "left")
+    paths = state.select("doc_id", "own", F.explode("paths").alias("p")).select("doc_id", "own", "p.*")
+    there = ["source", "source_at", "length", "test"]
+    sources = materialize(paths.where("doc_id = source AND at = source_at").select(there).distinct(), "sources")
+    proven = paths.where("doc_id > source").join(sources, there, "left_semi").select("doc_id", "own", "at", "length")
+    windows = state.select("doc_id", "own", F.explode(F.arrays_zip("at", "hashes", "tests")).alias("w")).select("doc_id", "own", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"), F.col("w.tests").alias("test"))
+    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "at", "test")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most").drop("most")
+    hits = windows.join(materialize(first, "windows"), "hash").where("first.doc_id < doc_id AND first.test = test").select("doc_id", "own", "at", F.lit(window).alias("length"))
+    gone = proven.unionByName(hits).groupBy("doc_id", "own").agg(F.collect_set(F.struct("at", "length")).alias("gone"))
+    opened = state.where("open").select("rest", "doc_id", "own", "text").join(gone, ["doc_id", "own"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            hits = batch.column("hits")
-            for i, (key, text, starts, stops) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "stops")))):
-                words = text.encode("utf-8").split()
-                if hits[i].is_valid:
-                    at, hashes = (np.array(f.to_pylist(), dtype=np.int64) for f in hits[i].values.flatten())
-                    held = at + window <= len(words)  # of rows with one doc_id and different texts
-                    at, hashes = at[held], hashes[held]
-                    at = at[Spans(words).hash(at, at + window) == hashes]
-                    starts, stops = np.concatenate([starts, at]).astype(np.int64), np.concatenate([stops, at + window]).astype(np.int64)
-                kept, n, digest = _result(text, words, _covered(len(words), np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64)) if len(starts) else None)
+            gone = batch.column("gone")
+            for i, (key, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
+                words, removed = text.encode("utf-8").split(), None
+                if gone[i].is_valid:
+                    at, length = (np.array(f.to_pylist(), dtype=np.int64) for f in gone[i].values.flatten())
+                    removed = _covered(len(words), at, at + length)
+                kept, n, digest = _result(text, words, removed)
                 rows.append((key, kept if with_text else None, len(words), n, digest))
             cols = list(zip(*rows)) or [()] * 5
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
