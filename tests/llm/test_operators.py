@@ -192,6 +192,22 @@ def test_repeats_against_brute_force(spark):
     assert got == want
 
 
+def test_repeats_are_proven_at_their_source():
+    words = [b"x%d" % i for i in range(80)]
+    spans, at = substring.Spans(words), np.arange(31)
+    same = substring.Spans(list(words)).hash(at, at + 50)
+    assert (spans.hash(at, at + 50) == same).all()
+    tests = substring.Spans(words, substring._test_words).hash(at, at + 50)
+    assert not (tests == same).any() and len(set(tests.tolist())) == 31
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    long = [" ".join(f"{c}{i}" for i in range(90)) for c in "abc"]
+    rows = [(1, long[0]), (2, long[1]), (2, long[0] + " tail"), (3, long[1] + " " + long[2]), (3, long[2])]
+    got = sorted((r.doc_id, r.text) for r in substring.remove_repeats(docs(spark, rows)).collect())
+    assert got == sorted([(1, long[0]), (2, long[1]), (2, "tail"), (3, long[2]), (3, long[2])])
+
+
 # 5: personal data
 
 
@@ -236,6 +252,56 @@ def test_terms_of_an_entity_in_one_line(spark):
     assert out[6000].sanitized == out[6000].text and out[3].n_term == 0  # rare, but beside no entity
 
 
+def test_personal_data_of_one_text_with_very_many_matches(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice([f"a{i}@b{i % 7}.org", f"+1 (20) {1000000 + i}", f"wörd{i % 50}", f"10.0.{i % 300}.7", "\n"]) for i in range(60_000))
+    r = pii.sanitize(docs(spark, [(1, text)])).first()
+    base = [(x.start, x.kind, x.end) for x in r.spans if x.kind < 4]
+    assert base == brute_pii(text) and r.n_email > 10_000
+    out, at = [], 0
+    for x in r.spans:
+        if x.start >= at:
+            out += [text[at : x.start], ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>")[x.kind]]
+        at = max(at, x.end)
+    assert r.sanitized == "".join(out) + text[at:]
+
+
+def brute_terms(rows, share):
+    """Disclosing spans by the definition, with plain counting."""
+    stretch = re.compile(r"[^\n]{1,200}(?:[^\n\s]|(?<=[0-9().-]) (?=[0-9().-])){0,256}")
+    word = re.compile(r"\w{3,}")
+    cuts = {i: [(m.start(), m[0]) for m in stretch.finditer(t)] for i, t in rows}
+    lines = {c for found in cuts.values() for _, c in found if c.strip(" \t\n\x0b\x0c\r")}
+    inside = {c: {c[a:b] for a, _, b in brute_pii(c)} for c in lines}
+    terms = {c: set(word.findall(c)) for c in lines}
+    n_e = collections.Counter(e for c in lines for e in inside[c])
+    n_t = collections.Counter(t for c in lines for t in terms[c])
+    n_te = collections.Counter((t, e) for c in lines for e in inside[c] for t in terms[c] if t not in e)
+    n = len(lines)
+    bad = {(t, e) for (t, e), k in n_te.items() if math.log(n * k / ((n_t[t] + 1) * n_e[e])) >= share * math.log(n / n_e[e])}
+    out = {}
+    for i, t in rows:
+        base = brute_pii(t)
+        spans = {(at + m.start(), 4, at + m.end()) for at, c in cuts[i] for m in word.finditer(c) if any((m[0], e) in bad for e in inside.get(c, ()))}
+        out[i] = sorted(base + [s for s in spans if not any(b[0] < s[2] and s[0] < b[2] for b in base)])
+    return out
+
+
+def test_terms_against_counting(spark):
+    rng = random.Random(8)
+    words = [f"word{int(rng.paretovariate(0.7)) % 900}" for _ in range(4000)] + [f"rare{i}" for i in range(300)]
+    entities = [f"u{i}@mail.org" for i in range(12)] + ["+49 30 1234567", "10.1.2.3", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(400):
+        parts = [rng.choice(entities) if rng.random() < 0.04 else rng.choice(words) for _ in range(rng.randint(1, 80))]
+        rows.append((i, "".join(p + rng.choice([" ", " ", " ", "\n", ", "]) for p in parts)))
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    for share in (0.4, 0.9):
+        got = {r.doc_id: [(x.start, x.kind, x.end) for x in r.spans] for r in pii.sanitize(docs(spark, rows), share).collect()}
+        assert got == brute_terms(rows, share)
+    assert sum(k == 4 for spans in brute_terms(rows, 0.4).values() for _, k, _ in spans) > 20
+
+
 # 6: language model
 
 
