@@ -130,17 +130,71 @@ def test_search_against_brute_force(spark):
     vocab = [f"w{int(rng.paretovariate(0.8)) % 400}" for _ in range(2000)]
     corpus = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 60)))) for i in range(300)] + [(301, ""), (320, "")]
     d = docs(spark, corpus)
-    for shard in (8192, 40):
+    for shard, query_block in ((8192, 7), (40, 16384)):
         old = search.SHARD_DOCS
         search.SHARD_DOCS = shard
         try:
-            got = {(r.query_id, r.rank, r.doc_id) for r in search.bm25_search(d.where("doc_id % 20 = 0"), d, k=5, query_block=7).collect()}
+            got = {(r.query_id, r.rank, r.doc_id) for r in search.bm25_search(d.where("doc_id % 20 = 0"), d, k=5, query_block=query_block).collect()}
         finally:
             search.SHARD_DOCS = old
         assert got == brute_bm25(corpus, 5)
     assert search.bm25_search(d.limit(0), d).collect() == [] and search.bm25_search(d, d.limit(0)).collect() == []
 
 
+def make_shard(doc_terms, block=4, frequent=3):
+    """A shard of {term: impact} documents; impacts are set by hand."""
+    terms = sorted({t for d in doc_terms.values() for t in d})
+    postings = [(terms.index(t), i, x) for i, d in enumerate(doc_terms.values()) for t, x in d.items()]
+    postings.sort()
+    counts = np.bincount([p[0] for p in postings], minlength=len(terms))
+    shard = search.Shard(np.array(list(doc_terms), np.int64), np.ones(len(doc_terms), np.int64), np.array(terms, np.int64), counts, np.array([p[1] for p in postings], np.int32), np.ones(len(postings), np.int32), 1.0, block, frequent)
+    shard.norm[:] = 0
+    shard.impacts[:] = [p[2] for p in postings]
+    for t, i, x in postings:
+        if shard.slot[t] >= 0:
+            shard.tf[i, shard.slot[t]] = shard.dense[i, shard.slot[t]] = x
+    return shard
+
+
+def test_ties_after_rounding_go_to_the_smaller_id():
+    queries = search.Queries.of([(0, np.array([5]), np.array([1.0]))])
+    for held, new, want in ((1.2345674, 1.2345668, 1), (1.2345674, 1.2345649, 9), (1.2345668, 1.2345674, 1)):
+        best = search.Best(1)
+        best.add([(held, 9)])
+        shard = make_shard({1: {5: new}, 2: {5: 0.5}}, frequent=0)
+        shard.search(queries, shard.rows_of(queries.terms), 0, 1, [best])
+        assert best.held[0][1] == want
+
+
+def test_pruned_search_equals_scoring_everything():
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        n, vocab, k = int(rng.integers(1, 90)), int(rng.integers(1, 60)), int(rng.integers(1, 12))
+        corpus = [(i, collections.Counter(rng.zipf(1.5, rng.integers(0, 40)) % vocab), 0) for i in range(n)]
+        corpus = [(i, collections.Counter({int(t): int(f) for t, f in c.items()}), sum(c.values())) for i, c, _ in corpus]
+        row = search._index_row(corpus)
+        read = lambda c, t: np.frombuffer(row[c], t)
+        mean = max(1e-9, sum(x[2] for x in corpus) / n)
+        shard = search.Shard(read("doc_ids", np.int64), read("lengths", np.int64), np.array(row["terms"], np.int64), np.array(row["counts"], np.int64), read("docs", np.int32), read("tfs", np.int32), mean, int(rng.integers(1, 20)), int(rng.integers(0, 12)))
+        weights = rng.uniform(0.01, 9, vocab)
+        asked = [(q, np.array(sorted(c), np.int64), weights[sorted(c)]) for q, c, _ in corpus]
+        queries = search.Queries.of(asked)
+        best = [search.Best(k) for _ in asked]
+        for low in range(0, n, 7):
+            shard.search(queries, shard.rows_of(queries.terms), low, min(low + 7, n), best)
+        score = lambda q, d: sum(weights[t] * d[1][t] * 2.2 / (d[1][t] + 1.2 * (0.25 + 0.75 * d[2] / mean)) for t in q if d[1][t])
+        for key, held in zip(queries.keys.tolist(), best):
+            want = sorted((-round(score(corpus[key][1], d), 6), d[0]) for d in corpus if set(d[1]) & set(corpus[key][1]))[:k]
+            assert [(round(-s, 6), d) for s, d in held.held] == want
+
+
+def test_search_of_awkward_rows(spark):
+    rows = [(i, t[:2000] if t else t) for i, t in awkward()] + [(20, None), (40, ""), (60, "one"), (60, "ok")]
+    d = docs(spark, rows)
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in search.bm25_search(d.where("doc_id % 20 = 0 OR doc_id IS NULL"), d, k=4).collect())
+    assert [x[0] for x in got] == [60] * 4 and sorted(x[2] for x in got)[:3] == [4, 5, 5]
+
+
 # 3: byte-level BPE
 
 
