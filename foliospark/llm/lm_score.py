@@ -1,15 +1,20 @@
 """Masked pseudo-likelihood of documents.
 
-Words have classes: the most frequent are classes of their own, the others
-share classes by their last letters. A window network (one table per position
-for the two classes on either side, a tanh layer, a softmax) predicts a word's
-class from both sides; the class's own word statistics give the word. A
-document's score is the sum of its words' conditional log-probabilities.
-
-Word statistics cover the whole corpus. So does training: in each round every
-partition starts from the shared weights, trains on masked words of all its
-documents, and the partitions' weights are averaged by their number of words.
-Rounds go through disjoint masks, which together hold every word.
+Every word has a class, by its last letters, and in its class a cell: the most
+frequent words of a class have cells of their own, the others share the rest by
+their hashes. A window network (one table per position for the cells of the two
+words on either side, a tanh layer) predicts a masked word's class, then, given
+the class, its cell; the word's own share of its cell gives the word. All three
+probabilities sum to one, so a word's is their product, and a document's score
+is the sum of its words' conditional log-probabilities.
+
+Word counts cover the whole corpus. So does training: documents are dealt to
+shards by a hash, as many shards as the corpus has words for; in each round
+every shard starts from the shared weights, trains on the masked words of its
+documents in a fixed order, and the shards' weights are averaged by their
+number of words. Rounds go through disjoint masks, which together hold every
+word. Scores do not depend on how the rows lie, but for rounding. Classes,
+cells and with them the network grow with the number of distinct words.
 """
 
 from __future__ import annotations
@@ -23,74 +28,56 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import keyed_texts, materialize
+from .common import forgetting, keyed_texts, materialize
 
-OWN_CLASSES, SHARED_CLASSES = 96, 32
-CLASSES = OWN_CLASSES + SHARED_CLASSES
-#: Distinct words up to which there are CLASSES; with more, classes grow with their fourth root.
-TYPES = 1 << 20
+#: Classes, and cells of a class, up to so many distinct words; with more, they grow with the fourth root.
+SIDE, TYPES = 48, 1 << 22
 #: The most frequent words, which every worker knows; the counts of all others are joined. Scores do not depend on it.
-VOCABULARY = 20_000
+FREQUENT = 100_000
 OFFSETS = (-2, -1, 1, 2)
-HIDDEN = 32
+HIDDEN = 24
 ROUNDS = 2
 #: Share of a document's positions that a round masks at least; more, where the rounds would not else mask each once.
 MASKED = 0.5
-BATCH = 2048
+BATCH = 4096
 RATE = 0.1
-_ROWS = 4096
+#: Words of a training shard, so that a task's length does not grow with the corpus.
+SHARD_WORDS = 4_000_000
+WORD_ENTRIES = 300_000
+_CHUNK = 16_384
+_SUFFIX = 0xFFF  # the bits of a word's id that its last two bytes alone decide
 
 
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def _shared_class(word: bytes, own: int, shared: int) -> int:
-    return own + xxhash.xxh32_intdigest(word[-2:]) % shared
-
-
-@dataclass
-class Vocabulary:
-    """Class and log-probability inside the class of the frequent words; per class the logarithm of its words' number."""
-
-    words: dict[bytes, tuple[int, float]]
-    totals: list[float]
-    own: int
-    shared: int
-
-    @property
-    def classes(self) -> int:
-        return self.own + self.shared
-
-    def lookup(self) -> _Lookup:
-        return _Lookup(self)
+class _WordIds(dict):
+    """Word to its 64-bit id: 52 bits of its hash, 12 of the hash of its last two bytes."""
 
+    def __missing__(self, word: bytes) -> int:
+        value = (xxhash.xxh3_64_intdigest(word) & ~_SUFFIX) | (xxhash.xxh32_intdigest(word[-2:]) & _SUFFIX)
+        if len(self) >= WORD_ENTRIES:
+            self.clear()
+        out = value - (1 << 64) if value >> 63 else value
+        if len(word) < 64:
+            self[word] = out
+        return out
 
-class _Lookup(dict):
-    """Word to an index into classes and log-probabilities, for a word from `known` on without its own count; such words are added while there is room."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__((w, i) for i, w in enumerate(vocabulary.words))
-        self.known, self.own, self.shared = len(vocabulary.words), vocabulary.own, vocabulary.shared
-        self.classes = np.array([c for c, _ in vocabulary.words.values()] + list(range(self.own, vocabulary.classes)), dtype=np.int64)
-        self.logs = np.array([p for _, p in vocabulary.words.values()] + [-t for t in vocabulary.totals[self.own :]])
-
-    def __missing__(self, word: bytes) -> int:
-        i = self.known + _shared_class(word, self.own, self.shared) - self.own
-        if len(self) < self.known + 300_000 and len(word) < 64:
-            self[word] = i
-        return i
+_ids = _WordIds()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts, summed inside the workers before the shuffle."""
+    """(word, n) by word id over all texts, summed inside the workers before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(map(_ids.__getitem__, held)), pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -100,126 +87,219 @@ def count_words(texts: DataFrame) -> DataFrame:
                 held.clear()
         yield out()
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(forgetting(run, _ids.clear), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Vocabulary:
+    """The known words (sorted ids, cells, logarithms of counts), the logarithm of each cell's count and one, all words' number."""
 
+    ids: np.ndarray
+    cells: np.ndarray
+    logs: np.ndarray
+    masses: np.ndarray
+    side: int
+    total: int
 
-def learn_vocabulary(texts: DataFrame, size: int = VOCABULARY, counts: DataFrame | None = None) -> Vocabulary:
-    counts = materialize(count_words(texts), "words") if counts is None else counts
-    growth = max(1.0, (counts.count() / TYPES) ** 0.25)
-    own, shared = round(OWN_CLASSES * growth), round(SHARED_CLASSES * growth)
-    size = max(size, own)
-    # A histogram of rounded logarithms, a thousand rows at most, gives the count from which words belong;
-    # sorting would send every task's first words to the driver.
-    level = F.floor(F.log2("n") * 16).cast("int")
-    left, lowest = size, None
+    @property
+    def own(self) -> int:
+        return self.side // 2
+
+    @property
+    def kind(self) -> type:
+        """Numbers in which a cell, and one more for a document's edge, are stored."""
+        return np.uint16 if self.side**2 < 65535 else np.uint32
+
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells of word ids, their log-shares of their cells (of unknown ones as if seen once), and which are known."""
+        at = np.minimum(np.searchsorted(self.ids, words), max(len(self.ids) - 1, 0))
+        known = self.ids[at] == words if len(self.ids) else np.zeros(len(words), bool)
+        shared = (words & _SUFFIX) % self.side * self.side + self.own + ((words.view(np.uint64) >> np.uint64(12)) % np.uint64(self.side - self.own)).astype(np.int64)
+        cells = np.where(known, self.cells[at], shared) if len(self.ids) else shared
+        return cells, (np.where(known, self.logs[at], 0.0) if len(self.ids) else 0.0) - self.masses[cells], known
+
+
+def learn_vocabulary(counts: DataFrame, size: int = FREQUENT) -> Vocabulary:
+    """From (word, n), a stored table. What is collected: two rows a cell, and the frequent words."""
+    types, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    side = 2 * round(SIDE / 2 * max(1.0, (types / TYPES) ** 0.25))
+    own = side // 2
+    klass = F.pmod(F.col("word").bitwiseAND(F.lit(_SUFFIX)), F.lit(side)).cast("int").alias("class")
+    bucket = F.pmod(F.shiftrightunsigned("word", 12), F.lit(side - own)).cast("int").alias("bucket")
+    first = Window.partitionBy("class").orderBy(F.desc("n"), "word")
+    top = counts.select("word", "n", klass).withColumn("place", F.row_number().over(first)).where(F.col("place") <= own).collect()
+    mass = np.zeros((side, side))
+    for r in counts.groupBy(klass, bucket).agg(F.sum("n").alias("n")).collect():
+        mass[r["class"], own + r["bucket"]] = r["n"]
+    cell_of, count_of = {}, {}
+    for r in top:
+        mass[r["class"], r["place"] - 1] = r["n"]
+        mass[r["class"], own + (r["word"] % (1 << 64) >> 12) % (side - own)] -= r["n"]
+        cell_of[r["word"]], count_of[r["word"]] = r["class"] * side + r["place"] - 1, r["n"]
+    # A histogram of rounded logarithms, a thousand rows at most, gives the count from which words are known; of the
+    # next level an even share by hash. Sorting would send every task's first words to the driver.
+    level, left, picked = F.floor(F.log2("n") * 16).cast("int"), size, F.lit(False)
     for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("types")).orderBy(F.desc("level")).collect():
-        if r["types"] > left:
+        share = min(1.0, max(left, 0) / r["types"])
+        picked = (level > r["level"]) | ((level == r["level"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
+        if share < 1.0:
             break
-        left, lowest = left - r["types"], r["level"]
-    chosen = [] if lowest is None else counts.where(level >= lowest).collect()
-    top = sorted(((bytes(r["word"]), r["n"]) for r in chosen), key=lambda x: (-x[1], x[0]))
-    # Totals per ending: as many rows as there are pairs of last bytes, 65,536 at most.
-    ends = counts.groupBy(F.expr("substring(word, -2, 2)").alias("end")).agg(F.sum("n").alias("n")).collect()
-    mass = np.zeros(own + shared)
-    for r in ends:
-        mass[_shared_class(bytes(r["end"]), own, shared)] += r["n"]
-    classes = {w: i if i < own else _shared_class(w, own, shared) for i, (w, _) in enumerate(top)}
-    for i, (w, n) in enumerate(top[:own]):
-        mass[i] = n
-        mass[_shared_class(w, own, shared)] -= n
-    total = mass + 1  # one count is kept for words never seen
-    return Vocabulary({w: (classes[w], float(np.log(n / total[classes[w]]))) for w, n in top}, np.log(total).tolist(), own, shared)
-
-
-def initial_weights(seed: int = 7, classes: int = CLASSES) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 0.1, len(OFFSETS) * (classes + 1) * HIDDEN), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN * classes), np.zeros(classes)]
-    return np.concatenate(parts).astype(np.float32)
+        left -= r["types"]
+    for r in counts.where(picked).collect():
+        count_of[r["word"]] = r["n"]
+    ids = np.array(sorted(count_of), dtype=np.int64)
+    shared = (ids & _SUFFIX) % side * side + own + ((ids.view(np.uint64) >> np.uint64(12)) % np.uint64(side - own)).astype(np.int64)
+    cells = np.array([cell_of.get(w, c) for w, c in zip(ids.tolist(), shared.tolist())], dtype=np.int64)
+    return Vocabulary(ids, cells, np.log([count_of[w] for w in ids.tolist()]), np.log(mass.ravel() + 1), side, total)
 
 
 class Network:
-    def __init__(self, weights: np.ndarray):
-        self.flat = weights.astype(np.float32).copy()
-        positions = len(OFFSETS)
-        self.classes = classes = (len(self.flat) - (positions + 1) * HIDDEN) // ((positions + 1) * HIDDEN + 1)
-        sizes = np.cumsum([positions * (classes + 1) * HIDDEN, HIDDEN, HIDDEN * classes, classes])
-        tables, self.bias, out, self.prior = np.split(self.flat, sizes[:-1])
-        self.tables, self.out = tables.reshape(positions, classes + 1, HIDDEN), out.reshape(HIDDEN, classes)
-        self.seen = np.full_like(self.flat, 1e-3)
+    """Views into one flat array of weights."""
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and class log-probabilities for rows of context classes."""
-        h = self.bias + sum(self.tables[p][context[:, p]] for p in range(len(OFFSETS)))
-        h = np.tanh(h)
-        z = h @ self.out + self.prior
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return h, z
-
-    def pair_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """What two classes on the left, and two on the right, add to the hidden layer."""
-        left = self.tables[0][:, None] + self.tables[1][None, :] + self.bias
-        right = self.tables[2][:, None] + self.tables[3][None, :]
-        return left.reshape(-1, HIDDEN), right.reshape(-1, HIDDEN)
+    def __init__(self, weights: np.ndarray, side: int):
+        self.flat, self.side = weights.astype(np.float32).copy(), side
+        self.seen = np.full_like(self.flat, 1e-3)
+        self.parts, self.sums = self._views(self.flat), self._views(self.seen)
+
+    @staticmethod
+    def shapes(side: int) -> dict[str, tuple[int, ...]]:
+        return {"tables": (len(OFFSETS), side * side + 1, HIDDEN), "classes": (side, HIDDEN), "out": (HIDDEN, side), "inner": (HIDDEN, side), "prior": (side,), "inner_prior": (side, side), "bias": (HIDDEN,)}
+
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self.shapes(self.side).items():
+            n = int(np.prod(shape))
+            out[name] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
+
+    @staticmethod
+    def initial(vocabulary: Vocabulary, seed: int = 7) -> np.ndarray:
+        """Small random weights; the priors are the corpus's own shares of classes and cells."""
+        side, rng = vocabulary.side, np.random.default_rng(seed)
+        mass = np.exp(vocabulary.masses).reshape(side, side)
+        made = {k: rng.normal(0, 0.1, shape) for k, shape in Network.shapes(side).items()}
+        made |= {"prior": np.log(mass.sum(axis=1) / mass.sum()), "inner_prior": np.log(mass / mass.sum(axis=1, keepdims=True)), "bias": np.zeros(HIDDEN)}
+        return np.concatenate([made[k].ravel() for k in Network.shapes(side)]).astype(np.float32)
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """Of rows of context cells; a document's edge is the cell after the last."""
+        tables = self.parts["tables"]
+        h = self.parts["bias"] + tables[0].take(context[:, 0], axis=0)
+        for p in range(1, len(OFFSETS)):
+            h += tables[p].take(context[:, p], axis=0)
+        return np.tanh(h, out=h)
+
+    def logits(self, h: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the classes; the second hidden layer, which knows the class; of the cells inside the class."""
+        one = h @ self.parts["out"]
+        one += self.parts["prior"]
+        inner = h + self.parts["classes"].take(classes, axis=0)
+        np.tanh(inner, out=inner)
+        two = inner @ self.parts["inner"]
+        two += self.parts["inner_prior"].take(classes, axis=0)
+        return one, inner, two
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the target cells."""
+        classes, cells = target // self.side, target % self.side
+        one, _, two = self.logits(self.hidden(context), classes)
+        at, out = np.arange(len(target)), 0.0
+        for z, hit in ((one, classes), (two, cells)):
+            z -= z.max(axis=1, keepdims=True)
+            chosen = z[at, hit].astype(np.float64)
+            out = out + chosen - np.log(np.exp(z, out=z).sum(axis=1))
+        return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
-        """One Adagrad step on a batch."""
-        h, z = self.forward(context)
-        n = len(target)
-        d = np.exp(z)
-        d[np.arange(n), target] -= 1
-        d /= n
-        back = (d @ self.out.T) * (1 - h * h)
-        tables = np.zeros_like(self.tables)
+        """One Adagrad step on a batch; of the tables only the rows in use are touched."""
+        n, at = len(target), np.arange(len(target))
+        classes, cells = target // self.side, target % self.side
+        h = self.hidden(context)
+        one, inner, two = self.logits(h, classes)
+        for z, hit in ((one, classes), (two, cells)):
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+            z[at, hit] -= 1
+            z /= n
+        mid = two @ self.parts["inner"].T
+        mid *= 1 - inner * inner
+        back = one @ self.parts["out"].T
+        back += mid
+        back *= 1 - h * h
+        whole = {"out": h.T @ one, "inner": inner.T @ two, "prior": one.sum(axis=0), "bias": back.sum(axis=0)}
+        for name, grad in whole.items():
+            self.sums[name] += grad * grad
+            self.parts[name] -= rate * grad / np.sqrt(self.sums[name])
+        used, order, edges = _groups(classes)
+        self._touch("classes", None, used, np.add.reduceat(mid.take(order, axis=0), edges, axis=0), rate)
+        self._touch("inner_prior", None, used, np.add.reduceat(two.take(order, axis=0), edges, axis=0), rate)
         for p in range(len(OFFSETS)):
-            hot = np.zeros((n, self.classes + 1), dtype=np.float32)
-            hot[np.arange(n), context[:, p]] = 1
-            tables[p] = hot.T @ back
-        grad = np.concatenate([tables.ravel(), back.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0)]).astype(np.float32)
-        self.seen += grad * grad
-        self.flat -= rate * grad / np.sqrt(self.seen)
+            used, order, edges = _groups(context[:, p])
+            self._touch("tables", p, used, np.add.reduceat(back.take(order, axis=0), edges, axis=0), rate)
+
+    def _touch(self, name: str, part: int | None, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        weights, sums = (v[name] if part is None else v[name][part] for v in (self.parts, self.sums))
+        seen = sums[rows] + grad * grad
+        sums[rows] = seen
+        weights[rows] -= rate * grad / np.sqrt(seen)
+
 
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, an order that brings equal ones together, and where each begins in it."""
+    values = values.astype(np.uint16) if values.max() < 65536 else values
+    order = np.argsort(values, kind="stable")
+    held = values[order]
+    edges = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    return held[edges].astype(np.int64), order, edges
 
-def _contexts(classes: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
-    """Classes around positions; edge stands for what lies beyond a document's ends."""
-    padded = np.concatenate([[edge, edge], classes, [edge, edge]])
-    return np.stack([padded[at + 2 + o] for o in OFFSETS], axis=1)
+
+def _contexts(cells: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
+    """Cells around positions; edge stands for what lies beyond a document's ends."""
+    reach = max(OFFSETS)
+    padded = np.concatenate([np.full(reach, edge), cells, np.full(reach, edge)])
+    return np.stack([padded[at + reach + o] for o in OFFSETS], axis=1)
 
 
 def classify(texts: DataFrame, vocabulary) -> DataFrame:
-    """(row, doc_id, n_words, classes as two bytes each, word_log, rare, times).
+    """(row, doc_id, n_words, cells in two or four bytes each, word_log, rare, times).
 
-    word_log is the sum of the words' log-probabilities inside their classes,
-    where each of the rare words, which occurs so many times, counts as once seen.
+    word_log is the sum of the words' log-shares of their cells, where each of
+    the rare words, which occurs so many times, counts as once seen.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = vocabulary.value.lookup()
-        classes_of, logs_of = lookup.classes.astype(np.uint16), lookup.logs
+        known = vocabulary.value
+        width = np.dtype(known.kind).itemsize
         for batch in batches:
-            counts, classes, logs, rare, times = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = _words(text)
-                ids = np.fromiter(map(lookup.__getitem__, found), dtype=np.int64, count=len(found))
-                counts.append(len(found))
-                classes.append(classes_of[ids].tobytes())
-                logs.append(float(logs_of[ids].sum()))
-                others = Counter([found[i] for i in np.flatnonzero(ids >= lookup.known).tolist()])
-                rare.append(list(others))
-                times.append(list(others.values()))
-            arrays = [pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *arrays], ["row", "doc_id", "n_words", "classes", "word_log", "rare", "times"])
-
-    ddl = "row long, doc_id long, n_words long, classes binary, word_log double, rare array<binary>, times array<long>"
-    return texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl)
+            found = [_words(text) for text in batch.column("text").to_pylist()]
+            counts = np.array([len(x) for x in found], dtype=np.int64)
+            words = np.fromiter((i for x in found for i in map(_ids.__getitem__, x)), dtype=np.int64, count=int(counts.sum()))
+            of = np.repeat(np.arange(len(found)), counts)
+            cells, logs, held = known.look_up(words)
+            sums = np.bincount(of, weights=logs, minlength=len(found)) if len(words) else np.zeros(len(found))
+            others = np.flatnonzero(~held)
+            order = others[np.lexsort((words[others], of[others]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (words[order[1:]] != words[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+            first = np.flatnonzero(new)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[order[first]], minlength=len(found)))]).astype(np.int32))
+            rare, times = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (words[order[first]], np.diff(np.append(first, len(order)))))
+            starts = np.concatenate([[0], np.cumsum(counts)]) * width
+            data = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(starts.astype(np.int64).tobytes()), pa.py_buffer(cells.astype(known.kind).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counts), data, pa.array(sums), rare, times], ["row", "doc_id", "n_words", "cells", "word_log", "rare", "times"])
+
+    ddl = "row long, doc_id long, n_words long, cells binary, word_log double, rare array<long>, times array<long>"
+    return texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(forgetting(run, _ids.clear), ddl)
 
 
 def with_rare_words(classified: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_words, classes, word_log) with the rare words' own counts in word_log."""
+    """(doc_id, n_words, cells, word_log) with the rare words' own counts in word_log."""
     rare = classified.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    logs = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("rare_log"))
-    rows = classified.select("row", "doc_id", "n_words", "classes", "word_log").join(logs, "row", "left")
-    return rows.select("doc_id", "n_words", "classes", (F.col("word_log") + F.coalesce("rare_log", F.lit(0.0))).alias("word_log"))
+    logs = rare.join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("rare_log"))
+    rows = classified.select("row", "doc_id", "n_words", "cells", "word_log").join(logs, "row", "left")
+    return rows.select("doc_id", "n_words", "cells", (F.col("word_log") + F.coalesce("rare_log", F.lit(0.0))).alias("word_log"))
 
 
 def masked_positions(key: int | None, n: int, number: int, masks: int) -> np.ndarray:
@@ -230,91 +310,127 @@ def masked_positions(key: int | None, n: int, number: int, masks: int) -> np.nda
     return np.flatnonzero(dealt == number % masks)
 
 
-def _train_round(classified: DataFrame, weights: np.ndarray, number: int, masks: int) -> np.ndarray:
+def _train_shard(documents: Iterator[tuple[int | None, np.ndarray]], net: Network, number: int, masks: int) -> int:
+    """Train on a shard's documents (doc_id, cells) in their order; the number of words that were masked."""
+    held, wanted, waiting, trained = [], [], 0, 0
+    edge = net.side**2
+    for key, cells in documents:
+        at = masked_positions(key, len(cells), number, masks)
+        held.append(_contexts(cells, at, edge))
+        wanted.append(cells[at])
+        waiting += len(at)
+        if waiting >= BATCH:
+            context, target = np.concatenate(held), np.concatenate(wanted)
+            whole = waiting - waiting % BATCH
+            for i in range(0, whole, BATCH):
+                net.step(context[i : i + BATCH], target[i : i + BATCH])
+            trained += whole
+            held, wanted, waiting = [context[whole:]], [target[whole:]], waiting - whole
+    if waiting:
+        net.step(np.concatenate(held), np.concatenate(wanted))
+    return trained + waiting
+
+
+def _train_round(classified: DataFrame, weights: np.ndarray, vocabulary: Vocabulary, number: int, masks: int) -> np.ndarray:
+    """Average of the weights that the shards come to, chunk by chunk."""
+    shards, side, kind = -(-vocabulary.total // SHARD_WORDS), vocabulary.side, vocabulary.kind
+    if not shards:
+        return weights
+    start = classified.sparkSession.sparkContext.broadcast(weights)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, trained = Network(weights), 0
-        held, wanted, waiting = [], [], 0
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "cells"))))
+        row = next(rows, None)
+        while row is not None:
+            shard, net = row[0], Network(start.value, side)
+
+            def documents() -> Iterator[tuple[int | None, np.ndarray]]:
+                nonlocal row
+                while row is not None and row[0] == shard:
+                    yield row[1], np.frombuffer(row[2], kind).astype(np.int64)
+                    row = next(rows, None)
+
+            n = _train_shard(documents(), net, number, masks)
+            cuts = range(0, len(net.flat), _CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()), pa.array([net.flat[i : i + _CHUNK].tobytes() for i in cuts], pa.binary()), pa.array([n] * len(cuts), pa.int64())], ["shard", "chunk", "values", "n"])
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, n = None, None, 0
         for batch in batches:
-            for key, given in zip(batch.column("doc_id").to_pylist(), batch.column("classes").to_pylist()):
-                classes = np.frombuffer(given, np.uint16).astype(np.int64)
-                at = masked_positions(key, len(classes), number, masks)
-                if not len(at):
-                    continue
-                held.append(_contexts(classes, at, net.classes))
-                wanted.append(classes[at])
-                waiting += len(at)
-                if waiting >= BATCH:
-                    context, target = np.concatenate(held), np.concatenate(wanted)
-                    whole = waiting - waiting % BATCH
-                    for i in range(0, whole, BATCH):
-                        net.step(context[i : i + BATCH], target[i : i + BATCH])
-                    trained += whole
-                    held, wanted, waiting = [context[whole:]], [target[whole:]], waiting - whole
-        if waiting:
-            net.step(np.concatenate(held), np.concatenate(wanted))
-            trained += waiting
-        if trained:
-            yield pa.RecordBatch.from_arrays([pa.array([net.flat.tolist()], pa.list_(pa.float32())), pa.array([trained], pa.int64())], ["weights", "n"])
-
-    moved = classified.select("doc_id", "classes").mapInArrow(run, "weights array<float>, n long")
-    sums = moved.select(F.posexplode("weights").alias("i", "w"), "n").groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w")).collect()
-    if not sums:
-        return weights
-    out = weights.copy()
-    for r in sums:
-        out[r["i"]] = round(r["w"], 5)
-    return out
+            for _, chunk, values, times in zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "values", "n"))):
+                given = np.frombuffer(values, np.float32).astype(np.float64) * times
+                if chunk != at:
+                    if at is not None:
+                        yield done(at, total / n)
+                    at, total, n = chunk, np.zeros_like(given), 0
+                total, n = total + given, n + times
+        if at is not None:
+            yield done(at, total / n)
+
+    def done(chunk: int, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["chunk", "values"])
+
+    dealt = classified.where("n_words > 0").select(F.pmod(F.xxhash64("doc_id", "cells"), F.lit(shards)).alias("shard"), "doc_id", "cells")
+    moved = dealt.repartition(int(shards), "shard").sortWithinPartitions("shard", "doc_id", "cells").mapInArrow(run, "shard long, chunk int, values binary, n long")
+    sums = moved.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(average, "chunk int, values binary").collect()
+    start.destroy()
+    return np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(sums, key=lambda r: r["chunk"])])
 
 
-def score_texts(docs: DataFrame, size: int = VOCABULARY, rounds: int = ROUNDS, masked: float = MASKED) -> DataFrame:
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    counts: DataFrame
+    classified: DataFrame
+    weights: np.ndarray
+
+
+def fit(texts: DataFrame, size: int = FREQUENT, rounds: int = ROUNDS, masked: float = MASKED) -> Model:
+    """Count and train on all texts (doc_id, text). Texts are read twice; each round reads some two stored bytes a word."""
+    spark = texts.sparkSession
+    counts = materialize(count_words(texts), "words")
+    vocabulary = learn_vocabulary(counts, size)
+    held = spark.sparkContext.broadcast(vocabulary)
+    classified = materialize(classify(texts, held), "cells")
+    held.destroy()
+    weights, masks = Network.initial(vocabulary), max(1, min(rounds, int(1 / masked)))
+    for number in range(rounds):
+        weights = _train_round(classified, weights, vocabulary, number, masks)
+    return Model(vocabulary, counts, classified, weights)
+
+
+def score_texts(docs: DataFrame, size: int = FREQUENT, rounds: int = ROUNDS, masked: float = MASKED) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all of them.
 
     Returns doc_id, n_words, pll (sum of the words' log-probabilities) and
     mean_log_prob (0 without words). A null or empty text has no words and
     scores 0. Repeated rows and null doc_ids give a row each; an empty table
-    gives an empty one; other columns are ignored. Every word has its own
-    probability inside its class: the most frequent are broadcast, the counts
-    of the others are joined. The classes grow with the number of distinct
-    words. What reaches the driver is the frequent words and one set of weights
-    a round. Texts are read twice; rounds and scoring read two stored bytes per
-    word.
+    gives an empty one; other columns are ignored. Every word has its own share
+    of its cell: the most frequent words are broadcast, the counts of the
+    others are joined. What reaches the driver is the frequent words, two rows
+    a cell, and one set of weights a round.
     """
-    spark = docs.sparkSession
-    texts = keyed_texts(docs)
-    counts = materialize(count_words(texts), "words")
-    learned = learn_vocabulary(texts, size, counts)
-    vocabulary = spark.sparkContext.broadcast(learned)
-    classified = materialize(classify(texts, vocabulary), "classes")
-    weights = initial_weights(classes=learned.classes)
-    masks = max(1, min(rounds, int(1 / masked)))
-    for number in range(rounds):
-        weights = _train_round(classified, weights, number, masks)
-    shared = spark.sparkContext.broadcast(weights)
+    model = fit(keyed_texts(docs), size, rounds, masked)
+    side, kind = model.vocabulary.side, model.vocabulary.kind
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(shared.value)
-        left, right = net.pair_tables()
-        edge, wide = np.full(2, net.classes, np.int64), net.classes + 1
+        net = Network(shared.value, side)
+        reach = max(OFFSETS)
+        edge = np.full(reach, side**2, np.int64)
         for batch in batches:
             counts = np.array(batch.column("n_words").to_pylist(), dtype=np.int64)
-            parts = [x for given in batch.column("classes").to_pylist() for x in (edge, np.frombuffer(given, np.uint16).astype(np.int64), edge)]
+            parts = [x for given in batch.column("cells").to_pylist() for x in (edge, np.frombuffer(given, kind).astype(np.int64), edge)]
             padded = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            place = np.arange(int(counts.sum())) + 2 + 4 * np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(int(counts.sum())) + reach + 2 * reach * np.repeat(np.arange(len(counts)), counts)
             logs = np.zeros(len(place))
-            for i in range(0, len(place), _ROWS):
-                at = place[i : i + _ROWS]
-                h = np.tanh(left[padded[at - 2] * wide + padded[at - 1]] + right[padded[at + 1] * wide + padded[at + 2]])
-                z = h @ net.out
-                z += net.prior
-                top = z.max(axis=1)
-                hit = z[np.arange(len(at)), padded[at]]
-                z -= top[:, None]
-                np.exp(z, out=z)
-                logs[i : i + _ROWS] = hit - top - np.log(z.sum(axis=1))
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            total = np.concatenate([[0.0], np.cumsum(logs)])
-            sums = np.round(total[ends[1:]] - total[ends[:-1]] + np.array(batch.column("word_log").to_pylist(), dtype=float), 4)
-            mean = np.round(sums / np.maximum(counts, 1), 6)
+            for i in range(0, len(place), BATCH):
+                at = place[i : i + BATCH]
+                logs[i : i + BATCH] = net.log_probabilities(np.stack([padded[at + o] for o in OFFSETS], axis=1), padded[at])
+            of = np.repeat(np.arange(len(counts)), counts)
+            sums = (np.bincount(of, weights=logs, minlength=len(counts)) if len(logs) else np.zeros(len(counts))) + np.array(batch.column("word_log").to_pylist(), dtype=float)
+            sums = np.round(sums, 2)
+            mean = np.round(sums / np.maximum(counts, 1), 5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), pa.array(mean)], ["doc_id", "n_words", "pll", "mean_log_prob"])
 
-    return with_rare_words(classified, counts).mapInArrow(run, "doc_id long, n_words long, pll double, mean_log_prob double")
+    return with_rare_words(model.classified, model.counts).mapInArrow(run, "doc_id long, n_words long, pll double, mean_log_prob double")

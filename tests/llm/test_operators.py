@@ -370,47 +370,109 @@ def test_pseudo_likelihood_learns_order(spark):
     assert out[0].pll == pytest.approx(out[0].mean_log_prob * out[0].n_words, abs=1e-2)
 
 
-def test_network_probabilities_sum_to_one():
-    net = lm_score.Network(lm_score.initial_weights())
-    context = np.random.default_rng(0).integers(0, lm_score.CLASSES + 1, (50, 4))
-    assert np.allclose(np.exp(net.forward(context)[1]).sum(axis=1), 1, atol=1e-4)
-    target = context[:, 0] % lm_score.CLASSES
-    before = net.forward(context)[1][np.arange(50), target].mean()
-    for _ in range(50):
+def vocabulary_of(counts, side):
+    """A vocabulary of words by id with counts, as learn_vocabulary makes it, without Spark."""
+    own, mass, cells = side // 2, np.zeros((side, side)), {}
+    by_class = collections.defaultdict(list)
+    for w, n in counts.items():
+        by_class[(w & 0xFFF) % side].append((-n, w))
+    for c, found in by_class.items():
+        for k, (n, w) in enumerate(sorted(found)):
+            at = k if k < own else own + ((w % (1 << 64)) >> 12) % (side - own)
+            cells[w] = c * side + at
+            mass[c, at] -= n
+    return cells, np.log(mass + 1)
+
+
+def test_network_probabilities_sum_to_one_and_training_helps():
+    rng, side = np.random.default_rng(0), 6
+    vocabulary = lm_score.Vocabulary(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.log(rng.integers(1, 50, side * side)), side, 100)
+    net = lm_score.Network(lm_score.Network.initial(vocabulary), side)
+    context = rng.integers(0, side * side + 1, (1, 4))
+    every = net.log_probabilities(np.repeat(context, side * side, axis=0), np.arange(side * side))
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+    context = rng.integers(0, side * side + 1, (400, 4))
+    target = context[:, 0] % (side * side)
+    before = net.log_probabilities(context, target).mean()
+    for _ in range(150):
         net.step(context, target)
-    assert net.forward(context)[1][np.arange(50), target].mean() > before + 1
-
-
-def test_word_probabilities_of_a_class_sum_to_at_most_one(spark):
-    texts = spark.createDataFrame([(1, "aa ba ca aa da " * 50 + " ".join(f"x{i}a" for i in range(500)))], "doc_id long, text string")
-    v = lm_score.learn_vocabulary(texts, size=300)
-    mass = collections.Counter()
-    for c, p in v.words.values():
-        mass[c] += math.exp(p)
-    assert max(mass.values()) <= 1.0001
+    assert net.log_probabilities(context, target).mean() > before + 1
+
+
+def test_gradient_against_differences():
+    rng, side = np.random.default_rng(3), 4
+    vocabulary = lm_score.Vocabulary(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.log(rng.integers(1, 50, side * side)), side, 100)
+    start = lm_score.Network.initial(vocabulary)
+    context, target = rng.integers(0, side * side + 1, (20, 4)), rng.integers(0, side * side, 20)
+    net = lm_score.Network(start, side)
+    net.step(context, target, rate=1.0)
+    grad = np.sign(start - net.flat) * np.sqrt(np.maximum(net.seen - 1e-3, 0))
+    loss = lambda w: -lm_score.Network(w, side).log_probabilities(context, target).mean()
+    for i in rng.choice(len(start), 60, replace=False):
+        bumped = [start.copy(), start.copy()]
+        bumped[0][i] += 0.02
+        bumped[1][i] -= 0.02
+        assert grad[i] == pytest.approx((loss(bumped[0]) - loss(bumped[1])) / 0.04, abs=2e-3)
+
+
+def test_scores_from_the_weights_by_definition(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}{rng.choice('abc')}" for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(99, None)]
+    monkeypatch.setattr(lm_score, "FREQUENT", 50)
+    texts = spark.createDataFrame([(i, t or "") for i, t in rows], "doc_id long, text string")
+    model = lm_score.fit(texts, size=50)
+    side, ids = model.vocabulary.side, lm_score._WordIds()
+    counts = collections.Counter(ids[w.encode()] for _, t in rows for w in (t or "").split())
+    assert {r.word: r.n for r in model.counts.collect()} == dict(counts)
+    cells, masses = vocabulary_of(counts, side)
+    net = lm_score.Network(model.weights, side)
+    w = {k: v.astype(float) for k, v in net.parts.items()}
+    want = {}
+    for i, t in rows:
+        found, total = [ids[x.encode()] for x in (t or "").split()], 0.0
+        at = [cells[x] for x in found]
+        for p, x in enumerate(found):
+            around = [at[p + o] if 0 <= p + o < len(at) else side * side for o in (-2, -1, 1, 2)]
+            h = np.tanh(w["bias"] + sum(w["tables"][k][c] for k, c in enumerate(around)))
+            c, inner = divmod(at[p], side)
+            one, two = h @ w["out"] + w["prior"], np.tanh(h + w["classes"][c]) @ w["inner"] + w["inner_prior"][c]
+            total += one[c] - math.log(np.exp(one).sum()) + two[inner] - math.log(np.exp(two).sum()) + math.log(counts[x]) - masses[c, inner]
+        want[i] = (len(found), total)
+    got = {r.doc_id: (r.n_words, r.pll) for r in lm_score.score_texts(texts, size=50).collect()}
+    assert set(got) == set(want) and all(got[i][0] == n and got[i][1] == pytest.approx(v, abs=0.02) for i, (n, v) in want.items())
+
+
+def test_scores_do_not_depend_on_partitions_or_on_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 2000}a" for _ in range(rng.randint(1, 90)))) for i in range(200)]
+    monkeypatch.setattr(lm_score, "SHARD_WORDS", 2000)
+    run = lambda n, size: {r.doc_id: r.pll for r in lm_score.score_texts(docs(spark, rows).repartition(n), size=size).collect()}
+    first = run(1, 10_000)
+    for n, size in ((7, 10_000), (3, 20)):
+        assert run(n, size) == pytest.approx(first, abs=0.02)
+
+
+def test_vocabulary_grows_and_has_no_cliff(spark, monkeypatch):
+    words = spark.range(30_000).selectExpr("xxhash64(id) AS word", "1L AS n")
+    v = lm_score.learn_vocabulary(words, 10_000)
+    assert 9_000 < len(v.ids) < 13_000 and len(set(v.cells.tolist())) > 0.9 * lm_score.SIDE**2 / 2
+    monkeypatch.setattr(lm_score, "TYPES", 100)
+    assert lm_score.learn_vocabulary(words, 10_000).side > 3 * lm_score.SIDE
+    share = collections.Counter()
+    for c, p in zip(v.cells.tolist(), v.logs.tolist()):
+        share[c] += math.exp(p - v.masses[c])
+    assert max(share.values()) <= 1.0001
 
 
 def test_every_word_is_a_training_target(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(lm_score, "_train_round", lambda c, w, number, masks: seen.append((number, masks)) or w)
+    monkeypatch.setattr(lm_score, "_train_round", lambda c, w, v, number, masks: seen.append((number, masks)) or w)
     lm_score.score_texts(docs(spark, [(1, "a b c")]))
     for n in (0, 1, 7, 500):
         at = np.concatenate([lm_score.masked_positions(3, n, number, masks) for number, masks in seen])
         assert sorted(at.tolist()) == list(range(n))
 
 
-def test_every_word_has_its_own_probability(spark, monkeypatch):
-    rng = random.Random(6)
-    words = [f"w{i}a" for i in range(200) for _ in range(200 - i)]
-    rng.shuffle(words)
-    rows = [(i, " ".join(words[i::40])) for i in range(40)]
-    every, few = ({r.doc_id: r for r in lm_score.score_texts(docs(spark, rows), size=n).collect()} for n in (10_000, 150))
-    assert all(every[i].pll == pytest.approx(few[i].pll, abs=1e-3) for i, _ in rows)  # whether broadcast or joined
-    texts = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(lm_score, "TYPES", 8)
-    assert lm_score.learn_vocabulary(texts).classes > 2 * lm_score.CLASSES
-
-
 # 7: secrets
 
 
