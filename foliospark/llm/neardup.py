@@ -1,12 +1,16 @@
 """MinHash near-duplicates with SetSketch registers.
 
-Copies of one shingle set are one node. Bands of registers bring nodes into
+Copies of one shingle set, known by 128 bits and its size, are one node. Bands of registers bring nodes into
 buckets; in each bucket every node is paired with the bucket's least node
 only, and pairs whose similarity, estimated jointly by likelihood, is far too
 low are dropped. What hangs together so is a candidate group. Inside a group,
-all links are confirmed on the full shingle sets; a group beyond a block's
-size is split into pairs of blocks, so no task holds more than two blocks. A
-block's links leave it as a spanning forest.
+all links are confirmed on the full shingle sets. A group of more than two
+blocks is dealt out: each block by itself, then each block with the group's
+most linked nodes. What that leaves in several classes (pages of one template,
+say) is grouped anew, by the rarest fifth of each set: two linked sets share a
+shingle there, whatever order of rarity is used, so no link is lost, and pages
+that have only their template in common fall apart. A block's links leave it
+as a spanning forest.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ BAND = 5
 #: Two linked nodes lie within 0.2 (as distance) of each other, so both join unless one is far from all the least nodes.
 FLOOR = 0.45
 BLOCK = 256
+#: Texts of a large group from which the order of its shingles' rarity is taken. Links do not depend on it.
+SAMPLE = 64
 
 
 def _sketches(texts: DataFrame, size: int) -> DataFrame:
@@ -42,9 +48,9 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
                 n.append(len(elements))
                 marks.append(fingerprint(elements) if len(elements) else None)
                 registers.append(sketch(elements).astype("<u2").tobytes() if len(elements) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "mark", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "mark", "registers"])
 
-    return texts.mapInArrow(forgetting(run, forget), "doc_id long, n_shingles long, mark long, registers binary")
+    return texts.mapInArrow(forgetting(run, forget), "doc_id long, n_shingles long, mark binary, registers binary")
 
 
 def _similar(pairs: DataFrame, floor: float) -> DataFrame:
@@ -145,7 +151,76 @@ def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["group", "i", "u", "v", "degree"])
 
 
-def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block: int, hubs: int = 8) -> DataFrame:
+def _common(sample: DataFrame, size: int) -> DataFrame:
+    """(group, common): the shingles that several of a group's sampled texts have, the rarest first. Rows of a group come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, []
+
+        def found() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64),) * 2
+            order = np.lexsort((values, counts))
+            order = order[counts[order] > 1]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([values[order].tobytes()], pa.binary())], ["group", "common"])
+
+        for batch in batches:
+            for group, text in zip(batch.column("group").to_pylist(), batch.column("text").to_pylist()):
+                if group != at:
+                    if at is not None:
+                        yield found()
+                    at, sets = group, []
+                sets.append(shingles(text, size))
+        if at is not None:
+            yield found()
+
+    return sample.select("group", "text").repartition("group").sortWithinPartitions("group").mapInArrow(forgetting(run, forget), "group long, common binary")
+
+
+def _rarest(members: DataFrame, common: DataFrame, size: int, percent: int) -> DataFrame:
+    """(group, shingle, node): of each set so many of its rarest shingles that two linked sets share one.
+
+    A linked set shares percent of its shingles at least, so one of any
+    n - ceil(percent n) + 1 first in an order that both use. Here the order is:
+    those that the group's sample does not have twice, then the others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = rank = np.zeros(0, np.uint64)
+        for batch in batches:
+            parts: list[tuple[int, int, np.ndarray]] = []
+            for group, node, text, given in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "text", "common"))):
+                if node is None:  # a block's first row
+                    given = np.frombuffer(given, np.uint64)
+                    by_value = np.argsort(given)
+                    known, rank = given[by_value], by_value + 1
+                    continue
+                elements = shingles(text, size)
+                at = np.minimum(np.searchsorted(known, elements), max(len(known) - 1, 0))
+                place = np.where(known[at] == elements, rank[at], 0) if len(known) else np.zeros(len(elements))
+                keep = len(elements) - -(-percent * len(elements) // 100) + 1
+                parts.append((group, node, elements[np.lexsort((elements, place))[:keep]]))
+            many = [len(x) for *_, x in parts]
+            values = np.concatenate([x for *_, x in parts]).view(np.int64) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g for g, *_ in parts], many).astype(np.int64)), pa.array(values), pa.array(np.repeat([n for _, n, _ in parts], many).astype(np.int64))], ["group", "shingle", "node"])
+
+    none = F.lit(None)
+    heads = common.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), none.cast("long").alias("node"), none.cast("string").alias("text"), "common")
+    rows = members.select("group", "own", "node", "text", none.cast("binary").alias("common")).unionByName(heads)
+    return rows.repartition("group", "own").sortWithinPartitions("group", "own", F.asc_nulls_first("node")).mapInArrow(forgetting(run, forget), "group long, shingle long, node long")
+
+
+def _by_rarest(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of groups anew: what shares one of its rarest shingles, directly or over others."""
+    sizes = materialize(members.groupBy("group", "blocks").agg(F.ceil(F.count("*") / SAMPLE).alias("one_in")), "sizes")
+    sample = members.join(sizes.select("group", "one_in"), "group").where(F.pmod(F.xxhash64("node", F.lit(2)), F.col("one_in")) == 0)
+    common = materialize(_common(sample, size), "common").join(sizes, "group", "right").withColumn("common", F.coalesce("common", F.lit(b"")))
+    rows = materialize(_rarest(members, common, size, percent), "rarest")
+    buckets = rows.groupBy("group", "shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+    pairs = rows.join(materialize(buckets, "hubs"), ["group", "shingle"]).where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    return materialize(connected_components(pairs), "groups")
+
+
+def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block: int, hubs: int = 8, anew: bool = True) -> DataFrame:
     """Edges (u, v) that connect what the links inside all groups (node, component) connect."""
     n_blocks = F.when(F.count("*") > 2 * block, F.ceil(F.count("*") / block)).otherwise(1).cast("int")
     blocks = materialize(groups.groupBy(F.col("component").alias("group")).agg(n_blocks.alias("blocks")), "blocks")
@@ -169,7 +244,13 @@ def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block:
     known = wide.select("group", "node").distinct().join(connected_components(of_wide.select("u", "v")), "node", "left").select("group", "node", F.coalesce("component", "node").alias("class"))
     known = materialize(known, "known")
     sizes = known.groupBy("group", "class").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", (-F.col("class")).alias("c"))).alias("m")).select("group", (-F.col("m.c")).alias("largest"))
-    loose = known.join(materialize(sizes, "largest"), "group").where("class <> largest").select("group", "node")
+    loose = materialize(known.join(materialize(sizes, "largest"), "group").where("class <> largest").select("group", "node"), "loose")
+    if loose.isEmpty():
+        return edges
+    if anew:
+        again = _by_rarest(wide.join(loose.select("group").distinct(), "group", "left_semi"), size, percent)
+        return edges.unionByName(_links(again, texts, size, percent, block, hubs, anew=False))
+    # Sets that share their rarest shingles too, and are still not linked: every loose one meets every block.
     loose_blocks = materialize(loose.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("loose_blocks")), "loose")
     wide = wide.join(loose_blocks, "group")
     every = wide.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1))})

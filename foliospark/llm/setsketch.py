@@ -59,9 +59,10 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def fingerprint(elements: np.ndarray) -> int:
-    """Of a whole set, as a signed 64-bit number."""
-    return int(mix(np.array([mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(elements))]))[0].astype(np.int64))
+def fingerprint(elements: np.ndarray) -> bytes:
+    """Of a whole set: two independent sums of 64 bits, and its size."""
+    sums = [mix(np.array([mix(elements ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(elements))]))[0] for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    return np.array([*sums, len(elements)], dtype="<u8").tobytes()
 
 
 def sketch(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:

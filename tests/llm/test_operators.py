@@ -87,6 +87,23 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == want
 
 
+def test_loose_groups_fall_apart_and_lose_no_link(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    template, texts = [word() for _ in range(120)], []
+    for i in range(700):  # two of these pages are about 0.6 similar
+        texts.append((3 * i, " ".join(template + [word() for _ in range(35)])))
+    for i, t in rng.sample(texts, 40):
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append((3 * i + 10_000, " ".join(w)))
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), block=32).collect()}
+    assert got == want and sum(i != c for i, (_, c) in got.items()) == 40
+    sets = [setsketch.shingles(t, 4) for _, t in texts]
+    assert len({setsketch.fingerprint(x) for x in sets}) == len(sets) and all(len(setsketch.fingerprint(x)) == 24 for x in sets)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 3000).astype(np.uint64), rng.integers(0, 1 << 63, 1000).astype(np.uint64)
