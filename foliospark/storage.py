@@ -34,8 +34,8 @@ def _located(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def store(df: DataFrame, name: str, scoped: bool = True) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back.
+def store(df: DataFrame, name: str, scoped: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to a new table (in folders by some of its last columns) in the shared folder and read it back.
 
     Cuts the lineage in a way that outlives the loss of any executor. The table
     is removed at the end of the innermost scratch() it is stored in, or else
@@ -43,7 +43,7 @@ def store(df: DataFrame, name: str, scoped: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     files, at = _located(spark, path)
     files.deleteOnExit(at)
     if scoped and _scopes:
