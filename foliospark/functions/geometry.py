@@ -87,9 +87,23 @@ def yolo_fields(box: tuple, width: Column, height: Column) -> dict[str, Column]:
     return {"xc": share((x1 + x2) / F.lit(2.0) / width), "yc": share((y1 + y2) / F.lit(2.0) / height), "w": share((x2 - x1) / width), "h": share((y2 - y1) / height)}
 
 
+def six_decimals(x: Column) -> Column:
+    """A share in 0..1 with six decimals, rounded by its exact binary value, halves to even.
+
+    The value is split in two, so that the part beyond the sixth decimal is
+    computed without a rounding that could make or break a half.
+    """
+    high = F.rint(x * F.lit(2.0**26)) / F.lit(2.0**26)
+    whole = F.floor(x * F.lit(1e6))
+    rest = (high * F.lit(1e6) - whole) + (x - high) * F.lit(1e6)
+    up = (rest > 0.5) | ((rest == 0.5) & (whole % 2 == 1))
+    n = whole + up.cast("long")
+    return F.concat((F.floor(n / F.lit(1_000_000))).cast("string"), F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0"))
+
+
 def yolo_line(cls: Column, fields: dict[str, Column]) -> Column:
     """Label text with six decimals."""
-    return F.concat_ws(" ", cls.cast("string"), *(F.format_string("%.6f", fields[k]) for k in ("xc", "yc", "w", "h")))
+    return F.concat_ws(" ", cls.cast("string"), *(six_decimals(fields[k]) for k in ("xc", "yc", "w", "h")))
 
 
 def yolo_pixels(xc: Column, yc: Column, w: Column, h: Column, width: Column, height: Column) -> dict[str, Column]:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import argmax, top_probability
 from ..functions.text import base_label, is_prefix_label, shorten, strip_text
-from ..schemas import ALLOWED, MIN_SCORE, OTHER, OTHER_ID
+from ..schemas import ALLOWED, FIELD_GROUPS, MIN_SCORE, OTHER, OTHER_FIELDS, OTHER_ID
 
 
 def score_tokens(tokens: DataFrame) -> DataFrame:
@@ -92,12 +92,14 @@ def values_and_prefixes(labelled: DataFrame, min_score: float = MIN_SCORE) -> Da
 def report_rows(fields: DataFrame, labels: DataFrame, prefix_chars: int = 24, value_chars: int = 42) -> DataFrame:
     """Rows of the report table: a header per group that has fields, then its fields.
 
-    Fields without a group come last, in the order of their names. Empty
+    Fields without a group, those of unknown labels too, come last as other
+    fields, in the order of their names. Empty
     prefixes, values and confidences are shown as "-".
     """
     groups = F.broadcast(labels.where("NOT is_prefix").select(F.col("base_label").alias("base"), "field_group", "group_pos", "field_pos"))
     dash = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(c)
-    body = fields.join(groups, "base").select(
+    known = fields.join(groups, "base", "left").fillna({"field_group": OTHER_FIELDS, "group_pos": len(FIELD_GROUPS), "field_pos": 0})
+    body = known.select(
         "image_id", "group_pos", F.lit(1).alias("level"), "field_pos", F.col("base").alias("field"),
         dash(shorten(F.col("prefix"), prefix_chars)).alias("prefix"), dash(shorten(F.col("value"), value_chars)).alias("value"),
         dash(F.format_string("%.2f", F.col("confidence"))).alias("conf"), "field_group",

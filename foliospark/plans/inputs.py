@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import LABELS
+
 WIDTH, HEIGHT = 900, 1200
 
 
@@ -40,6 +42,15 @@ soft AS (SELECT *, list_transform(logits, lambda v: exp(v - list_max(logits))) A
 preds AS (SELECT vec_id, image_id, token_idx, label, CAST(list_position(logits, list_max(logits)) - 1 AS INT) AS pred_id, list_max(ex) / list_sum(ex) AS score FROM soft)"""
 
 
+def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits of all 37 labels; ten vectors are an image."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("token_idx"), F.transform(F.slice("embedding", 1, len(LABELS)), lambda v: v.cast("double") * 10).alias("logits"))
+
+
+TOKEN_LOGITS = LOGITS.replace("embedding[1:10]", f"embedding[1:{len(LABELS)}]")
+
+
 def rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four candidate rotations of four logits per vector."""
     e = table(spark, sf_dir, "embeddings")
@@ -62,6 +73,19 @@ def phashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHASHES = """ph AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[2:64], lambda v: CASE WHEN v > list_sort(embedding[2:64])[32] THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, b: a * 2 + b) AS h FROM embeddings)"""
 
 
+def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perceptual hashes, every third also with one bit, every fifth with two bits turned, every seventh once more."""
+    h, bit = F.col("canonical_hash_int"), lambda k: F.expr(f"shiftleft(1L, cast((vec_id * {k}) % 61 AS int))")
+    entry = lambda k, value, every: F.when(F.col("vec_id") % every == 0, F.struct(F.lit(k).alias("k"), value.alias("h")))
+    made = F.array(entry(0, h, 1), entry(1, h.bitwiseXOR(bit(1)), 3), entry(2, h.bitwiseXOR(bit(1)).bitwiseXOR(bit(7)), 5), entry(3, h, 7))
+    rows = phashes(spark, sf_dir).select("vec_id", F.explode(made).alias("x")).where("x IS NOT NULL")
+    return rows.select((F.col("vec_id") * 4 + F.col("x.k")).alias("vec_id"), F.col("x.h").alias("canonical_hash_int"))
+
+
+NEAR_HASHES = PHASHES.replace("ph AS", "ph0 AS") + """, ph AS (SELECT vec_id * 4 AS vec_id, h FROM ph0 UNION ALL SELECT vec_id * 4 + 1, xor(h, 1::BIGINT << CAST(vec_id % 61 AS INT)) FROM ph0 WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id * 4 + 2, xor(xor(h, 1::BIGINT << CAST(vec_id % 61 AS INT)), 1::BIGINT << CAST(vec_id * 7 % 61 AS INT)) FROM ph0 WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id * 4 + 3, h FROM ph0 WHERE vec_id % 7 = 0)"""
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as image records: three splits, languages as classes, a 60-bit content hash."""
     d = table(spark, sf_dir, "documents")

@@ -16,7 +16,7 @@ from ..operators import curation as cu
 from ..operators import entities as en
 from ..operators import evaluation as ev
 from ..operators import routing as ro
-from ..schemas import LABELS, label_table
+from ..schemas import ALLOWED, FIELD_GROUPS, LABELS, label_table
 from . import inputs as i
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,20 +76,28 @@ def kie_word_left_default(spark, d):
     return en.predictions_of_words(words, en.first_subtoken(scored)).select("image_id", "box_idx", "text", "pred_id", F.round("score", 6).alias("score"))
 
 
-_LABEL_VALUES = "lab(label_id, label) AS (VALUES (0, 'ADDR'), (1, 'ADDR_PREFIX'), (2, 'AMOUNT'), (3, 'AMOUNT_PREFIX'), (4, 'BILLID'), (5, 'BILLID_PREFIX'), (6, 'CASHIER'), (7, 'CASHIER_PREFIX'), (8, 'DATETIME'), (9, 'DATETIME_PREFIX'))"
+_LABEL_VALUES = "lab(label_id, label) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(LABELS)) + "), named AS (SELECT image_id, token_idx, vec_id, score, lab.label FROM preds JOIN lab ON pred_id = label_id)"
+_KIE = f"{i.TOKEN_LOGITS}, {_LABEL_VALUES}"
+_KEPT = "score >= 0.5 AND label <> 'OTHER' AND NOT ends_with(label, '_PREFIX')"
+_ALLOWED = f"{_KEPT} AND label IN ({', '.join(repr(x) for x in ALLOWED)})"
 
 
 def _labelled(spark, d):
-    words = en.score_tokens(i.logits(spark, d)).select("image_id", F.col("token_idx").alias("idx"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("text"), "pred_id", "score")
+    words = en.score_tokens(i.token_logits(spark, d)).select("image_id", F.col("token_idx").alias("idx"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("text"), "pred_id", "score")
     return en.label_words(words, label_table(spark))
 
 
-@query(f"WITH {i.LOGITS}, {_LABEL_VALUES} SELECT image_id, token_idx AS idx, label, 't' || vec_id AS text, round(score, 6) AS score FROM (SELECT * EXCLUDE (label) FROM preds) JOIN lab ON pred_id = label_id WHERE score >= 0.5 AND label IN ('ADDR', 'DATETIME', 'AMOUNT')")
+@query(f"WITH {_KIE} SELECT image_id, token_idx AS idx, label, round(score, 6) AS score FROM named")
+def kie_labels(spark, d):
+    return _labelled(spark, d).select("image_id", "idx", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_KIE} SELECT image_id, token_idx AS idx, label, 't' || vec_id AS text, round(score, 6) AS score FROM named WHERE {_ALLOWED}")
 def kie_entities_filter(spark, d):
     return en.keep_entities(_labelled(spark, d)).select("image_id", "idx", "label", "text", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {i.LOGITS}, {_LABEL_VALUES} SELECT image_id, label, string_agg('t' || vec_id, ' ' ORDER BY token_idx) AS value, round(avg(score), 6) AS mean_score FROM (SELECT * EXCLUDE (label) FROM preds) JOIN lab ON pred_id = label_id WHERE score >= 0.5 AND NOT ends_with(label, '_PREFIX') GROUP BY ALL")
+@query(f"WITH {_KIE} SELECT image_id, label, string_agg('t' || vec_id, ' ' ORDER BY token_idx) AS value, round(avg(score), 6) AS mean_score FROM named WHERE {_KEPT} GROUP BY ALL")
 def kie_extract(spark, d):
     """Flagship: logits to joined fields with their mean confidence."""
     kept = en.keep_entities(_labelled(spark, d), allowed=None)
@@ -102,21 +110,38 @@ def kie_extract_joined(spark, d):
     return en.joined_by_label(rows).select("image_id", "label", "value")
 
 
-@query(
-    f"WITH {i.LOGITS}, {_LABEL_VALUES} SELECT image_id, regexp_replace(label, '_PREFIX$', '') AS base, coalesce(string_agg('t' || vec_id, ' ' ORDER BY token_idx) FILTER (NOT ends_with(label, '_PREFIX')), '') AS value, "
-    "coalesce(string_agg('t' || vec_id, ' ' ORDER BY token_idx) FILTER (ends_with(label, '_PREFIX')), '') AS prefix, round(coalesce(avg(score) FILTER (NOT ends_with(label, '_PREFIX')), avg(score) FILTER (ends_with(label, '_PREFIX'))), 6) AS confidence "
-    "FROM (SELECT * EXCLUDE (label) FROM preds) JOIN lab ON pred_id = label_id WHERE score >= 0.5 GROUP BY ALL"
+_FIELDS = (
+    "fields AS (SELECT image_id, regexp_replace(label, '_PREFIX$', '') AS base, coalesce(string_agg('t' || vec_id, ' ' ORDER BY token_idx) FILTER (NOT ends_with(label, '_PREFIX')), '') AS value, "
+    "coalesce(string_agg('t' || vec_id, ' ' ORDER BY token_idx) FILTER (ends_with(label, '_PREFIX')), '') AS prefix, coalesce(avg(score) FILTER (NOT ends_with(label, '_PREFIX')), avg(score) FILTER (ends_with(label, '_PREFIX'))) AS confidence "
+    "FROM named WHERE score >= 0.5 AND label <> 'OTHER' GROUP BY ALL)"
 )
+
+
+@query(f"WITH {_KIE}, {_FIELDS} SELECT * REPLACE (round(confidence, 6) AS confidence) FROM fields")
 def kie_mean_conf_fallback(spark, d):
     return en.values_and_prefixes(_labelled(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+_GROUPS = "grp(base, field_group, group_pos, field_pos) AS (VALUES " + ", ".join(f"('{f}', '{name}', {g_}, {k})" for g_, (name, fields) in enumerate(FIELD_GROUPS.items()) for k, f in enumerate(fields)) + ")"
+_DASH = "CASE WHEN {v} = '' THEN '-' WHEN length({v}) > {n} THEN left({v}, {n} - 3) || '...' ELSE {v} END"
+
+
+@query(
+    f"WITH {_KIE}, {_FIELDS}, {_GROUPS}, body AS (SELECT image_id, coalesce(group_pos, {len(FIELD_GROUPS)}) AS group_pos, 1 AS level, coalesce(field_pos, 0) AS field_pos, base AS field, "
+    f"{_DASH.format(v='prefix', n=24)} AS prefix, {_DASH.format(v='value', n=42)} AS value, printf('%.2f', confidence) AS conf, coalesce(field_group, 'Other fields') AS field_group FROM fields LEFT JOIN grp USING (base)), "
+    "every AS (SELECT * EXCLUDE (field_group) FROM body UNION ALL SELECT DISTINCT image_id, group_pos, 0, 0, field_group, '', '', '' FROM body) "
+    "SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY group_pos, level, field_pos, field) AS INT) AS row, field, prefix, value, conf FROM every"
+)
 def kie_report_rows(spark, d):
     return en.report_rows(en.values_and_prefixes(_labelled(spark, d)), label_table(spark))
 
 
-@query()
+@query(
+    f"WITH {_KIE}, kept AS (SELECT image_id, token_idx, label, 't' || vec_id AS text FROM named WHERE {_ALLOWED}), per AS (SELECT image_id, label, min(token_idx) AS place, list(text ORDER BY token_idx) AS texts FROM kept GROUP BY ALL), "
+    "lists AS (SELECT image_id, '[' || string_agg('{\"' || label || '\":\"' || text || '\"}', ',' ORDER BY token_idx) || ']' AS entities FROM kept GROUP BY ALL) "
+    "SELECT image_id, any_value(entities) AS entities, '{' || string_agg('\"' || label || '\":[\"' || array_to_string(texts, '\",\"') || '\"]', ',' ORDER BY place) || '}' AS texts, "
+    "'{' || string_agg('\"' || label || '\":\"' || array_to_string(texts, ' ') || '\"', ',' ORDER BY place) || '}' AS joined FROM per JOIN lists USING (image_id) GROUP BY image_id"
+)
 def kie_entity_maps(spark, d):
     return en.entity_maps(en.keep_entities(_labelled(spark, d))).select("image_id", F.to_json("entities").alias("entities"), F.to_json("texts").alias("texts"), F.to_json("joined").alias("joined"))
 
@@ -158,6 +183,12 @@ def box_yolo_roundtrip(spark, d):
     return y.select("image_id", "box_idx", *(v.alias(k) for k, v in back.items())).where("x2 > x1 AND y2 > y1")
 
 
+@query(f"WITH {i.BOXES}, y AS (SELECT image_id, box_idx, cls_id, {_YOLO} FROM boxes) SELECT image_id, box_idx, printf('%d %.6f %.6f %.6f %.6f', cls_id, xc, yc, w, h) AS line FROM y")
+def box_yolo_text(spark, d):
+    b = i.boxes(spark, d)
+    return b.select("image_id", "box_idx", g.yolo_line(F.col("cls_id"), g.yolo_fields(bx.CORNERS, *_size())).alias("line"))
+
+
 _PAIR = (
     "pairs AS (SELECT a.image_id, a.box_idx AS a, b.box_idx AS b, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, greatest(a.x2, b.x2) AS x2, greatest(a.y2, b.y2) AS y2, greatest(a.conf, b.conf) AS conf, CASE WHEN a.conf >= b.conf THEN a.cls_id ELSE b.cls_id END AS cls_id "
     "FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_idx < b.box_idx WHERE greatest(a.y2 - a.y1, b.y2 - b.y1) > 0 "
@@ -227,16 +258,15 @@ def phash_bits(spark, d):
     return i.phashes(spark, d).withColumn("canonical_hash_hex", s.hash_hex(F.col("canonical_hash_int")))
 
 
-@query(f"WITH {i.PHASHES} SELECT a.vec_id AS record_a, b.vec_id AS record_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS hamming_distance FROM ph a JOIN ph b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 16")
+@query(f"WITH {i.NEAR_HASHES} SELECT a.vec_id AS record_a, b.vec_id AS record_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS hamming_distance FROM ph a JOIN ph b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 2")
 def phash_hamming_pairs(spark, d):
-    return cu.near_pairs(i.phashes(spark, d), 16, id_col="vec_id")
+    return cu.near_pairs(i.near_hashes(spark, d), 2, id_col="vec_id")
 
 
-@query(f"WITH RECURSIVE {i.PHASHES}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ph a JOIN ph b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 18), w AS (SELECT vec_id AS n, vec_id AS r FROM ph UNION SELECT w.n, e.b FROM w JOIN e ON w.r = e.a) SELECT n AS node, min(r) AS component FROM w GROUP BY n")
+@query(f"WITH RECURSIVE {i.NEAR_HASHES}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ph a JOIN ph b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 2), w AS (SELECT vec_id AS n, vec_id AS r FROM ph UNION SELECT w.n, e.b FROM w JOIN e ON w.r = e.a), c AS (SELECT n AS record_id, min(r) AS first FROM w GROUP BY n), f AS (SELECT first, 'doc_' || lpad(CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR), 6, '0') AS document_group_id FROM (SELECT DISTINCT first FROM c)) SELECT record_id, document_group_id FROM c JOIN f USING (first)")
 def phash_components(spark, d):
-    hashes = i.phashes(spark, d)
-    pairs = cu.near_pairs(hashes, 18, id_col="vec_id").select(F.col("record_a").alias("a"), F.col("record_b").alias("b"))
-    return cu.components(pairs, hashes.select(F.col("vec_id").alias("node")))
+    """Groups of what hashes within a distance of 2 connect: pairs between distinct hashes, membership by record."""
+    return cu.document_groups(i.near_hashes(spark, d).withColumnRenamed("vec_id", "record_id"), 2).select("record_id", "document_group_id")
 
 
 @query(f"WITH {i.RECORDS}, f AS (SELECT canonical_hash_int AS h, min(record_id) AS first FROM recs GROUP BY ALL), n AS (SELECT h, 'doc_' || lpad(CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR), 6, '0') AS document_group_id FROM f) SELECT record_id, document_group_id FROM recs JOIN n ON canonical_hash_int = h")
@@ -286,19 +316,45 @@ def _balanced(spark, d):
     return reduce(DataFrame.unionByName, others, train), cu.balance(train, dim)
 
 
-@query()
+# The picks are made one after the other: by target, then by the classes to choose from, then by hash.
+_BALANCE = (
+    f"{i.RECORDS}, r AS (SELECT record_id, split_name, path, canonical_hash_int AS h, ['0', '90', '180', '270'][CAST(record_id AS INT) % 7 % 4 + 1] AS class_name, lpad(lower(hex(canonical_hash_int)), 16, '0') AS canonical_hash_hex FROM recs), "
+    "gf AS (SELECT split_name, h, min(record_id) AS first FROM r GROUP BY ALL), gn AS (SELECT split_name, h, 'doc_' || lpad(CAST(row_number() OVER (PARTITION BY split_name ORDER BY first) - 1 AS VARCHAR), 6, '0') AS document_group_id FROM gf), "
+    "g AS (SELECT r.*, document_group_id FROM r JOIN gn USING (split_name, h)), tr AS (SELECT * FROM g WHERE split_name = 'train'), "
+    "dim(class_name) AS (VALUES ('0'), ('90'), ('180'), ('270')), cnt AS (SELECT class_name, count(record_id) AS n FROM dim LEFT JOIN tr USING (class_name) GROUP BY ALL), needs AS (SELECT class_name AS target_class, (SELECT max(n) FROM cnt) - n AS need FROM cnt), "
+    "held AS (SELECT document_group_id, list(DISTINCT class_name ORDER BY class_name) AS classes FROM tr GROUP BY ALL), "
+    "el AS (SELECT target_class, need, document_group_id, list_filter(classes, lambda c: c <> target_class) AS options, md5('42:' || target_class || ':' || document_group_id) AS turn FROM held CROSS JOIN needs WHERE need > 0), "
+    "pk AS (SELECT *, array_to_string(options, ',') AS choice FROM (SELECT *, row_number() OVER (PARTITION BY target_class ORDER BY turn, document_group_id) AS rn FROM el WHERE len(options) > 0) WHERE rn <= need), "
+    "sq AS (SELECT *, row_number() OVER (PARTITION BY target_class ORDER BY choice, turn, document_group_id) AS seq FROM pk), "
+    "walk AS (SELECT target_class, 0::BIGINT AS seq, [0, 0, 0, 0] AS used, ''::VARCHAR AS document_group_id, ''::VARCHAR AS source_class FROM (SELECT DISTINCT target_class FROM sq) "
+    "UNION ALL SELECT w.target_class, s.seq, list_transform(range(1, 5), lambda k: w.used[k] + CASE WHEN ['0', '180', '270', '90'][k] = best THEN 1 ELSE 0 END), s.document_group_id, best FROM walk w JOIN sq s ON s.target_class = w.target_class AND s.seq = w.seq + 1, "
+    "LATERAL (SELECT list_sort(list_transform(s.options, lambda o: lpad(CAST(w.used[list_position(['0', '180', '270', '90'], o)] AS VARCHAR), 9, '0') || o))[1][10:] AS best)), "
+    "src AS (SELECT document_group_id, class_name AS source_class, min({'record_id': record_id, 'path': path, 'x': canonical_hash_hex}) AS one FROM tr GROUP BY ALL), "
+    "picks AS (SELECT target_class, source_class, document_group_id, one.record_id AS record_id, one.path AS path, one.x AS canonical_hash_hex, CAST((CAST(target_class AS INT) - CAST(source_class AS INT) + 360) % 360 AS INT) AS rotation_applied FROM walk JOIN src USING (document_group_id, source_class) WHERE seq > 0)"
+)
+_MANIFEST = (
+    "man AS (SELECT 'original' AS row_type, split_name, class_name AS target_class, class_name AS source_class, 0 AS rotation_applied, path AS source_path, split_name || '/' || class_name || '/orig_' || record_id AS output_path, record_id, document_group_id, canonical_hash_hex FROM g "
+    "UNION ALL SELECT 'augmented', 'train', target_class, source_class, rotation_applied, path, 'train/' || target_class || '/aug_target_' || target_class || '_from_' || source_class || '_' || record_id, record_id, document_group_id, canonical_hash_hex FROM picks)"
+)
+
+
+@query(f"WITH RECURSIVE {_BALANCE} SELECT * FROM picks")
 def balance_pick(spark, d):
     return _balanced(spark, d)[1]
 
 
-@query()
+@query(f"WITH RECURSIVE {_BALANCE}, {_MANIFEST} SELECT * FROM man")
 def manifest_union(spark, d):
     return cu.manifest(*_balanced(spark, d))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_BALANCE}, {_MANIFEST}, per AS (SELECT split_name, list({{'target_class': target_class, 'n': n}} ORDER BY target_class) AS classes FROM (SELECT split_name, target_class, count(*) AS n FROM man GROUP BY ALL) GROUP BY ALL), "
+    "sp AS (SELECT split_name, count(*) AS images, count(DISTINCT document_group_id) AS documents, count(*) FILTER (row_type = 'augmented') AS augmented FROM man GROUP BY ALL) "
+    "SELECT CAST(to_json(list({'split_name': split_name, 'images': images, 'documents': documents, 'augmented': augmented, 'classes': classes} ORDER BY split_name)) AS VARCHAR) AS splits, CAST(sum(images) AS BIGINT) AS total FROM sp JOIN per USING (split_name)"
+)
 def curation_report(spark, d):
-    return cu.curation_report(cu.manifest(*_balanced(spark, d)))
+    return cu.curation_report(cu.manifest(*_balanced(spark, d))).select(F.to_json("splits").alias("splits"), "total")
 
 
 @query("SELECT page_id, substr(CASE WHEN z = '' THEN 'img' ELSE z END, 1, 40) AS name, regexp_replace(url, '[^\\p{L}\\p{N}._-]', '_', 'g') AS file FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS z FROM pages)")
@@ -397,14 +453,15 @@ def label_colours(spark, d):
     return label_table(spark).select("label_id", "label", t.label_colour(F.col("label")).alias("colour"))
 
 
-@query("SELECT p_partkey, replace(replace(replace(p_name || ' & 5% #_', '&', '\\&'), '%', '\\%'), '#', '\\#') AS half FROM part")
+_LATEX = reduce(lambda e, sign: f"replace({e}, '{sign[0]}', '{sign[1]}')", t.LATEX, "p_name || ' & 5% #_ $x {y} ~ ^'")
+
+
+@query(f"SELECT p_partkey, {_LATEX} AS cell FROM part")
 def latex_cells(spark, d):
-    """LaTeX escaping, compared on the signs that do not meet."""
-    text = F.concat("p_name", F.lit(" & 5% #_"))
-    return i.table(spark, d, "part").select("p_partkey", F.replace(t.latex_escape(text), F.lit("\\_"), F.lit("_")).alias("half"))
+    return i.table(spark, d, "part").select("p_partkey", t.latex_escape(F.concat("p_name", F.lit(" & 5% #_ $x {y} ~ ^"))).alias("cell"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice / 500000 >= 0.9e0 THEN 'accepted' WHEN o_totalprice / 500000 >= 0.6e0 THEN 'review' ELSE 'suspect' END AS status, CAST(trunc(o_totalprice / 5000) AS INT) AS percent FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice / 500000 >= 0.9e0 THEN 'accepted' WHEN o_totalprice / 500000 >= 0.6e0 THEN 'review' ELSE 'suspect' END AS status, CAST(trunc(o_totalprice / 500000 * 100) AS INT) AS percent FROM orders")
 def route_by_confidence(spark, d):
     p = F.col("o_totalprice") / 500000
-    return i.table(spark, d, "orders").select("o_orderkey", s.decide_status(p).alias("status"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("percent"))
+    return i.table(spark, d, "orders").select("o_orderkey", s.decide_status(p).alias("status"), t.percent(p).alias("percent"))

@@ -21,6 +21,7 @@ FIELD_GROUPS = {
 # The labels that an extraction keeps by default.
 ALLOWED = ("SHOP_NAME", "ADDR", "DATETIME", "TPRICE", "PRODUCT_NAME", "AMOUNT", "UPRICE", "SUB_TPRICE", "UDISCOUNT")
 OTHER = "OTHER"
+OTHER_FIELDS = "Other fields"
 OTHER_ID = LABELS.index(OTHER)
 MIN_SCORE = 0.50
 DETECTOR_CONF, SEGMENT_CONF = 0.08, 0.5
@@ -32,5 +33,5 @@ RECORD_SCHEMA = "record_id string, split_name string, class_name string, angle i
 def label_table(spark: SparkSession, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """label_id, label, is_prefix, base_label, field_group, group_pos, field_pos: as many rows as labels."""
     place = {f: (g, i, j) for i, (g, fields) in enumerate(FIELD_GROUPS.items()) for j, f in enumerate(fields)}
-    rows = [(i, x, x.endswith("_PREFIX"), x.removesuffix("_PREFIX"), *place.get(x.removesuffix("_PREFIX"), ("Other fields", len(FIELD_GROUPS), 0))) for i, x in enumerate(labels)]
+    rows = [(i, x, x.endswith("_PREFIX"), x.removesuffix("_PREFIX"), *place.get(x.removesuffix("_PREFIX"), (OTHER_FIELDS, len(FIELD_GROUPS), 0))) for i, x in enumerate(labels)]
     return spark.createDataFrame(rows, "label_id int, label string, is_prefix boolean, base_label string, field_group string, group_pos int, field_pos int")

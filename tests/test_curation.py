@@ -1,4 +1,5 @@
 import collections
+import json
 import os
 import random
 
@@ -143,4 +144,4 @@ def test_manifest_holds_the_originals_of_all_splits(spark):
     assert {r.split_name for r in rows if r.row_type == "augmented"} == {"train"}
     report = registry.queries()["curation_report"](spark, DIR).first()
     made = collections.Counter(r.split_name for r in rows)
-    assert {x.split_name: x.images for x in report.splits} == dict(made) and report.total == len(rows)
+    assert {x["split_name"]: x["images"] for x in json.loads(report.splits)} == dict(made) and report.total == len(rows)

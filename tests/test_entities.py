@@ -30,6 +30,8 @@ def test_keep_join_and_report(spark):
     assert fields["PHONE"].value == "" and abs(fields["PHONE"].confidence - 0.7) < 1e-9
     report = [(r.field, r.prefix, r.value, r.conf) for r in en.report_rows(en.values_and_prefixes(df), label_table(spark)).orderBy("row").collect()]
     assert report == [("Store information", "", "", ""), ("SHOP_NAME", "-", "Shop", "0.80"), ("ADDR", "Addr:", "1 Main Street", "0.70"), ("PHONE", "Tel", "-", "0.70"), ("Receipt metadata", "", "", ""), ("TITLE", "-", "T", "0.90")]
+    odd = spark.createDataFrame([("a", "ZZZ", "v", "", 0.5), ("a", "NEW", "w", "p", None), ("a", "ADDR", "x", "", 0.9)], "image_id string, base string, value string, prefix string, confidence double")
+    assert [(r.field, r.value, r.conf) for r in en.report_rows(odd, label_table(spark)).orderBy("row").collect()] == [("Store information", "", ""), ("ADDR", "x", "0.90"), ("Other fields", "", ""), ("NEW", "w", "-"), ("ZZZ", "v", "0.50")]
     maps = en.entity_maps(kept).first()
     assert maps.entities == [{"ADDR": " 1 Main "}, {"SHOP_NAME": "Shop"}, {"ADDR": "Street"}]
     assert maps.joined == {"ADDR": "1 Main Street", "SHOP_NAME": "Shop"}

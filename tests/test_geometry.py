@@ -31,6 +31,13 @@ def test_yolo_line(spark):
     assert line == "0 0.200000 0.200000 0.200000 0.200000"
 
 
+def test_six_decimals_are_those_of_the_binary_value(spark):
+    rng = random.Random(1)
+    values = [0.0, 1.0, 0.5, 0.0000005, 0.0000015, 0.9999995, 0.99999949999] + [k / 10**7 for k in rng.sample(range(5, 10**7, 10), 4000)] + [rng.random() for _ in range(2000)] + [k / 2**21 for k in rng.sample(range(2**21), 2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.s for r in df.select(g.six_decimals(F.col("v")).alias("s")).collect()] == [f"{v:.6f}" for v in values]
+
+
 def settle(line, others):
     """Fold the others into a line, in their order, until a fold leaves all of them."""
 
