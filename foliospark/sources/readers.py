@@ -68,6 +68,13 @@ def class_index(files: DataFrame) -> DataFrame:
     return files.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "class_name string, class_idx int")
 
 
+def require_equal_classes(files: DataFrame, a: str = "train", b: str = "valid") -> None:
+    """Raises where one split has a class that the other has not: their class numbers would not mean the same."""
+    seen = files.where(F.col("split").isin(a, b)).groupBy("class_name").agg(F.count_distinct("split").alias("n")).where("n < 2").orderBy("class_name")
+    if odd := [r["class_name"] for r in seen.limit(5).collect()]:
+        raise ValueError(f"classes in only one of {a} and {b}: {odd}")
+
+
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:
     """OCR documents, one JSON object per file, with path, stem and whether they are valid."""
     rows = spark.read.schema(OCR_SCHEMA).option("multiLine", "true").json(path).withColumn("path", F.input_file_name())

@@ -3,9 +3,14 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators.scoring import StandIn, suppress
+from foliospark.functions import imaging as im
+from foliospark.operators import curation as cu
+from foliospark.operators import evaluation as ev
+from foliospark.operators import routing as ro
+from foliospark.operators.scoring import StandIn, cropped, image_records, loaded, normalize_images, suppress
 from foliospark.plans.extraction import extract
 from foliospark.sources import readers, writers
 from foliospark.streaming import ingest
@@ -45,6 +50,84 @@ def test_images_end_to_end(spark, tmp_path):
     assert out["extracted"].columns == ["image_id", "entities", "texts", "joined"]
 
 
+def moody(masks):
+    """A scorer with settings of its own that fails on dark images. Made here, so that workers need not import this module."""
+
+    class Moody(StandIn):
+        def segment(self, images):
+            if any(x.max() < 50 for x in images):
+                raise RuntimeError("too dark")
+            return [self.masks for _ in images]
+
+    out = Moody()
+    out.masks = masks
+    return out
+
+
+def test_causes_and_batches(spark):
+    full, empty = np.ones((90, 70), bool), np.zeros((90, 70), bool)
+    page, dark = receipt(), np.full((90, 70, 3), 9, np.uint8)
+    rows = [(name, ok, 90, 70, 3, bytes(x.tobytes())) for name, ok, x in (("a", True, page), ("b", False, page), ("c", True, dark), ("d", True, page))]
+    df = spark.createDataFrame(rows, "image_id string, ok boolean, height int, width int, channels int, data binary").coalesce(1)
+    for masks, want in (([(0.9, full)], ("ok", None)), ([(0.9, empty)], ("error", "empty mask")), ([(0.1, full)], ("error", "no mask"))):
+        got = {r.image_id: (r.status, r.error) for r in normalize_images(df, moody(masks), "error").collect()}
+        assert got == {"a": want, "b": ("error", "unreadable"), "c": ("error", "too dark"), "d": want}
+    with pytest.raises(ValueError, match="empty mask"):
+        cropped(page, [(0.9, np.zeros((0, 0), bool))], 0.5, "error")
+
+
+def test_scorers_of_one_class_are_told_apart():
+    a, b, c = StandIn(), StandIn(), StandIn()
+    a.weights, b.weights, c.weights = 1, 2, 1
+    assert loaded(a).weights == 1 and loaded(b).weights == 2 and loaded(c) is loaded(a)
+
+
+def test_records_of_images(spark, tmp_path):
+    for split, angle, turn in (("train", "0", 0), ("train", "90", 90), ("valid", "0", 0), ("test", "0", 0)):
+        (tmp_path / split / angle).mkdir(parents=True)
+        png(tmp_path / split / angle / "x.png", im.rotate_label(receipt(), turn))
+    png(tmp_path / "test" / "0" / "y.png", im.enhance(receipt())[..., None].repeat(3, axis=2)[:, ::-1])
+    images = readers.read_images(spark, str(tmp_path))
+    records = {(r.split_name, r.class_name, r.record_id): r for r in image_records(images, fail_on_error=True).collect()}
+    first = records["train", "0", "train_0_000000"]
+    assert len(records) == 5 and first.ok and first.angle == 0 and first.canonical_hash_hex == f"{first.canonical_hash_int:016x}"
+    assert records["train", "90", "train_90_000000"].canonical_hash_int == first.canonical_hash_int
+    groups = {r.path.rsplit("/", 3)[-3]: r.document_group_id for r in cu.document_groups(image_records(images)).where("record_id LIKE '%000000'").collect()}
+    assert len(set(groups.values())) == 1
+    (tmp_path / "test" / "0" / "bad.png").write_bytes(b"no image")
+    with pytest.raises(ValueError, match="bad.png"):
+        image_records(readers.read_images(spark, str(tmp_path)), fail_on_error=True)
+
+
+def test_listings_and_dimensions(spark, tmp_path):
+    for split, angle in (("train", "0"), ("train", "90"), ("val", "0"), ("val", "90")):
+        (tmp_path / split / angle).mkdir(parents=True)
+        png(tmp_path / split / angle / "x.png", receipt())
+    files = readers.list_images(spark, str(tmp_path))
+    wanted, missing = readers.in_splits(files, ("train", "val", "test"))
+    assert wanted.count() == 4 and missing == ["test"]
+    assert {r.angle for r in readers.checked_classes(files).collect()} == {0, 90}
+    with pytest.raises(ValueError, match="90"):
+        readers.checked_classes(files, ("0",))
+    index = {s: readers.class_index(files.where(F.col("split") == s)).collect() for s in ("train", "valid")}
+    assert index["train"] == index["valid"] == [("0", 0), ("90", 1)]
+    readers.require_equal_classes(files, "train", "valid")
+    with pytest.raises(ValueError, match="90"):
+        readers.require_equal_classes(files.where("NOT (split = 'valid' AND class_name = '90')"), "train", "valid")
+    assert readers.pick_target(files, seed=3).first() == readers.pick_target(files.repartition(3), seed=3).first()
+    assert readers.pick_target(files, files.first().path).count() == 1
+    assert readers.pair_by_stem(files, spark.createDataFrame([("x", 1)], "stem string, n int")).where("n = 1").count() == 4
+    assert [r.label for r in readers.label_dimension(spark, {0: "A", 1: "B_PREFIX"}).collect()] == ["A", "B_PREFIX"]
+    assert readers.label_dimension(spark, {0: "LABEL_0"}).count() == 37 and readers.label_dimension(spark, {0: "7"}, numeric_ok=True).count() == 1
+    assert im.display_size(300, 400, 100) == (75, 100)
+
+
+def test_deskew_log_and_parameters(spark):
+    rows = spark.createDataFrame([("b", "ok", 1.239, -0.501, 2.00004, None), ("a", "error", None, None, None, "no mask")], "image_id string, status string, coarse_angle double, refined_angle double, best_score double, error string")
+    assert [tuple(r) for r in ro.deskew_log(rows).collect()] == [("a", "error", None, None, None, "no mask"), ("b", "ok", 1.24, -0.5, 2.0, None)]
+    assert tuple(ev.parameter_totals(spark.createDataFrame([(3, True), (4, False)], "numel long, trainable boolean")).first()) == (7, 3)
+
+
 def test_ocr_documents(spark, tmp_path):
     doc = {"image": "a.jpg", "size": {"width": 473, "height": 602}, "bboxes": [[125, 102, 336, 122], [75, 125, 374, 141]], "bboxes_norm": [[264, 169, 710, 202], [158, 207, 790, 1234]], "class_ids": [0, 0], "tokens": [" x ", "y"]}
     (tmp_path / "a.json").write_text(json.dumps(doc))
