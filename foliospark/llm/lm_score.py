@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ SIDE, TYPES = 48, 1 << 22
 #: The most frequent words, which every worker knows; the counts of all others are joined. Scores do not depend on it.
 FREQUENT = 100_000
 OFFSETS = (-2, -1, 1, 2)
-HIDDEN = 24
+HIDDEN = 16
 ROUNDS = 2
 #: Share of a document's positions that a round masks at least; more, where the rounds would not else mask each once.
 MASKED = 0.5
@@ -255,11 +256,18 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held[edges].astype(np.int64), order, edges
 
 
-def _contexts(cells: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
-    """Cells around positions; edge stands for what lies beyond a document's ends."""
-    reach = max(OFFSETS)
-    padded = np.concatenate([np.full(reach, edge), cells, np.full(reach, edge)])
-    return np.stack([padded[at + reach + o] for o in OFFSETS], axis=1)
+def _padded(cells: list[bytes], kind: type, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' cells in one array, with the edge cell around each; where the words are in it; the documents' lengths."""
+    reach, width = max(OFFSETS), np.dtype(kind).itemsize
+    counts = np.array([len(x) // width for x in cells], dtype=np.int64)
+    place = np.arange(int(counts.sum())) + reach + 2 * reach * np.repeat(np.arange(len(counts)), counts)
+    padded = np.full(len(place) + 2 * reach * len(counts), edge, np.int64)
+    padded[place] = np.frombuffer(b"".join(cells), kind)
+    return padded, place, counts
+
+
+def _contexts(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([padded[at + o] for o in OFFSETS], axis=1)
 
 
 def classify(texts: DataFrame, vocabulary) -> DataFrame:
@@ -275,7 +283,7 @@ def classify(texts: DataFrame, vocabulary) -> DataFrame:
         for batch in batches:
             found = [_words(text) for text in batch.column("text").to_pylist()]
             counts = np.array([len(x) for x in found], dtype=np.int64)
-            words = np.fromiter((i for x in found for i in map(_ids.__getitem__, x)), dtype=np.int64, count=int(counts.sum()))
+            words = np.fromiter(map(_ids.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(counts.sum()))
             of = np.repeat(np.arange(len(found)), counts)
             cells, logs, held = known.look_up(words)
             sums = np.bincount(of, weights=logs, minlength=len(found)) if len(words) else np.zeros(len(found))
@@ -302,33 +310,40 @@ def with_rare_words(classified: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", "cells", (F.col("word_log") + F.coalesce("rare_log", F.lit(0.0))).alias("word_log"))
 
 
-def masked_positions(key: int | None, n: int, number: int, masks: int) -> np.ndarray:
-    """Positions of a document that round number masks: any `masks` rounds in a row mask each once."""
-    if masks == 1:
-        return np.arange(n)
-    dealt = np.random.default_rng([(key or 0) & 0xFFFFFFFF, n]).integers(0, masks, n, dtype=np.uint16)
-    return np.flatnonzero(dealt == number % masks)
-
-
-def _train_shard(documents: Iterator[tuple[int | None, np.ndarray]], net: Network, number: int, masks: int) -> int:
-    """Train on a shard's documents (doc_id, cells) in their order; the number of words that were masked."""
-    held, wanted, waiting, trained = [], [], 0, 0
-    edge = net.side**2
-    for key, cells in documents:
-        at = masked_positions(key, len(cells), number, masks)
-        held.append(_contexts(cells, at, edge))
-        wanted.append(cells[at])
-        waiting += len(at)
-        if waiting >= BATCH:
-            context, target = np.concatenate(held), np.concatenate(wanted)
-            whole = waiting - waiting % BATCH
-            for i in range(0, whole, BATCH):
-                net.step(context[i : i + BATCH], target[i : i + BATCH])
-            trained += whole
-            held, wanted, waiting = [context[whole:]], [target[whole:]], waiting - whole
-    if waiting:
-        net.step(np.concatenate(held), np.concatenate(wanted))
-    return trained + waiting
+def masked(keys: np.ndarray, positions: np.ndarray, number: int, masks: int) -> np.ndarray:
+    """Whether round number masks positions of documents, by hashes: any `masks` rounds in a row mask each once."""
+    x = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (positions.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(33)) % np.uint64(masks) == number % masks
+
+
+class _Trainer:
+    """A shard's network, which takes steps on batches of a fixed size, however its documents come."""
+
+    def __init__(self, net: Network, number: int, masks: int):
+        self.net, self.number, self.masks = net, number, masks
+        self.contexts, self.targets, self.waiting, self.trained = [], [], 0, 0
+
+    def add(self, keys: np.ndarray, cells: list[bytes], kind: type) -> None:
+        padded, place, counts = _padded(cells, kind, self.net.side**2)
+        starts = np.cumsum(counts) - counts
+        at = place[masked(np.repeat(keys, counts), np.arange(len(place)) - np.repeat(starts, counts), self.number, self.masks)]
+        self.contexts.append(_contexts(padded, at))
+        self.targets.append(padded[at])
+        self.waiting += len(at)
+        if self.waiting >= BATCH:
+            self._steps(self.waiting - self.waiting % BATCH)
+
+    def _steps(self, n: int) -> None:
+        context, target = np.concatenate(self.contexts), np.concatenate(self.targets)
+        for i in range(0, n, BATCH):
+            self.net.step(context[i : min(i + BATCH, n)], target[i : min(i + BATCH, n)])
+        self.contexts, self.targets, self.waiting, self.trained = [context[n:]], [target[n:]], self.waiting - n, self.trained + n
+
+    def finish(self) -> int:
+        if self.waiting:
+            self._steps(self.waiting)
+        return self.trained
 
 
 def _train_round(classified: DataFrame, weights: np.ndarray, vocabulary: Vocabulary, number: int, masks: int) -> np.ndarray:
@@ -339,44 +354,62 @@ def _train_round(classified: DataFrame, weights: np.ndarray, vocabulary: Vocabul
     start = classified.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "cells"))))
-        row = next(rows, None)
-        while row is not None:
-            shard, net = row[0], Network(start.value, side)
-
-            def documents() -> Iterator[tuple[int | None, np.ndarray]]:
-                nonlocal row
-                while row is not None and row[0] == shard:
-                    yield row[1], np.frombuffer(row[2], kind).astype(np.int64)
-                    row = next(rows, None)
-
-            n = _train_shard(documents(), net, number, masks)
-            cuts = range(0, len(net.flat), _CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()), pa.array([net.flat[i : i + _CHUNK].tobytes() for i in cuts], pa.binary()), pa.array([n] * len(cuts), pa.int64())], ["shard", "chunk", "values", "n"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total, n = None, None, 0
+        at, trainer = None, None
+
+        def done() -> pa.RecordBatch:
+            n, flat = trainer.finish(), trainer.net.flat
+            cuts = range(0, len(flat), _CHUNK)
+            return _chunk_rows([at] * len(cuts), list(range(len(cuts))), [flat[i : i + _CHUNK].tobytes() for i in cuts], [n] * len(cuts))
+
         for batch in batches:
-            for _, chunk, values, times in zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "values", "n"))):
-                given = np.frombuffer(values, np.float32).astype(np.float64) * times
-                if chunk != at:
+            of, keys, cells = batch.column("shard").to_numpy(), batch.column("doc_id").fill_null(0).to_numpy(), batch.column("cells").to_pylist()
+            edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
+            for a, b in zip(edges.tolist(), edges[1:].tolist()):
+                if of[a] != at:
                     if at is not None:
-                        yield done(at, total / n)
-                    at, total, n = chunk, np.zeros_like(given), 0
-                total, n = total + given, n + times
+                        yield done()
+                    at, trainer = int(of[a]), _Trainer(Network(start.value, side), number, masks)
+                trainer.add(keys[a:b], cells[a:b], kind)
         if at is not None:
-            yield done(at, total / n)
-
-    def done(chunk: int, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["chunk", "values"])
-
-    dealt = classified.where("n_words > 0").select(F.pmod(F.xxhash64("doc_id", "cells"), F.lit(shards)).alias("shard"), "doc_id", "cells")
-    moved = dealt.repartition(int(shards), "shard").sortWithinPartitions("shard", "doc_id", "cells").mapInArrow(run, "shard long, chunk int, values binary, n long")
-    sums = moved.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(average, "chunk int, values binary").collect()
+            yield done()
+
+    dealt = classified.where("n_words > 0").select(F.pmod(F.xxhash64("doc_id", "cells"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "cells")
+    moved = dealt.repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "doc_id", "cells").mapInArrow(run, _CHUNK_DDL)
+    left = int(shards)
+    while left > 1:  # 64 shards at a time, so that no task reads all of a chunk
+        grouped = moved.withColumn("into", F.floor(F.col("shard") / 64).cast("int"))
+        moved = grouped.repartition("chunk", "into").sortWithinPartitions("chunk", "into", "shard").mapInArrow(_average, _CHUNK_DDL)
+        left = -(-left // 64)
+    sums = moved.collect()
     start.destroy()
     return np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(sums, key=lambda r: r["chunk"])])
 
 
+_CHUNK_DDL = "shard int, chunk int, values binary, n long"
+
+
+def _chunk_rows(shard: list, chunk: list, values: list, n: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(chunk, pa.int32()), pa.array(values, pa.binary()), pa.array(n, pa.int64())], ["shard", "chunk", "values", "n"])
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the rows of each (chunk, into), weighted by n, in their order."""
+    at, total, n = None, None, 0
+
+    def done() -> pa.RecordBatch:
+        return _chunk_rows([at[1]], [at[0]], [(total / max(n, 1)).astype(np.float32).tobytes()], [n])
+
+    for batch in batches:
+        for chunk, into, values, times in zip(*(batch.column(c).to_pylist() for c in ("chunk", "into", "values", "n"))):
+            if (chunk, into) != at:
+                if at is not None:
+                    yield done()
+                at, total, n = (chunk, into), 0.0, 0
+            total, n = total + np.frombuffer(values, np.float32).astype(np.float64) * times, n + times
+    if at is not None:
+        yield done()
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -416,17 +449,12 @@ def score_texts(docs: DataFrame, size: int = FREQUENT, rounds: int = ROUNDS, mas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(shared.value, side)
-        reach = max(OFFSETS)
-        edge = np.full(reach, side**2, np.int64)
         for batch in batches:
-            counts = np.array(batch.column("n_words").to_pylist(), dtype=np.int64)
-            parts = [x for given in batch.column("cells").to_pylist() for x in (edge, np.frombuffer(given, kind).astype(np.int64), edge)]
-            padded = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            place = np.arange(int(counts.sum())) + reach + 2 * reach * np.repeat(np.arange(len(counts)), counts)
+            padded, place, counts = _padded(batch.column("cells").to_pylist(), kind, side**2)
             logs = np.zeros(len(place))
             for i in range(0, len(place), BATCH):
                 at = place[i : i + BATCH]
-                logs[i : i + BATCH] = net.log_probabilities(np.stack([padded[at + o] for o in OFFSETS], axis=1), padded[at])
+                logs[i : i + BATCH] = net.log_probabilities(_contexts(padded, at), padded[at])
             of = np.repeat(np.arange(len(counts)), counts)
             sums = (np.bincount(of, weights=logs, minlength=len(counts)) if len(logs) else np.zeros(len(counts))) + np.array(batch.column("word_log").to_pylist(), dtype=float)
             sums = np.round(sums, 2)
