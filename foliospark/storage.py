@@ -48,7 +48,16 @@ def store(df: DataFrame, name: str, scoped: bool = True, by: tuple[str, ...] = (
     files.deleteOnExit(at)
     if scoped and _scopes:
         _scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a stored table, once nothing that is read later depends on it; any other is left alone."""
+    if path := getattr(table, "stored_at", None):
+        files, at = _located(table.sparkSession, path)
+        files.delete(at, True)
 
 
 @contextmanager
