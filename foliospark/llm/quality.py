@@ -180,7 +180,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
 
     kept is false where the base test fails or a learned rule holds. Null texts
     have no words and fail the base test; null ids, repeated rows and further
-    columns pass through. No shuffle of the documents; the labelled sample is
+    columns pass through. An empty documents table gives an empty one; without
+    labels, or with labels of one kind, there are no rules. No shuffle of the documents; the labelled sample is
     bounded by max_labelled, collected as numbers.
     """
     rules = learn_list(labelled_statistics(docs, labels, max_labelled))

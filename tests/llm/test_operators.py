@@ -515,6 +515,22 @@ def test_secret_rules_against_plain_regular_expressions():
         assert got["hex"] == [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
 
 
+def test_recall_of_planted_random_strings():
+    rng, enc = random.Random(4), secrets._encoding(RANKS, public_tokenizers.PATTERN)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    words = ["the", "configuration", "of", "some_value", "getElement", "https://example.org/path/to/page", "2024-01-01", "internationalization"]
+    for letters in (lower + upper + digits, lower + upper + digits + "+/", upper + digits, lower + digits):
+        keys = ["".join(rng.choice(letters) for _ in range(rng.choice((20, 24, 32, 40, 64)))) for _ in range(300)]
+        found = 0
+        for key in keys:
+            text = " ".join(rng.choices(words, k=6)) + f" ({key}) " + " ".join(rng.choices(words, k=6))
+            got = secrets.scan(text, enc)
+            spans = [s for kind in secrets.KINDS for s in got[kind]]
+            found += any(a <= text.index(key) and text.index(key) + len(key) <= b for a, b in spans)
+            assert len(spans) <= 1
+        assert found >= 0.9 * len(keys), letters
+
+
 def test_secrets_of_letters_only():
     rng, enc = random.Random(5), secrets._encoding(RANKS, public_tokenizers.PATTERN)
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -50,6 +50,49 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans int"
+
+
+def awkward(spark):
+    rng = random.Random(9)
+    good = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(90)) for _ in range(3)]
+    rows = [(1, good[0]), (1, good[0]), (2, good[1]), (2, good[2]), (None, good[0]), (None, good[0] + " a@b.org"), (4, None), (5, ""), (6, "one"), (7, good[1] + " " + good[2]), (8, "same words here " * 70), (9, "x" * 60_000), (10, "long " * 20_000)]
+    return rows, spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine", 7) for i, t in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_empty_and_awkward_tables(spark, tmp_path, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows, docs = awkward(spark)
+    assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    out = stage(spark, docs, str(tmp_path))
+    found = [(r.doc_id, getattr(r, "text", None)) for r in out.collect()]
+    if name == "packing":
+        assert sum(r.start == 0 for r in out.collect()) == len(rows)
+        return
+    assert out.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    if name == "quality rules":
+        assert sorted(found, key=key) == sorted([r for r in rows if len((r[1] or "").split()) >= 50 and not (r[1] or "").startswith(("same", "long"))], key=key)
+    elif name == "near dedup":  # a row of doc 2 equals no other; those without id stay
+        assert sorted(found, key=key) == sorted(rows, key=key)
+    elif name == "substring dedup":
+        want = [(i, "" if i == 7 else t or "") for i, t in rows]
+        assert sorted(found, key=key) == sorted(want, key=key)
+    else:
+        assert sorted(found, key=key) == sorted([(i, t.replace("a@b.org", "<EMAIL>") if t else t) for i, t in rows], key=key)
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    write(spark, tmp_path)
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(at))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).count()
+    left = set(os.listdir(at)) - before
+    assert rows and [x.rsplit("-", 1)[0] for x in left] == ["packing"]
+
+
 def test_near_dedup_is_on_five_words(spark):
     rng = random.Random(3)
     rows = []
