@@ -6,11 +6,12 @@ only, and pairs whose similarity, estimated jointly by likelihood, is far too
 low are dropped. What hangs together so is a candidate group. Inside a group,
 all links are confirmed on the full shingle sets. A group of more than two
 blocks is dealt out: each block by itself, then each block with the group's
-most linked nodes. What that leaves in several classes (pages of one template,
-say) is grouped anew, by the rarest fifth of each set: two linked sets share a
-shingle there, whatever order of rarity is used, so no link is lost, and pages
-that have only their template in common fall apart. A block's links leave it
-as a spanning forest.
+most linked nodes; what a few blocks hold of loose nodes then meets every
+block. A group with more of them (pages of one template, say) is grouped anew,
+by the rarest fifth of each set: two linked sets share a shingle there,
+whatever order of rarity is used, so no link is lost, and pages that have only
+their template in common fall apart. A block's links leave it as a spanning
+forest.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ FLOOR = 0.45
 BLOCK = 256
 #: Texts of a large group from which the order of its shingles' rarity is taken. Links do not depend on it.
 SAMPLE = 64
+#: Blocks of loose nodes up to which they meet every block of their group, which is linear in the group's size.
+FEW = 4
 
 
 def _sketches(texts: DataFrame, size: int) -> DataFrame:
@@ -247,11 +250,14 @@ def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block:
     loose = materialize(known.join(materialize(sizes, "largest"), "group").where("class <> largest").select("group", "node"), "loose")
     if loose.isEmpty():
         return edges
-    if anew:
-        again = _by_rarest(wide.join(loose.select("group").distinct(), "group", "left_semi"), size, percent)
-        return edges.unionByName(_links(again, texts, size, percent, block, hubs, anew=False))
-    # Sets that share their rarest shingles too, and are still not linked: every loose one meets every block.
     loose_blocks = materialize(loose.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("loose_blocks")), "loose")
+    if anew:
+        many = loose_blocks.where(F.col("loose_blocks") > FEW)
+        if not many.isEmpty():
+            again = _by_rarest(wide.join(many.select("group"), "group", "left_semi"), size, percent)
+            edges = edges.unionByName(_links(again, texts, size, percent, block, hubs, anew=False))
+            loose_blocks = loose_blocks.where(F.col("loose_blocks") <= FEW)
+    # Few loose ones, or sets that share their rarest shingles too and are still not linked: every loose one meets every block.
     wide = wide.join(loose_blocks, "group")
     every = wide.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1))})
     alone = wide.join(loose, ["group", "node"]).withColumns({"i": F.pmod(F.xxhash64("node", F.lit(1)), F.col("loose_blocks")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
