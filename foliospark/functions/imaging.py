@@ -6,6 +6,9 @@ library is not claimed.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
 # Channel statistics that classifiers expect, in RGB order.
@@ -249,3 +252,28 @@ def model_input(image: np.ndarray, size: int = 224) -> np.ndarray:
 def display_size(width: int, height: int, target_height: int) -> tuple[int, int]:
     """Width and height scaled to a target height, the width truncated."""
     return int(width * (target_height / height)), target_height
+
+
+def encode_png(image: np.ndarray) -> bytes:
+    """A gray or BGR 8-bit image as a PNG file, without loss."""
+    h, w = image.shape[:2]
+    plain = image.ndim == 2 or image.shape[2] == 1
+    rows = np.zeros((h, 1 + w * (1 if plain else 3)), np.uint8)  # each row begins with filter 0
+    rows[:, 1:] = (image if plain else image[..., 2::-1]).reshape(h, -1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if plain else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def mask_visual(image: np.ndarray, mask: np.ndarray, colour: tuple[int, int, int] = (0, 255, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """The mask at the image's size as black and white, and the image with the border of the mask's largest region drawn on it."""
+    h, w = image.shape[:2]
+    rows, cols = np.arange(h) * mask.shape[0] // h, np.arange(w) * mask.shape[1] // w
+    full = mask[rows][:, cols].astype(bool)
+    out = to_bgr8(image).copy()
+    region = largest_region(full)
+    if region is not None:
+        held = np.pad(region, 1)
+        inner = held[:-2, 1:-1] & held[2:, 1:-1] & held[1:-1, :-2] & held[1:-1, 2:]
+        out[region & ~inner] = colour
+    return full.astype(np.uint8) * 255, out

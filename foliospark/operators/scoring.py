@@ -228,6 +228,38 @@ def image_records(images: DataFrame, fail_on_error: bool = False) -> DataFrame:
     return numbered.select(name.alias("record_id"), F.col("split").alias("split_name"), "class_name", F.expr("try_cast(class_name AS int)").alias("angle"), "path", "canonical_hash_int", hash_hex(F.col("canonical_hash_int")).alias("canonical_hash_hex"), F.col("canonical_hash_int").isNotNull().alias("ok"))
 
 
+def mask_visuals(images: DataFrame, scorer: Scorer, min_conf: float = SEGMENT_CONF) -> DataFrame:
+    """PNG files of each image's surest mask and of its outline on the image: image_id, status, mask, visual (null without a mask)."""
+
+    def one(x: tuple) -> tuple[bytes, bytes]:
+        image, masks = x
+        sure = [m for m in masks if m[0] >= min_conf]
+        if not sure:
+            raise ValueError("no mask")
+        return tuple(map(im.encode_png, im.mask_visual(image, max(sure, key=lambda m: m[0])[1])))
+
+    def rows(net: Scorer, given: list) -> list[tuple]:
+        whole = _each(given, lambda r: im.to_bgr8(im.decode(r.data, r.height, r.width, r.channels)))
+        masks = _batched(whole, net.segment)
+        done = _each([m if isinstance(m, Exception) else (x, m) for x, m in zip(whole, masks)], one)
+        return [(r.image_id, str(x)[:200], None, None) if isinstance(x, Exception) else (r.image_id, "ok", *x) for r, x in zip(given, done)]
+
+    return _map_batches(images.where("ok"), _IMAGE, "image_id string, status string, mask binary, visual binary", scorer, rows)
+
+
+def augmented_images(picks: DataFrame, images: DataFrame) -> DataFrame:
+    """The picked images turned to their target class, as PNG files: target_class, source_class, record_id, rotation_applied, png."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            turned = [im.encode_png(im.rotate_label(im.to_bgr8(im.decode(r.data, r.height, r.width, r.channels)), int(r.rotation_applied))) for r in batch.itertuples(index=False)]
+            yield batch[["target_class", "source_class", "record_id", "rotation_applied"]].assign(png=turned)
+
+    bound_batches(images.sparkSession, IMAGE_BATCH)
+    given = picks.join(images.where("ok").select("path", "height", "width", "channels", "data"), "path")
+    return given.select("target_class", "source_class", "record_id", "rotation_applied", "height", "width", "channels", "data").mapInPandas(run, "target_class string, source_class string, record_id string, rotation_applied long, png binary")
+
+
 def detect_boxes(normalized: DataFrame, scorer: Scorer, min_conf: float = DETECTOR_CONF) -> DataFrame:
     """Boxes of normalized images; the threshold goes into the scorer, as no filter is pushed through Python."""
 

@@ -172,6 +172,21 @@ def box_norm1000(spark, d):
     return i.boxes(spark, d).select("image_id", "box_idx", *(v.alias(k) for k, v in g.normalize_box(bx.CORNERS, *_size()).items()))
 
 
+_CLAMP = "CAST(least(1000, greatest(0, trunc({v}))) AS INT)"
+_STORED = ("x1 - 100", "y1", "x2 + 300.75e0", "-y2")
+
+
+@query(
+    f"WITH {i.BOXES} SELECT image_id, box_idx, CASE WHEN box_idx % 2 = 0 THEN [{', '.join(_CLAMP.format(v=v) for v in _STORED)}] "
+    f"ELSE [{', '.join(_CLAMP.format(v=f'1000 * {c} / {m}') for c, m in zip(bx.CORNERS, (i.WIDTH, i.HEIGHT, i.WIDTH, i.HEIGHT)))}] END AS box FROM boxes"
+)
+def box_stored_or_computed(spark, d):
+    """Normalized boxes as an OCR document stores them, clamped; computed ones where it stores none."""
+    stored = F.when(F.col("box_idx") % 2 == 0, F.array(F.array(*(F.expr(v.replace("e0", "D")) for v in _STORED))))
+    computed = F.array(F.array(*g.normalize_box(bx.CORNERS, *_size()).values()))
+    return i.boxes(spark, d).select("image_id", "box_idx", F.element_at(g.stored_or_computed(stored, computed), 1).alias("box"))
+
+
 _YOLO = ", ".join(f"least(1e0, greatest(0e0, {e})) AS {n}" for n, e in (("xc", f"(x1 + x2) / 2e0 / {i.WIDTH}"), ("yc", f"(y1 + y2) / 2e0 / {i.HEIGHT}"), ("w", f"(x2 - x1) / {i.WIDTH}"), ("h", f"(y2 - y1) / {i.HEIGHT}")))
 _BACK = ", ".join(f"greatest(0, least({m}, CAST(trunc(({a} {o} {b} / 2) * {m}) AS INT))) AS {n}" for n, a, o, b, m in (("x1", "xc", "-", "w", i.WIDTH), ("y1", "yc", "-", "h", i.HEIGHT), ("x2", "xc", "+", "w", i.WIDTH), ("y2", "yc", "+", "h", i.HEIGHT)))
 
@@ -296,14 +311,26 @@ def class_counts_pct(spark, d):
     return cu.class_counts(i.records(spark, d), dim).select("class_name", "n", F.round("percentage", 6).alias("percentage"))
 
 
-@query("WITH c AS (SELECT lang AS class_name, count(*) AS n FROM documents GROUP BY ALL) SELECT class_name, n, max(n) OVER () - n AS need, round(max(n) OVER () / min(n) OVER (), 6) AS ratio FROM c")
+@query(
+    "WITH c AS (SELECT lang AS class_name, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, max(n) OVER () - n AS need, max(n) OVER () / min(n) OVER () AS ratio FROM c) "
+    "SELECT class_name, n, need, round(ratio, 6) AS ratio, CASE WHEN ratio <= 1.5e0 THEN 'balanced' WHEN ratio <= 3 THEN 'moderate' ELSE 'severe' END AS advice FROM r"
+)
 def class_balance_need(spark, d):
     rows = i.records(spark, d)
     dim = rows.select("class_name").distinct()
-    ratio = cu.class_counts(rows, dim).select("class_name", F.round("ratio", 6).alias("ratio"))
+    ratio = cu.class_counts(rows, dim).select("class_name", F.round("ratio", 6).alias("ratio"), "advice")
     return cu.class_needs(rows, dim).join(ratio, "class_name")
 
 
+_ADVICE = ", ".join(f"({a}, {b})" for a, b in ((0, 5), (0, 0), (3, 3), (3, 2), (7, 2), (9, 1)))
+
+
+@query(f"WITH p(largest, least) AS (VALUES {_ADVICE}) SELECT CAST(largest AS INT) AS largest, CAST(least AS INT) AS least, CASE WHEN least = 0 THEN 'missing' WHEN largest / least <= 1.5e0 THEN 'balanced' WHEN largest / least <= 3 THEN 'moderate' ELSE 'severe' END AS advice FROM p")
+def imbalance_advice(spark, d):
+    rows = spark.createDataFrame([(0, 5), (0, 0), (3, 3), (3, 2), (7, 2), (9, 1)], "largest int, least int")
+    return rows.withColumn("advice", s.imbalance_advice(s.imbalance(F.col("largest"), F.col("least"))))
+
+
 _TARGETS = ["0", "90", "180", "270"]
 
 
@@ -409,6 +436,17 @@ def eval_best_epoch(spark, d):
     return ev.best_epoch(history, "metric")
 
 
+@query("SELECT CAST(sum(l_quantity) AS DOUBLE) AS total, CAST(sum(l_quantity) FILTER (l_returnflag = 'N') AS DOUBLE) AS trainable FROM lineitem")
+def parameter_totals(spark, d):
+    return ev.parameter_totals(i.table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("numel"), (F.col("l_returnflag") == "N").alias("trainable")))
+
+
+@query("SELECT event_id, CASE WHEN value >= 80 THEN 'evaluation' WHEN value < 10 THEN 'summary' ELSE 'step' END AS kind FROM events")
+def log_kinds(spark, d):
+    sparse = i.table(spark, d, "events").select("event_id", F.when(F.col("value") >= 80, F.col("value")).alias("eval_loss"), F.when(F.col("value") < 10, F.col("value")).alias("train_runtime"))
+    return ev.log_kinds(sparse).select("event_id", "kind")
+
+
 @query("SELECT CAST(range + 1 AS INT) AS epoch, round(0.5e0 * 0.001e0 * (1 + cos(3.141592653589793e0 * range / 30)), 10) AS lr FROM range(30)")
 def lr_cosine(spark, d):
     return spark.range(1, 31).select(F.col("id").cast("int").alias("epoch"), F.round(s.cosine_rate(0.001, F.col("id"), 30), 10).alias("lr"))

@@ -77,7 +77,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def bound_batches(spark: SparkSession, rows: int) -> None:
     """At most so many rows in an Arrow batch, as rows are whole documents or images.
 
-    Plans run later than they are made, so the session keeps the least number
+    Very long ones are bounded by Spark itself, which ends a batch at
+    spark.sql.execution.arrow.maxBytesPerBatch (64 MB). Plans run later than they are made, so the session keeps the least number
     that any operator asked for: it is never raised again.
     """
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -55,3 +55,12 @@ def test_enhance_and_otsu():
     out = im.enhance(picture(64, 64))
     assert out.shape == (64, 64) and out.dtype == np.uint8
     assert im.model_input(picture(), 16).shape == (3, 16, 16)
+
+
+def test_mask_visual_draws_the_border():
+    mask = np.zeros((10, 10), bool)
+    mask[2:8, 3:9] = True
+    plain, drawn = im.mask_visual(np.zeros((20, 20, 3), np.uint8), mask)
+    assert plain.shape == (20, 20) and set(np.unique(plain)) == {0, 255} and (plain > 0).sum() == 144
+    assert (drawn[..., 1] == 255).sum() == 44 and drawn[4, 6].tolist() == [0, 255, 0] and not drawn[8, 10].any()
+    assert not im.mask_visual(np.zeros((4, 4), np.uint8), np.zeros((2, 2), bool))[1].any()

@@ -10,7 +10,7 @@ from foliospark.functions import imaging as im
 from foliospark.operators import curation as cu
 from foliospark.operators import evaluation as ev
 from foliospark.operators import routing as ro
-from foliospark.operators.scoring import StandIn, cropped, image_records, loaded, normalize_images, suppress
+from foliospark.operators.scoring import StandIn, augmented_images, cropped, image_records, loaded, mask_visuals, normalize_images, suppress
 from foliospark.plans.extraction import extract
 from foliospark.sources import readers, writers
 from foliospark.streaming import ingest
@@ -99,6 +99,20 @@ def test_records_of_images(spark, tmp_path):
         image_records(readers.read_images(spark, str(tmp_path)), fail_on_error=True)
 
 
+def test_files_of_masks_and_of_turned_images(spark, tmp_path):
+    page = receipt()
+    rows = [(name, f"/p/{name}", ok, 90, 70, 3, page.tobytes()) for name, ok in (("a", True), ("b", False))]
+    df = spark.createDataFrame(rows, "image_id string, path string, ok boolean, height int, width int, channels int, data binary")
+    made = mask_visuals(df, StandIn()).first()
+    picks = spark.createDataFrame([("90", "0", "r", 90, "/p/a")], "target_class string, source_class string, record_id string, rotation_applied long, path string")
+    turned = augmented_images(picks, df).first()
+    for name, data in (("mask", made.mask), ("visual", made.visual), ("turned", turned.png)):
+        (tmp_path / f"{name}.png").write_bytes(data)
+    read = {r.stem: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels) for r in readers.read_images(spark, str(tmp_path)).collect()}
+    assert (read["turned"] == im.rotate_label(page, 90)).all() and set(np.unique(read["mask"])) == {0, 255} and (read["visual"] == (0, 255, 0)).all(axis=2).any()
+    assert mask_visuals(df, moody([])).first().status == "no mask"
+
+
 def test_listings_and_dimensions(spark, tmp_path):
     for split, angle in (("train", "0"), ("train", "90"), ("val", "0"), ("val", "90")):
         (tmp_path / split / angle).mkdir(parents=True)
