@@ -22,6 +22,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or is the smaller neighbour of others, not both."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("x")).select("x.*")
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("above")).where("below > 1 OR (below = 1 AND above = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in the edges (u, v); component is the least node reachable.
 
@@ -29,14 +35,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that only loops is not returned. Each round is written to the shared
     folder, so that the lineage stays short and the least neighbours are joined
     as a table: Spark can then split a node of very many neighbours. It ends
-    when a round changes nothing; ends of edges only ever get smaller.
+    when the edges are stars, which they become, as their smaller ends only
+    ever get smaller.
     """
     flat = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     flat = materialize(flat, "edges")
-    state = now = None
-    while now is None or now != state:
-        state = now
+    while not _are_stars(flat):
         starred = materialize(_large_star(flat).distinct(), "edges")
         flat = materialize(_small_star(starred).distinct(), "edges")
-        now = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return flat.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(flat.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -248,12 +248,13 @@ def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block:
     known = materialize(known, "known")
     sizes = known.groupBy("group", "class").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", (-F.col("class")).alias("c"))).alias("m")).select("group", (-F.col("m.c")).alias("largest"))
     loose = materialize(known.join(materialize(sizes, "largest"), "group").where("class <> largest").select("group", "node"), "loose")
-    if loose.isEmpty():
-        return edges
     loose_blocks = materialize(loose.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("loose_blocks")), "loose")
+    groups_left, most = loose_blocks.agg(F.count("*"), F.max("loose_blocks")).first()
+    if not groups_left:
+        return edges
     if anew:
         many = loose_blocks.where(F.col("loose_blocks") > FEW)
-        if not many.isEmpty():
+        if most > FEW:
             again = _by_rarest(wide.join(many.select("group"), "group", "left_semi"), size, percent)
             edges = edges.unionByName(_links(again, texts, size, percent, block, hubs, anew=False))
             loose_blocks = loose_blocks.where(F.col("loose_blocks") <= FEW)
