@@ -12,8 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from foliospark.llm import bpe, chat, lm_score, neardup, packing, pii, quality, search, secrets, setsketch, substring
-from foliospark.llm.components import connected_components
+from foliospark.llm import bpe, chat, components, lm_score, neardup, packing, pii, quality, search, secrets, setsketch, substring
 from foliospark.llm.cutting_stock import plan
 
 SCHEMA = "doc_id long, text string, spans int, n_words string"
@@ -120,10 +119,26 @@ def test_registers_merge_and_estimate():
         assert abs(np.mean(errors)) < 0.04
 
 
-def test_components_of_a_chain(spark):
+def test_components_of_a_chain(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (501, 500)], "u long, v long")
-    got = {r.node: r.component for r in connected_components(edges).collect()}
-    assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+    for size in (500_000, 20):  # one part, or many that are joined by stars
+        monkeypatch.setattr(components, "PART_EDGES", size)
+        got = {r.node: r.component for r in components.connected_components(edges).collect()}
+        assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+    assert components.connected_components(edges.limit(0)).collect() == []
+
+
+def test_least_reachable_against_search():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        pairs = [(rng.randrange(n) * 7, rng.randrange(n) * 7) for _ in range(rng.randint(0, 60))]
+        u, v = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
+        least = {x: x for p in pairs for x in p}
+        for _ in pairs:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        assert dict(zip(*(x.tolist() for x in components.least_reachable(u, v)))) == least
 
 
 # 2: search
