@@ -102,7 +102,7 @@ def report_rows(fields: DataFrame, labels: DataFrame, prefix_chars: int = 24, va
     body = known.select(
         "image_id", "group_pos", F.lit(1).alias("level"), "field_pos", F.col("base").alias("field"),
         dash(shorten(F.col("prefix"), prefix_chars)).alias("prefix"), dash(shorten(F.col("value"), value_chars)).alias("value"),
-        dash(F.format_string("%.2f", F.col("confidence"))).alias("conf"), "field_group",
+        dash(F.when(F.col("confidence").isNotNull(), F.format_string("%.2f", "confidence"))).alias("conf"), "field_group",
     )
     heads = body.select("image_id", "group_pos", F.lit(0).alias("level"), F.lit(0).alias("field_pos"), F.col("field_group").alias("field"), F.lit("").alias("prefix"), F.lit("").alias("value"), F.lit("").alias("conf")).distinct()
     order = Window.partitionBy("image_id").orderBy("group_pos", "level", "field_pos", "field")
