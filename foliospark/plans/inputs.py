@@ -43,12 +43,12 @@ preds AS (SELECT vec_id, image_id, token_idx, label, CAST(list_position(logits,
 
 
 def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logits of all 37 labels; ten vectors are an image."""
+    """Logits of all 37 labels, so far apart that many are sure; ten vectors are an image."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("token_idx"), F.transform(F.slice("embedding", 1, len(LABELS)), lambda v: v.cast("double") * 10).alias("logits"))
+    return e.select("vec_id", F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("token_idx"), F.transform(F.slice("embedding", 1, len(LABELS)), lambda v: v.cast("double") * 60).alias("logits"))
 
 
-TOKEN_LOGITS = LOGITS.replace("embedding[1:10]", f"embedding[1:{len(LABELS)}]")
+TOKEN_LOGITS = LOGITS.replace("embedding[1:10]", f"embedding[1:{len(LABELS)}]").replace("v::DOUBLE * 10", "v::DOUBLE * 60")
 
 
 def rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
