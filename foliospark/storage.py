@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_scopes: list[list[str]] = []
+#: Paths stored in the innermost scratch() of this thread.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +48,8 @@ def store(df: DataFrame, name: str, scoped: bool = True, by: tuple[str, ...] = (
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     files, at = _located(spark, path)
     files.deleteOnExit(at)
-    if scoped and _scopes:
-        _scopes[-1].append(path)
+    if scoped and (held := _held.get()) is not None:
+        held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -62,13 +64,16 @@ def drop(table: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables that are stored inside, once nothing that is read later depends on them."""
+    """Remove the tables that are stored inside, once nothing that is read later depends on them.
+
+    Scopes may be nested, and each thread has its own.
+    """
     held: list[str] = []
-    _scopes.append(held)
+    outer = _held.set(held)
     try:
         yield
     finally:
-        _scopes.remove(held)
+        _held.reset(outer)
         for path in held:
             files, at = _located(spark, path)
             files.delete(at, True)

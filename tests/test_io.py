@@ -189,3 +189,22 @@ def test_stream_of_documents(spark, tmp_path):
     q = ingest.run_batches(ingest.stream_ocr(spark, str(tmp_path / "in")), lambda df, _: seen.extend(r.stem for r in df.where("valid").collect()), str(tmp_path / "mark"))
     q.awaitTermination(60)
     assert seen == ["a"]
+
+
+def test_scratch_nested_and_threaded(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from foliospark.storage import _located, scratch, store
+
+    there = lambda t: (lambda files, at: files.exists(at))(*_located(spark, t.stored_at))
+    with scratch(spark):
+        with scratch(spark):
+            pass
+        outer = store(spark.range(3), "outer")
+        with scratch(spark):
+            inner = store(spark.range(2), "inner")
+        assert there(outer) and not there(inner)
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(store, spark.range(1), "other").result()
+        assert there(outer)
+    assert not there(outer) and there(other)
