@@ -18,6 +18,7 @@ from .packing import pack
 from .search import bm25_search
 from .secrets import scan_secrets
 from .substring import remove_repeats
+from .vector_codes import compress
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +125,29 @@ FROM given GROUP BY conv_id
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """Each round is a table of codes (a) and one of codebooks (b)."""
+    parts = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 4096) AS BIGINT)) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, w[part * (len(w) // 8) + 1 : (part + 1) * (len(w) // 8)] AS x FROM v CROSS JOIN (SELECT CAST(range AS INT) AS part FROM range(8))),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x AS e FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, part, x, arg_min(k, {{'d': d, 'k': k}}) AS k, min(d) AS d FROM (SELECT p.*, k, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{r} USING (part)) GROUP BY ALL)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT part, k, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS e FROM (SELECT part, k, i, sum(x[i]) AS s, count(*) AS n FROM a{r} CROSS JOIN (SELECT range AS i FROM range(1, 1 + (SELECT max(len(x)) FROM p))) GROUP BY ALL) GROUP BY ALL)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT part, k, coalesce(m{r}.e, b{r}.e) AS e FROM b{r} LEFT JOIN m{r} USING (part, k))")
+    last = rounds
+    return f"""WITH {parts}, {', '.join(steps)},
+c AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, k)) AS s FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM c CROSS JOIN h"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -136,8 +160,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_chat_format": op10_chat_format,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op2_bm25_search": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op2_bm25_search": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql()}
