@@ -15,6 +15,7 @@ from .common import table
 from .lm_score import score_texts
 from .neardup import near_duplicates
 from .packing import pack
+from .prefix_trie import prefix_trie, rebuilt
 from .search import bm25_search
 from .secrets import scan_secrets
 from .substring import remove_repeats
@@ -148,6 +149,27 @@ h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, k)) A
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM c CROSS JOIN h"""
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+# DuckDB has no crc32: here it is made bit by bit of the id's digits.
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY i) AS l FROM t GROUP BY conv_id),
+crc AS (SELECT conv_id, l, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) % 4 AS INT) AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS s FROM crc c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, len(s) AS size, d, sha256(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS pk, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].text, '[^ 	-]+')) ELSE 0 END AS words
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT k, d, any_value(pk) AS pk, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends FROM p GROUP BY k, d),
+c AS (SELECT pk AS k, count(*) AS children FROM n WHERE pk IS NOT NULL GROUP BY pk),
+sub AS (SELECT up.k, count(*) FILTER (c.k IS NULL) AS leaves, sum((n.n_convs - 1) * n.words) AS saved FROM n JOIN p up ON up.conv_id = n.conv_id AND up.d <= n.d LEFT JOIN c ON c.k = n.k GROUP BY up.k)
+SELECT n.conv_id, n.d AS depth, par.conv_id AS parent_conv_id, n.n_convs, coalesce(c.children, 0) AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN sub ON sub.k = n.k LEFT JOIN c ON c.k = n.k LEFT JOIN n par ON par.k = n.pk
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -161,8 +183,9 @@ def queries() -> dict[str, Query]:
         "op9_packing": op9_packing,
         "op10_chat_format": op10_chat_format,
         "op11_vector_codes": op11_vector_codes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op2_bm25_search": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql()}
+    return {"op1_near_duplicates": OP1_SQL, "op2_bm25_search": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_prefix_trie": OP13_SQL}
