@@ -20,6 +20,7 @@ from .search import bm25_search
 from .secrets import scan_secrets
 from .substring import remove_repeats
 from .vector_codes import compress
+from .wrappers import main_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,6 +150,19 @@ h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, k)) A
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM c CROSS JOIN h"""
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# What the given pages are made of: one article, of headings and paragraphs with bold text and line breaks.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(x, '<br>', ' '), '</?(p|h1)>'), lambda y: regexp_replace(regexp_replace(replace(replace(y, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS y FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(y, lambda z: trim(regexp_replace(z, '\s+', ' ', 'g'))), lambda z: z <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -160,7 +174,8 @@ o AS (SELECT conv_id, list(x ORDER BY i) AS l FROM t GROUP BY conv_id),
 crc AS (SELECT conv_id, l, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) % 4 AS INT) AS h FROM o),
 r AS (SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS s FROM crc c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
-p AS MATERIALIZED (SELECT conv_id, len(s) AS size, d, sha256(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS pk, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].text, '[^ 	-]+')) ELSE 0 END AS words
+p AS MATERIALIZED (SELECT conv_id, len(s) AS size, d, sha256(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS pk, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].text, '[^ 	-
+]+')) ELSE 0 END AS words
   FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
 n AS MATERIALIZED (SELECT k, d, any_value(pk) AS pk, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends FROM p GROUP BY k, d),
 c AS (SELECT pk AS k, count(*) AS children FROM n WHERE pk IS NOT NULL GROUP BY pk),
@@ -183,9 +198,10 @@ def queries() -> dict[str, Query]:
         "op9_packing": op9_packing,
         "op10_chat_format": op10_chat_format,
         "op11_vector_codes": op11_vector_codes,
+        "op12_html_text": op12_html_text,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op2_bm25_search": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_prefix_trie": OP13_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op2_bm25_search": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_html_text": OP12_SQL, "op13_prefix_trie": OP13_SQL}
