@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from math import ceil, floor, log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +16,7 @@ from ..functions.geometry import MAX_CENTRE, MAX_GAP, MAX_OVERLAP, MIN_AREA, box
 from ..schemas import DETECTOR_CONF
 
 CORNERS = ("x1", "y1", "x2", "y2")
-_MERGED = "image_id {key}, box_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int"
+_MERGED = "image_id {key}, band long, place int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int"
 
 
 def postprocess(detections: DataFrame, min_conf: float = DETECTOR_CONF, min_area: int = MIN_AREA) -> DataFrame:
@@ -23,11 +26,24 @@ def postprocess(detections: DataFrame, min_conf: float = DETECTOR_CONF, min_area
     return sure.withColumns(grown).where(box_area(CORNERS) >= min_area)
 
 
+def in_bands(boxes: DataFrame) -> DataFrame:
+    """Boxes with the band of their image: a new one begins wherever no box is crossed from left to right.
+
+    Boxes of one line, merged ones too, overlap in height, so lines never leave
+    their band, and a crowded image is as many groups as it has bands.
+    """
+    down = Window.partitionBy("image_id").orderBy(F.least("y1", "y2"), "box_idx")
+    reached = F.max(F.greatest("y1", "y2")).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce(F.least("y1", "y2") >= reached, F.lit(True)).cast("long")
+    return boxes.withColumn("starts", starts).withColumn("band", F.sum("starts").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+
+
 def _on_one_line(boxes: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """One self-join on the image: columns a, b (a < b) and a_*, b_* of the names. Both sides share their shuffle."""
-    side = lambda t: boxes.select("image_id", F.col("box_idx").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in names))
+    """One self-join on the image's band: columns a, b (a < b) and a_*, b_* of the names. Both sides share their shuffle."""
+    banded = in_bands(boxes.select("image_id", "box_idx", *names))
+    side = lambda t: banded.select("image_id", "band", F.col("box_idx").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in names))
     corners = lambda t: tuple(f"{t}_{c}" for c in CORNERS)
-    return side("a").join(side("b"), "image_id").where((F.col("a") < F.col("b")) & same_line(corners("a"), corners("b")))
+    return side("a").join(side("b"), ["image_id", "band"]).where((F.col("a") < F.col("b")) & same_line(corners("a"), corners("b")))
 
 
 def line_pairs(boxes: DataFrame) -> DataFrame:
@@ -55,44 +71,134 @@ def _one_line(a: list, b: list) -> bool:
     return not (narrow > 0 and shared / narrow > MAX_OVERLAP) and -shared <= MAX_GAP * tall
 
 
+class _Sweep:
+    """Free boxes, asked for those that a growing line may reach.
+
+    Boxes are kept by the power of two of their height and width, in rows of
+    that height by their centre, in a row by their left side. Inside a class
+    the reach is known up to a factor of two, so a question looks at a few rows
+    and at one stretch of each; what the line has been told is not looked at
+    again, and taken boxes are leapt over.
+    """
+
+    def __init__(self, boxes: list[list]):
+        rows: dict[tuple[float, float], dict[int, list[tuple[float, int]]]] = {}
+        for i, b in enumerate(boxes):
+            tall, wide = _power(b[3] - b[1]), _power(b[2] - b[0])
+            rows.setdefault((tall, wide), {}).setdefault(floor((b[1] + b[3]) / 2 / (tall or 1.0)), []).append((b[0], i))
+        #: (height, width, numbers of the rows, per row: left sides, boxes, the next one that is free)
+        self.classes = []
+        self.place: list[tuple[list[int], int]] = [([], 0)] * len(boxes)
+        for (tall, wide), found in rows.items():
+            held = {}
+            for number, row in found.items():
+                row.sort()
+                following = list(range(len(row) + 1))
+                held[number] = ([x for x, _ in row], [i for _, i in row], following)
+                for k, (_, i) in enumerate(row):
+                    self.place[i] = (following, k)
+            self.classes.append((tall, wide, sorted(held), held))
+
+    def take(self, i: int) -> None:
+        following, k = self.place[i]
+        following[k] = k + 1
+
+    def reached(self, line: list, told: dict[tuple[int, int], tuple[int, int]]) -> Iterator[int]:
+        """Free boxes near the line that it has not been told of; told: per class and row the stretch it has been."""
+        height, centre = line[3] - line[1], (line[1] + line[3]) / 2
+        for c, (tall, wide, numbers, held) in enumerate(self.classes):
+            reach = max(height, tall) * (1 + 1e-9)
+            if reach <= 0:
+                continue
+            unit, far, gap = tall or 1.0, MAX_CENTRE * reach, MAX_GAP * reach
+            low, high = floor((centre - far) / unit) - 1, floor((centre + far) / unit) + 1
+            for at in range(bisect_left(numbers, low), bisect_right(numbers, high)):
+                lefts, ids, following = held[numbers[at]]
+                slack = 1e-9 * (abs(line[0]) + abs(line[2]) + 1)
+                start, stop = bisect_left(lefts, line[0] - gap - wide - slack), bisect_right(lefts, line[2] + gap + slack)
+                before = told.get((c, at))
+                for a, b in ((start, stop),) if before is None else ((start, before[0]), (before[1], stop)):
+                    k = _free(following, a) if a < b else b
+                    while k < b:
+                        yield ids[k]
+                        k = _free(following, k + 1)
+                told[c, at] = (start, stop) if before is None else (min(start, before[0]), max(stop, before[1]))
+
+
+def _power(size: float) -> float:
+    """The least power of two that is no smaller; 0 for no size."""
+    return 2.0 ** ceil(log2(size)) if size > 0 else 0.0
+
+
+def _free(following: list[int], k: int) -> int:
+    end = k
+    while following[end] != end:
+        end = following[end]
+    while following[k] != end:
+        following[k], k = end, following[k]
+    return end
+
+
 def absorb_lines(boxes: list[list]) -> list[list]:
     """Merge boxes [x1, y1, x2, y2, conf, cls] greedily into lines.
 
-    From the top left, a box takes in whatever lies on its line, tested against
-    the grown box, until a whole pass finds nothing; then the next free box.
+    From the top left, a box takes in whatever lies on its line, tested in
+    order against the grown box, until a whole pass finds nothing; then the next
+    free box. Only boxes within reach are tested.
     """
-    waiting, lines = sorted(boxes, key=lambda b: (b[1], b[0])), []
-    while waiting:
-        line, grew = list(waiting.pop(0)), True
-        while grew:
-            left = []
-            for b in waiting:
-                if _one_line(line, b):
-                    surer = line if line[4] >= b[4] else b
-                    line = [min(line[0], b[0]), min(line[1], b[1]), max(line[2], b[2]), max(line[3], b[3]), max(line[4], b[4]), surer[5]]
-                else:
-                    left.append(b)
-            grew, waiting = len(left) < len(waiting), left
+    if len(boxes) < 2:
+        return [list(b) for b in boxes]
+    order, lines = sorted(boxes, key=lambda b: (b[1], b[0])), []
+    sweep, taken = _Sweep(order), [False] * len(order)
+    for first, box in enumerate(order):
+        if taken[first]:
+            continue
+        sweep.take(first)
+        line, told = list(box), {}
+        ahead, behind, grew = list(sweep.reached(line, told)), [], False
+        heapify(ahead)
+        while ahead:
+            at = heappop(ahead)
+            b = order[at]
+            if _one_line(line, b):
+                taken[at] = grew = True
+                sweep.take(at)
+                surer = line if line[4] >= b[4] else b
+                line = [min(line[0], b[0]), min(line[1], b[1]), max(line[2], b[2]), max(line[3], b[3]), max(line[4], b[4]), surer[5]]
+                for new in sweep.reached(line, told):
+                    if new > at:
+                        heappush(ahead, new)
+                    else:
+                        behind.append(new)
+            else:
+                behind.append(at)
+            if not ahead and grew:  # another pass
+                ahead, behind, grew = behind, [], False
+                heapify(ahead)
         lines.append(line)
-    return sorted(lines, key=lambda b: (b[1], b[0])) if len(boxes) > 1 else lines
+    return sorted(lines, key=lambda b: (b[1], b[0]))
 
 
 def merge_lines(boxes: DataFrame) -> DataFrame:
     """Merged lines of each image in reading order: image_id, box_idx, corners, conf, cls_id.
 
     The merge is a fixpoint that depends on the order, which no join
-    expresses; images are shuffled once and merged as they stream by.
+    expresses; only a band of an image is one row of a task. Images are
+    shuffled once, their lines again to be numbered.
     """
     key = boxes.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for image, rows in zip(batch["image_id"], batch["boxes"]):
+            for image, band, rows in zip(batch["image_id"], batch["band"], batch["boxes"]):
                 found = absorb_lines([[b["x1"], b["y1"], b["x2"], b["y2"], b["conf"], b["cls_id"]] for b in rows])
-                out += [(image, i, *b) for i, b in enumerate(found)]
-            yield pd.DataFrame(out, columns=["image_id", "box_idx", *CORNERS, "conf", "cls_id"])
+                out += [(image, band, i, *b) for i, b in enumerate(found)]
+            yield pd.DataFrame(out, columns=["image_id", "band", "place", *CORNERS, "conf", "cls_id"])
 
     box = F.struct("box_idx", *(F.col(c).cast("double").alias(c) for c in (*CORNERS, "conf")), F.col("cls_id").cast("int").alias("cls_id"))
-    images = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
-    return images.mapInPandas(run, _MERGED.format(key=key))
+    bands = in_bands(boxes.select("image_id", "box_idx", "y1", "y2", box.alias("box")))
+    held = bands.groupBy("image_id", "band").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    lines = held.mapInPandas(run, _MERGED.format(key=key))
+    order = Window.partitionBy("image_id").orderBy("y1", "x1", "band", "place")
+    return lines.select("image_id", (F.row_number().over(order) - 1).alias("box_idx"), *CORNERS, "conf", "cls_id")

@@ -223,7 +223,22 @@ def box_merge_two(spark, d):
     return bx.merged_pairs(i.boxes(spark, d))
 
 
-@query()
+# One step tests the next waiting box against the line; then the line starts another pass or is done.
+_LINES = (
+    "walk AS (SELECT image_id, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf::DOUBLE, 'cls_id': cls_id} ORDER BY y1, x1, box_idx) AS wait, wait[1:0] AS left_, wait[1:0] AS done, CAST(NULL AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, conf DOUBLE, cls_id INT)) AS cur, false AS grew FROM boxes GROUP BY image_id "
+    "UNION ALL SELECT image_id, CASE WHEN len(wait) > 0 THEN wait[2:] ELSE left_ END, "
+    "CASE WHEN cur IS NULL THEN left_ WHEN len(wait) = 0 THEN left_[1:0] WHEN joins THEN left_ ELSE list_append(left_, b) END, "
+    "CASE WHEN len(wait) = 0 AND NOT grew THEN list_append(done, cur) ELSE done END, "
+    "CASE WHEN cur IS NULL THEN b WHEN len(wait) = 0 AND NOT grew THEN NULL WHEN joins THEN {'x1': least(cur.x1, b.x1), 'y1': least(cur.y1, b.y1), 'x2': greatest(cur.x2, b.x2), 'y2': greatest(cur.y2, b.y2), 'conf': greatest(cur.conf, b.conf), 'cls_id': CASE WHEN cur.conf >= b.conf THEN cur.cls_id ELSE b.cls_id END} ELSE cur END, "
+    "CASE WHEN cur IS NULL OR len(wait) = 0 THEN false ELSE grew OR joins END FROM ("
+    "SELECT *, coalesce(cur IS NOT NULL AND greatest(cur.y2 - cur.y1, b.y2 - b.y1) > 0 AND abs((cur.y1 + cur.y2) / 2e0 - (b.y1 + b.y2) / 2e0) <= 0.30e0 * greatest(cur.y2 - cur.y1, b.y2 - b.y1) "
+    "AND greatest(0, least(cur.x2, b.x2) - greatest(cur.x1, b.x1)) <= 0.50e0 * least(cur.x2 - cur.x1, b.x2 - b.x1) "
+    "AND greatest(0, greatest(cur.x1, b.x1) - least(cur.x2, b.x2)) <= 0.25e0 * greatest(cur.y2 - cur.y1, b.y2 - b.y1), false) AS joins FROM (SELECT *, wait[1] AS b FROM walk WHERE cur IS NOT NULL OR len(wait) > 0))), "
+    "lines AS (SELECT image_id, unnest(done) AS l, generate_subscripts(done, 1) AS place FROM walk WHERE cur IS NULL AND len(wait) = 0)"
+)
+
+
+@query(f"WITH RECURSIVE {i.BOXES}, {_LINES} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY l.y1, l.x1, place) - 1 AS INT) AS box_idx, l.x1 AS x1, l.y1 AS y1, l.x2 AS x2, l.y2 AS y2, l.conf AS conf, l.cls_id AS cls_id FROM lines")
 def box_line_merge(spark, d):
     return bx.merge_lines(i.boxes(spark, d))
 

@@ -75,3 +75,42 @@ def test_line_merge_against_its_definition(spark):
             place = lambda b: (b[1], b[0])
             assert got[k] == sorted(by_definition(sorted(bs, key=place)), key=place)
             assert len(got[k]) <= len(bs)
+
+
+def test_lines_of_crowded_and_odd_boxes():
+    """The sweep against the definition: dense boxes of very different sizes, without height or width, and turned corners."""
+    rng = random.Random(9)
+    place = lambda b: (b[1], b[0])
+    for k in range(250):
+        wide, tall = rng.choice([(40, 10), (300, 30), (60, 400)]), rng.choice([3, 12, 90])
+        boxes = [[x := rng.uniform(-wide[0], wide[0]), y := rng.uniform(0, wide[1]), x + rng.choice([0, 1, 5, 40, -3]) * rng.random(), y + rng.choice([0, 1, 1, -0.5]) * tall * rng.random(), rng.random(), rng.randint(0, 2)] for _ in range(rng.randint(0, 60))]
+        if k % 3 == 0:
+            boxes = [[float(round(v)) for v in b[:5]] + b[5:] for b in boxes]
+        assert bx.absorb_lines(boxes) == sorted(by_definition(sorted(boxes, key=place)), key=place)
+
+
+def test_twenty_thousand_boxes_on_one_image(spark):
+    """A page of many short lines, one line of all boxes, and a heap of boxes that cover each other: seconds each."""
+    import time
+
+    rng = random.Random(3)
+    page = [(0, i, 12.0 * (i % 40), 14.0 * (i // 40) + rng.random(), 12.0 * (i % 40) + 10, 14.0 * (i // 40) + 10, 0.9, 0) for i in range(20_000)]
+    row = [(1, i, 11.0 * i, rng.random(), 11.0 * i + 10, 10.0, 0.9, 0) for i in range(20_000)]
+    heap = [(2, i, rng.uniform(0, 4000), rng.uniform(0, 4000), 0.0, 0.0, 0.9, 0) for i in range(20_000)]
+    heap = [(*b[:4], b[2] + rng.uniform(4, 90), b[3] + rng.uniform(4, 12), 0.9, 0) for b in heap]
+    df = spark.createDataFrame(page + row + heap, "image_id int, box_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int").repartition(4)
+    start = time.perf_counter()
+    got = {r["image_id"]: r["n"] for r in bx.merge_lines(df).groupBy("image_id").agg(F.count("*").alias("n")).collect()}
+    assert got[0] == 500 and got[1] == 1 and 1 < got[2] < 20_000
+    assert time.perf_counter() - start < 90
+
+
+def test_line_pairs_of_a_crowded_image(spark):
+    """Pairs by bands are the pairs of the image; twenty thousand boxes are not squared."""
+    rng = random.Random(4)
+    some = [[0, i, x := rng.uniform(0, 200), y := rng.uniform(0, 900), x + rng.choice([0, 9, 30]), y + rng.choice([0, 4, 12])] for i in range(300)]
+    make = lambda rows: spark.createDataFrame(rows, "image_id int, box_idx int, x1 double, y1 double, x2 double, y2 double")
+    want = {(a[1], b[1]) for a in some for b in some if a[1] < b[1] and bx._one_line(a[2:], b[2:])}
+    assert {(r.a, r.b) for r in bx.line_pairs(make(some)).collect()} == want and want
+    page = [(1, i, 12.0 * (i % 40), 14.0 * (i // 40), 12.0 * (i % 40) + 10, 14.0 * (i // 40) + 10) for i in range(20_000)]
+    assert bx.line_pairs(make(page)).count() == 500 * 39
