@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scores import hamming, imbalance, imbalance_advice, required_rotation
 from ..functions.text import document_id
 from ..storage import store
+from .least_used import STRETCH, least_used
 
 SPLITS = ("train", "valid", "test")
 #: Hash bits that are divided among the bands.
@@ -75,13 +75,16 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels.withColumnRenamed("label", "component")
 
 
-def document_groups(records: DataFrame, distance: int = 0, hash_col: str = "canonical_hash_int", order_col: str = "record_id") -> DataFrame:
+def document_groups(records: DataFrame, distance: int = 0, hash_col: str = "canonical_hash_int", order_col: str = "record_id", within: list[str] = []) -> DataFrame:
     """Records with document_group_id doc_000000, ..., numbered by their first record.
 
-    At distance 0 groups are equal hashes; beyond, what near hashes connect. A
-    record without a hash is a group of its own. The numbers come from a rank
-    over the groups, not over the records.
+    At distance 0 groups are equal hashes, each value of the columns within by
+    itself; beyond, what near hashes connect. A record without a hash is a
+    group of its own. The numbers come from a rank over the groups, not over
+    the records.
     """
+    if distance and within:
+        raise ValueError("near hashes are grouped over all records")
     alone = F.concat(F.lit("#"), F.col(order_col).cast("string"))
     if distance == 0:
         keyed = records.withColumn("group_key", F.coalesce(F.col(hash_col).cast("string"), alone))
@@ -89,9 +92,9 @@ def document_groups(records: DataFrame, distance: int = 0, hash_col: str = "cano
         nodes = records.select(F.col(hash_col).alias("node")).where("node IS NOT NULL").distinct()
         near = hash_pairs(records, distance, hash_col).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"))
         keyed = records.join(components(near, nodes), F.col(hash_col) == F.col("node"), "left").withColumn("group_key", F.coalesce(F.col("component").cast("string"), alone)).drop("node", "component")
-    first = keyed.groupBy("group_key").agg(F.min(order_col).alias("first"))
-    numbered = number_rows(first, ["first"]).select("group_key", document_id(F.col("number")).alias("document_group_id"))
-    return keyed.join(numbered, "group_key").drop("group_key")
+    first = keyed.groupBy(*within, "group_key").agg(F.min(order_col).alias("first"))
+    numbered = number_rows(first, ["first"], within).select(*within, "group_key", document_id(F.col("number")).alias("document_group_id"))
+    return keyed.join(numbered, [*within, "group_key"]).drop("group_key").select(*records.columns, "document_group_id")
 
 
 def number_rows(rows: DataFrame, order: list[str], by: list[str] = []) -> DataFrame:
@@ -168,57 +171,31 @@ def unexpected_and_missing(seen: DataFrame, expected: DataFrame, name: str = "cl
     return extra.unionByName(expected.select(name).distinct().join(values, name, "left_anti").withColumn("status", F.lit("missing")))
 
 
-def _turns(n: int, used: dict[str, int], classes: list[str]) -> list[tuple[int, int, list[str]]]:
-    """How n picks in a row, each of the class used least so far (the first by name on ties), go around the classes.
-
-    Intervals (low, high, classes): pick k of an interval is of class (k - low) mod their number. Adds to used.
-    """
-    order, out, at = sorted(classes, key=lambda c: (used.get(c, 0), c)), [], 0
-    levels = [used.get(c, 0) for c in order]
-    for j in range(1, len(order) + 1):
-        room = n - at if j == len(order) else min(n - at, j * (levels[j] - levels[j - 1]))
-        if room:
-            turn = sorted(order[:j])
-            out.append((at, at + room, turn))
-            for i, c in enumerate(turn):
-                used[c] = levels[j - 1] + room // j + (i < room % j)
-            at += room
-    return out
-
-
-def balance(records: DataFrame, classes: DataFrame, seed: int = 42) -> DataFrame:
+def balance(records: DataFrame, classes: DataFrame, seed: int = 42, stretch: int = STRETCH) -> DataFrame:
     """Pick source records so that every class reaches the largest.
 
     For each target class as many document groups as it lacks, in an order of
     hashes of seed, target and group; each group at most once per target, from
-    its first record of the other class that was used least for this target so
-    far (the first by name on ties). Groups with the same choice of classes
-    take their turns one after the other, so the turns follow from their
-    number and no task goes through all groups. Classes are a handful, so are
-    their combinations. Raises where a target has fewer eligible groups than it
-    lacks.
+    its first record of the other class that the groups before it in that
+    order used least for this target (the first by name on ties). The picks are
+    those of one walk through the order, though no task makes it. Classes are a
+    handful. Raises where a target has fewer eligible groups than it lacks.
     """
-    spark = records.sparkSession
     needs = {r["class_name"]: r["need"] for r in class_needs(records, classes).where("need > 0").collect()}
     first = records.groupBy("document_group_id", "class_name").agg(F.min(F.struct("record_id", "path", "canonical_hash_hex")).alias("record"))
     groups = first.groupBy("document_group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "record")))).alias("held"))
     target = F.explode(F.array(*(F.struct(F.lit(c).alias("target_class"), F.lit(n).alias("need")) for c, n in sorted(needs.items()))) if needs else F.expr("cast(array() AS array<struct<target_class:string,need:bigint>>)"))
-    options = F.array_except(F.map_keys("held"), F.array("target_class"))
+    names = sorted(r["class_name"] for r in classes.select("class_name").distinct().collect())
+    options = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.map_contains_key("held", F.array(*map(F.lit, names))[k]) & (F.array(*map(F.lit, names))[k] != F.col("target_class")))
     eligible = groups.select("document_group_id", "held", target.alias("t")).select("document_group_id", "held", "t.*").withColumn("options", options).where(F.size("options") > 0)
     turn = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), "target_class", "document_group_id"))
-    picked = number_rows(eligible.withColumn("turn", turn), ["turn", "document_group_id"], ["target_class"]).where("number < need")
-    picked = number_rows(picked.withColumn("choice", F.array_join("options", ",")).drop("number"), ["turn", "document_group_id"], ["target_class", "choice"])
-    counts = sorted(picked.groupBy("target_class", "choice", "options").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["target_class"], r["choice"]))
-    have = Counter()
-    for r in counts:
-        have[r["target_class"]] += r["n"]
-    if lacking := [c for c in sorted(needs) if have[c] < needs[c]]:
+    picked = store(number_rows(eligible.withColumn("turn", turn), ["turn", "document_group_id"], ["target_class"]).where("number < need"), "picked")
+    have = {r["target_class"]: r["n"] for r in picked.groupBy("target_class").agg(F.count("*").alias("n")).collect()}
+    if lacking := [c for c in sorted(needs) if have.get(c, 0) < needs[c]]:
         raise ValueError(f"not enough document groups for {lacking}")
-    used: dict[str, dict[str, int]] = {c: {} for c in needs}
-    turns = [(r["target_class"], r["choice"], *t) for r in counts for t in _turns(r["n"], used[r["target_class"]], r["options"])]
-    plan = spark.createDataFrame(turns, "target_class string, choice string, low long, high long, turn_classes array<string>")
-    chosen = picked.join(F.broadcast(plan), ["target_class", "choice"]).where("number >= low AND number < high")
-    chosen = chosen.withColumn("source_class", F.expr("turn_classes[cast((number - low) % size(turn_classes) AS int)]")).withColumn("record", F.expr("held[source_class]"))
+    choice = least_used(picked.select(F.col("target_class").alias("target"), "number", "options"), len(names), stretch)
+    chosen = picked.join(choice.withColumnRenamed("target", "target_class"), ["target_class", "number"])
+    chosen = chosen.withColumn("source_class", F.array(*map(F.lit, names))[F.col("choice")]).withColumn("record", F.expr("held[source_class]"))
     rotation = required_rotation(F.col("source_class").cast("int"), F.col("target_class").cast("int"))
     return chosen.select("target_class", "source_class", "document_group_id", "record.*", rotation.alias("rotation_applied"))
 

@@ -17,6 +17,7 @@ from ..operators import entities as en
 from ..operators import evaluation as ev
 from ..operators import routing as ro
 from ..schemas import ALLOWED, FIELD_GROUPS, LABELS, label_table
+from ..storage import store
 from . import inputs as i
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,13 +353,13 @@ _TARGETS = ["0", "90", "180", "270"]
 def _balanced(spark, d):
     """Records of all splits, each split's grouped by itself, and the picks that balance train."""
     rows = i.records(spark, d).withColumn("class_name", F.element_at(F.array(*map(F.lit, _TARGETS)), (F.pmod(F.col("record_id").cast("int"), F.lit(7)) % 4 + 1).cast("int")))
-    rows = rows.withColumn("canonical_hash_hex", s.hash_hex(F.col("canonical_hash_int")))
-    train, *others = [cu.document_groups(rows.where(F.col("split_name") == name)) for name in cu.SPLITS]
+    rows = store(rows.withColumn("canonical_hash_hex", s.hash_hex(F.col("canonical_hash_int"))), "records")
+    grouped = store(cu.document_groups(rows, within=["split_name"]), "groups")
     dim = spark.createDataFrame([(c,) for c in _TARGETS], ["class_name"])
-    return reduce(DataFrame.unionByName, others, train), cu.balance(train, dim)
+    return grouped, cu.balance(grouped.where("split_name = 'train'"), dim)
 
 
-# The picks are made one after the other: by target, then by the classes to choose from, then by hash.
+# The picks are made one after the other, in the order of hashes.
 _BALANCE = (
     f"{i.RECORDS}, r AS (SELECT record_id, split_name, path, canonical_hash_int AS h, ['0', '90', '180', '270'][CAST(record_id AS INT) % 7 % 4 + 1] AS class_name, lpad(lower(hex(canonical_hash_int)), 16, '0') AS canonical_hash_hex FROM recs), "
     "gf AS (SELECT split_name, h, min(record_id) AS first FROM r GROUP BY ALL), gn AS (SELECT split_name, h, 'doc_' || lpad(CAST(row_number() OVER (PARTITION BY split_name ORDER BY first) - 1 AS VARCHAR), 6, '0') AS document_group_id FROM gf), "
@@ -366,8 +367,8 @@ _BALANCE = (
     "dim(class_name) AS (VALUES ('0'), ('90'), ('180'), ('270')), cnt AS (SELECT class_name, count(record_id) AS n FROM dim LEFT JOIN tr USING (class_name) GROUP BY ALL), needs AS (SELECT class_name AS target_class, (SELECT max(n) FROM cnt) - n AS need FROM cnt), "
     "held AS (SELECT document_group_id, list(DISTINCT class_name ORDER BY class_name) AS classes FROM tr GROUP BY ALL), "
     "el AS (SELECT target_class, need, document_group_id, list_filter(classes, lambda c: c <> target_class) AS options, md5('42:' || target_class || ':' || document_group_id) AS turn FROM held CROSS JOIN needs WHERE need > 0), "
-    "pk AS (SELECT *, array_to_string(options, ',') AS choice FROM (SELECT *, row_number() OVER (PARTITION BY target_class ORDER BY turn, document_group_id) AS rn FROM el WHERE len(options) > 0) WHERE rn <= need), "
-    "sq AS (SELECT *, row_number() OVER (PARTITION BY target_class ORDER BY choice, turn, document_group_id) AS seq FROM pk), "
+    "pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_class ORDER BY turn, document_group_id) AS rn FROM el WHERE len(options) > 0) WHERE rn <= need), "
+    "sq AS (SELECT *, rn AS seq FROM pk), "
     "walk AS (SELECT target_class, 0::BIGINT AS seq, [0, 0, 0, 0] AS used, ''::VARCHAR AS document_group_id, ''::VARCHAR AS source_class FROM (SELECT DISTINCT target_class FROM sq) "
     "UNION ALL SELECT w.target_class, s.seq, list_transform(range(1, 5), lambda k: w.used[k] + CASE WHEN ['0', '180', '270', '90'][k] = best THEN 1 ELSE 0 END), s.document_group_id, best FROM walk w JOIN sq s ON s.target_class = w.target_class AND s.seq = w.seq + 1, "
     "LATERAL (SELECT list_sort(list_transform(s.options, lambda o: lpad(CAST(w.used[list_position(['0', '180', '270', '90'], o)] AS VARCHAR), 9, '0') || o))[1][10:] AS best)), "

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import json
 import os
 import random
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import curation as cu
 from foliospark.operators import evaluation as ev
+from foliospark.operators import least_used as lu
 from foliospark.operators import routing as ro
 from foliospark.plans import registry
 
@@ -67,19 +69,41 @@ def test_numbers_of_a_million_groups_and_of_tiny_partitions(spark):
             spark.conf.set(k, v)
 
 
-def test_least_used_source(spark):
+def walked(rows):
+    """Picks one after the other."""
+    used, out = {}, {}
+    for target, number, options in sorted(rows):
+        mine = used.setdefault(target, collections.Counter())
+        out[target, number] = min(options, key=lambda c: (mine[c], c))
+        mine[out[target, number]] += 1
+    return out
+
+
+def test_least_used_is_one_walk(spark):
+    """Stretches that start guessed: options that overlap, one class far ahead of the others, and long runs of one kind."""
     rng = random.Random(2)
+    sets = [o for n in (1, 2, 3) for o in itertools.combinations(range(4), n)]
+    rows = [("mixed", i, rng.choice(sets)) for i in range(2000)]
+    rows += [("ahead", i, (0,) if i % 3 else rng.choice([(0, 1), (1, 2), (0, 2, 3)])) for i in range(1500)]
+    rows += [("runs", i, sets[i // 130 % len(sets)]) for i in range(1700)] + [("one", 0, (3,))]
+    shuffled = rng.sample(rows, len(rows))
+    df = spark.createDataFrame([(t, i, list(o)) for t, i, o in shuffled], "target string, number long, options array<int>")
+    got = {(r.target, r.number): r.choice for r in lu.least_used(df, 4, stretch=37).collect()}
+    assert got == walked(rows)
+
+
+def test_pieces_hold_where_they_say(spark):
+    rng = random.Random(8)
+    sets = [o for n in (1, 2, 3) for o in itertools.combinations(range(3), n)]
+    inside = 0
     for _ in range(300):
-        classes = rng.sample(["0", "180", "270", "90"], rng.randint(1, 4))
-        used = {c: rng.randint(0, 6) for c in rng.sample(classes, rng.randint(0, len(classes)))}
-        n, want, seen = rng.randint(0, 30), dict(used), []
-        for _ in range(n):
-            c = min(classes, key=lambda c: (want.get(c, 0), c))
-            want[c] = want.get(c, 0) + 1
-            seen.append(c)
-        turns = cu._turns(n, used, classes)
-        assert [t[(k - low) % len(t)] for low, high, t in turns for k in range(low, high)] == seen
-        assert {c: v for c, v in used.items() if v} == {c: v for c, v in want.items() if v}
+        stretch = [rng.choice(sets) for _ in range(rng.randint(0, 12))]
+        piece = lu.go_through(stretch, tuple(rng.randint(0, 4) for _ in range(3)))
+        start = tuple(rng.randint(0, 6) for _ in range(3))
+        inside += piece.holds(start)
+        if piece.holds(start):
+            assert lu.go_through(stretch, start).picks == piece.picks
+    assert inside > 30
 
 
 def test_records_without_a_hash_are_groups_of_their_own(spark):
