@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,29 +16,53 @@ from ..storage import store
 from .least_used import STRETCH, least_used
 
 SPLITS = ("train", "valid", "test")
-#: Hash bits that are divided among the bands.
+#: Bits of a hash.
 BITS = 64
+#: Hashes that agree in their bands and are compared one with another; more are divided by narrower bands.
+MOST_COMPARED = 64
+#: Combinations of bands that a hash may be filed under.
+MOST_MASKS = 1000
 
 
-def _bands(hashes: DataFrame, distance: int, hash_col: str) -> DataFrame:
-    """Rows per hash and band: hashes within the distance agree in one of distance + 1 bands at least."""
-    n = distance + 1
-    cuts = [round(BITS * i / n) for i in range(n + 1)]
-    part = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_col, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1).cast("long")).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    return hashes.withColumn("key", F.explode(F.array(*part)))
+def _masks(bands: int, distance: int) -> list[int]:
+    """The bits of all but distance of the bands, for each choice of those: hashes within the distance agree in one of the masks."""
+    cuts = [round(BITS * i / bands) for i in range(bands + 1)]
+    band = [sum(1 << k for k in range(a, b)) for a, b in zip(cuts, cuts[1:])]
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    return [signed(sum(kept)) for kept in combinations(band, bands - distance)]
 
 
 def hash_pairs(records: DataFrame, distance: int, hash_col: str = "canonical_hash_int") -> DataFrame:
     """Pairs of distinct hashes within a Hamming distance of 1 or more: hash_a < hash_b, hamming_distance.
 
-    Equal hashes are one entry beforehand, so copies multiply nothing. The
-    bands are exact (pigeonhole); for large distances they hardly select.
+    Equal hashes are one entry beforehand, so copies multiply nothing. Of
+    distance + 1 bands of bits two near hashes share one; of more and narrower
+    bands all but distance (pigeonhole). Where many hashes agree in a band, as
+    those of blank pages do, these hashes are filed again by narrower bands, of
+    which they must share several: more bits select them. That ends where
+    filing would make more rows than comparing. For large distances bands hardly
+    select.
     """
-    distinct = records.select(F.col(hash_col).alias("h")).where("h IS NOT NULL").distinct()
-    banded = _bands(distinct, distance, "h")
-    other = banded.select("key", F.col("h").alias("o"))
-    found = banded.join(other, "key").where((F.col("h") < F.col("o")) & (hamming(F.col("h"), F.col("o")) <= distance))
-    return found.select(F.col("h").alias("hash_a"), F.col("o").alias("hash_b"), hamming(F.col("h"), F.col("o")).alias("hamming_distance")).distinct()
+    steps = [b for b in (distance + (1 << k) for k in range(7)) if b <= BITS and comb(b, distance) <= MOST_MASKS] or [distance + 1]
+    loose, found = store(records.select(F.col(hash_col).cast("long").alias("h")).where("h IS NOT NULL").distinct(), "hashes"), []
+    for bands, narrower in zip(steps, [*steps[1:], None]):
+        filed = loose.select("h", F.explode(F.array(*map(F.lit, _masks(bands, distance)))).alias("mask")).withColumn("bits", F.col("h").bitwiseAND(F.col("mask")))
+        few = filed
+        if narrower:
+            most = max(MOST_COMPARED, 2 * comb(narrower, distance))
+            crowded = store(filed.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "bits"), "crowded")
+            if crowded.isEmpty():
+                narrower = None
+            else:
+                few = filed.join(crowded, ["mask", "bits"], "left_anti")
+        other = few.select("mask", "bits", F.col("h").alias("o"))  # made of few bytes, but of many rows: not to be broadcast
+        apart = hamming(F.col("h"), F.col("o"))
+        near = few.hint("merge").join(other, ["mask", "bits"]).where((F.col("h") < F.col("o")) & (apart <= distance))
+        found.append(near.select(F.col("h").alias("hash_a"), F.col("o").alias("hash_b"), apart.alias("hamming_distance")))
+        if not narrower:
+            break
+        loose = store(filed.join(crowded, ["mask", "bits"], "left_semi").select("h").distinct(), "hashes")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _within(a: DataFrame, b: DataFrame, records: DataFrame, distance: int, hash_col: str) -> DataFrame:

@@ -26,6 +26,30 @@ def test_hash_pairs_against_brute_force(spark):
         assert {tuple(r) for r in cu.near_pairs(df, distance).collect()} == want
 
 
+def test_hash_pairs_under_a_crowded_band(spark):
+    """Hashes with common bits are divided again and again; all of a small ball, and hashes of both signs, are compared."""
+    rng = random.Random(6)
+    values = {rng.getrandbits(40) << 22 for _ in range(1500)} | {rng.getrandbits(12) << 50 for _ in range(800)} | {1 << i for i in range(63)} | {0}
+    values |= {v ^ 1 << rng.randrange(64) for v in rng.sample(sorted(values), 300)}
+    values = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "canonical_hash_int long")
+    bits = [v & (1 << 64) - 1 for v in values]
+    for distance in (1, 2, 3):
+        want = {(*sorted((values[i], values[j])), (bits[i] ^ bits[j]).bit_count()) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= distance}
+        got = [tuple(r) for r in cu.hash_pairs(df, distance).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_million_hashes_half_of_them_alike_in_a_band(spark):
+    n = 1_000_000
+    far = F.xxhash64("id")
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.shiftleft(far, 22)).otherwise(far).alias("h"), "id")
+    twin = rows.where("id % 1000 < 2").select(F.expr("h ^ shiftleft(1L, cast(id % 63 AS int))").alias("h"))
+    made = rows.select("h").unionByName(twin).withColumnRenamed("h", "canonical_hash_int")
+    found = {r["hamming_distance"]: r["count"] for r in cu.hash_pairs(made, 2).groupBy("hamming_distance").count().collect()}
+    assert found[1] >= 2000 and sum(found.values()) < 4000
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(100, 101)], "a int, b int")
