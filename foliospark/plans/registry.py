@@ -17,6 +17,7 @@ from ..operators import entities as en
 from ..operators import evaluation as ev
 from ..operators import routing as ro
 from ..schemas import ALLOWED, FIELD_GROUPS, LABELS, label_table
+from ..sources.files import label_files, original_files
 from ..storage import store
 from . import inputs as i
 
@@ -205,6 +206,12 @@ def box_yolo_text(spark, d):
     return b.select("image_id", "box_idx", g.yolo_line(F.col("cls_id"), g.yolo_fields(bx.CORNERS, *_size())).alias("line"))
 
 
+@query(f"WITH {i.BOXES}, y AS (SELECT image_id, box_idx, cls_id, {_YOLO} FROM boxes WHERE conf >= 0.05) SELECT 'labels/' || o_orderkey || '.txt' AS name, coalesce(string_agg(printf('%d %.6f %.6f %.6f %.6f', cls_id, xc, yc, w, h) || chr(10), '' ORDER BY box_idx), '') AS content FROM orders LEFT JOIN y ON image_id = o_orderkey GROUP BY o_orderkey")
+def box_label_files(spark, d):
+    sure = i.boxes(spark, d).where("conf >= 0.05").withColumns(dict(zip(("width", "height"), _size())))
+    return label_files(sure, i.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id")))
+
+
 _PAIR = (
     "pairs AS (SELECT a.image_id, a.box_idx AS a, b.box_idx AS b, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, greatest(a.x2, b.x2) AS x2, greatest(a.y2, b.y2) AS y2, greatest(a.conf, b.conf) AS conf, CASE WHEN a.conf >= b.conf THEN a.cls_id ELSE b.cls_id END AS cls_id "
     "FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_idx < b.box_idx WHERE greatest(a.y2 - a.y1, b.y2 - b.y1) > 0 "
@@ -410,6 +417,15 @@ def text_shorten_strip(spark, d):
     return i.table(spark, d, "documents").select("doc_id", t.shorten(F.col("text"), 42).alias("short"), t.strip_text(F.col("text")).alias("stripped"))
 
 
+@query(
+    f"WITH {i.RECORDS}, s AS (SELECT *, regexp_replace(regexp_replace(split_part(path, '/', -1), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS z FROM (SELECT record_id, split_name, class_name, path || '/Scan ' || record_id || '.JPG' AS path FROM recs)) "
+    "SELECT record_id, concat_ws('/', split_name, class_name, 'orig_' || regexp_replace(z, '\.JPG$', '') || '_' || lpad(CAST(row_number() OVER (PARTITION BY split_name, class_name ORDER BY path, record_id) - 1 AS VARCHAR), 6, '0') || '.jpg') AS name FROM s"
+)
+def curate_original_files(spark, d):
+    rows = i.records(spark, d).withColumn("path", F.concat("path", F.lit("/Scan "), "record_id", F.lit(".JPG")))
+    return original_files(rows, ["path", "record_id"]).select("record_id", "name")
+
+
 @query("SELECT DISTINCT l_linenumber, l_suppkey % 4 AS k, CAST(((l_suppkey % 4) * 90 - (l_linenumber % 4) * 90 + 360) % 360 AS INT) AS rotation FROM lineitem")
 def required_rotation(spark, d):
     rows = i.table(spark, d, "lineitem").select("l_linenumber", (F.col("l_suppkey") % 4).alias("k")).distinct()

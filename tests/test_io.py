@@ -12,7 +12,7 @@ from foliospark.operators import evaluation as ev
 from foliospark.operators import routing as ro
 from foliospark.operators.scoring import StandIn, augmented_images, cropped, image_records, loaded, mask_visuals, normalize_images, suppress
 from foliospark.plans.extraction import extract
-from foliospark.sources import readers, writers
+from foliospark.sources import files, readers, writers
 from foliospark.streaming import ingest
 
 
@@ -208,3 +208,66 @@ def test_scratch_nested_and_threaded(spark):
             other = pool.submit(store, spark.range(1), "other").result()
         assert there(outer)
     assert not there(outer) and there(other)
+
+
+def test_named_files_as_a_whole_or_not_at_all(spark, tmp_path):
+    at = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"labels/{i % 7}/{i}.txt", f"{i}\n".encode()) for i in range(200)] + [("é ü.bin", None)], "name string, content binary").repartition(5)
+    files.write_files(rows, at)
+    assert len(files.list_files(at)) == 201 and (tmp_path / "out/labels/3/10.txt").read_bytes() == b"10\n" and (tmp_path / "out/é ü.bin").read_bytes() == b""
+    with pytest.raises(Exception, match="already"):
+        files.write_files(rows, at)
+    for bad in ("../x", "/x", "a//b", ""):
+        broken = rows.unionByName(spark.createDataFrame([(bad, b"x")], "name string, content binary"))
+        with pytest.raises(Exception, match="not the name"):
+            files.write_files(broken, at, overwrite=True)
+        assert len(files.list_files(at)) == 201  # as before
+    with pytest.raises(ValueError, match="only ones"):
+        files.write_files(rows.unionByName(rows), at, overwrite=True)
+    files.write_files(rows.limit(3), "file:" + at, overwrite=True)
+    assert len(files.list_files("file://" + at)) == 3
+    files.write_files(rows.limit(0), str(tmp_path / "none"))
+    assert files.list_files(str(tmp_path / "none")) == []
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none", "out"]  # nothing staged is left
+
+
+def test_failed_attempts_leave_nothing(spark, tmp_path):
+    """An attempt that fails half way and is tried again: every file once, whole."""
+    writer = files._Writer(str(tmp_path / "tree"), False)
+    rows = [{"name": f"a/{i}.txt", "content": b"x" * i} for i in range(20)]
+
+    def dies():
+        yield from rows[:7]
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(dies())
+    message = writer.write(iter(rows))
+    assert (message.files, message.size) == (20, sum(range(20)))
+    writer.commit([message])
+    assert len(files.list_files(str(tmp_path / "tree"))) == 20 and [p.name for p in tmp_path.iterdir()] == ["tree"]
+    lost = files._Writer(str(tmp_path / "tree2"), False)
+    lost.write(iter(rows))
+    lost.abort([None])
+    assert [p.name for p in tmp_path.iterdir()] == ["tree"]
+
+
+def test_published_names(spark, tmp_path):
+    for name, split in (("a b.PNG", "train"), ("bad.png", "train"), ("c.png", "valid")):
+        folder = tmp_path / "in" / split / "90"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"no image") if name == "bad.png" else png(folder / name, receipt())
+    plain = F.regexp_replace(F.regexp_replace("path", "%20", " "), "^file:/+", "/")
+    images = readers.read_images(spark, str(tmp_path / "in")).withColumn("path", plain)
+    bytes_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "in")).select("path", "content")
+    records = images.where("ok").select(F.col("split").alias("split_name"), "class_name", "path").join(bytes_.withColumn("path", plain), "path")
+    broken = files.failed_files(images, str(tmp_path / "in")).select("name", F.lit(b"no image").alias("content"))
+    boxes = spark.createDataFrame([("c", 1, 0.0, 0.0, 10.0, 20.0, 3, 100, 100), ("c", 0, 50.0, 50.0, 60.0, 60.0, 0, 100, 100)], "image_id string, box_idx int, x1 double, y1 double, x2 double, y2 double, cls_id int, width int, height int")
+    labels = files.label_files(boxes, spark.createDataFrame([("c",), ("empty",)], "image_id string"))
+    tree = files.original_files(records).select("name", "content").unionByName(broken).unionByName(labels.withColumn("content", F.col("content").cast("binary")))
+    files.write_files(tree, str(tmp_path / "out"))
+    assert files.list_files(str(tmp_path / "out")) == ["errors/train/90/bad.png", "labels/c.txt", "labels/empty.txt", "train/90/orig_a_b_000000.png", "valid/90/orig_c_000000.png"]
+    assert (tmp_path / "out/labels/c.txt").read_text() == "0 0.550000 0.550000 0.100000 0.100000\n3 0.050000 0.100000 0.100000 0.200000\n"
+    assert (tmp_path / "out/train/90/orig_a_b_000000.png").read_bytes() == (tmp_path / "in/train/90/a b.PNG").read_bytes()
+    picks = spark.createDataFrame([("0", "90", "doc_000012", "r", "/x/a b.jpg", 270)], "target_class string, source_class string, document_group_id string, record_id string, path string, rotation_applied int")
+    assert files.augmented_files(picks).first().name == "train/0/aug_target_0_from_90_rot_270_doc_000012_a_b_000000.png"
