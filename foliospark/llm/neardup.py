@@ -3,12 +3,17 @@
 Copies of one shingle set, known by 128 bits and its size, are one node. Bands of registers bring nodes into
 buckets; in each bucket every node is paired with the bucket's least node
 only, and pairs whose similarity, estimated jointly by likelihood, is far too
-low are dropped. What hangs together so is a candidate group. Inside a group,
+low are dropped. A node that is unlike the least node of a bucket of several,
+as pages made of shared blocks are, might miss a link so: these nodes are filed
+again by a fine sketch, in whose long bands unlike nodes hardly meet. What hangs
+together is a candidate group. Inside a group,
 all links are confirmed on the full shingle sets. A group of more than two
 blocks is dealt out: each block by itself, then each block with the group's
 most linked nodes; what a few blocks hold of loose nodes then meets every
-block. A group with more of them (pages of one template, say) is grouped anew,
-by the rarest fifth of each set: two linked sets share a shingle there,
+block. A group with more of them is grouped anew, by the fine sketch alone, so
+that what hung together over estimates that were a little too high falls apart;
+if many are still loose (pages of one template, say), by
+the rarest fifth of each set: two linked sets share a shingle there,
 whatever order of rarity is used, so no link is lost, and pages that have only
 their template in common fall apart. A block's links leave it as a spanning
 forest.
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forgetting, keyed_texts, materialize
@@ -35,6 +40,12 @@ BAND = 5
 #: Estimated similarity to a bucket's least node from which a node joins its candidate group.
 #: Two linked nodes lie within 0.2 (as distance) of each other, so both join unless one is far from all the least nodes.
 FLOOR = 0.45
+#: A node this far from a least node may be linked with one that was dropped there: FLOOR, the distance of linked nodes, and what the estimate may be off.
+SETTLED = 0.7
+#: Registers of the fine sketch, and in a band of it: at similarity 0.8 all 170 bands miss a pair with odds of 6e-6, at 0.45 one of them joins a pair with odds of 1 %.
+FINE_REGISTERS = 2048
+FINE_BAND = 12
+FINE_FLOOR = 0.55
 BLOCK = 256
 #: Texts of a large group from which the order of its shingles' rarity is taken. Links do not depend on it.
 SAMPLE = 64
@@ -56,16 +67,50 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(forgetting(run, forget), "doc_id long, n_shingles long, mark binary, registers binary")
 
 
-def _similar(pairs: DataFrame, floor: float) -> DataFrame:
+def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v, ...) with their estimated similarity: u, v, crowd, similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
             found = estimate(a, b, *(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(found >= floor))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("crowd"), pa.array(found)], ["u", "v", "crowd", "similarity"])
+
+    side = lambda key, tag: nodes.select(F.col("node").alias(key), F.col("n").alias(f"n{tag}"), F.col("registers").alias(f"r{tag}"))
+    given = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "crowd", "na", "nb", "ra", "rb")
+    return given.mapInArrow(run, "u long, v long, crowd long, similarity double")
+
+
+def _bands(registers: int, band: int) -> Column:
+    """The buckets that registers file a node under."""
+    return F.expr(f"explode(transform(sequence(0, {registers // band - 1}), b -> xxhash64(b, substring(registers, b * {2 * band} + 1, {2 * band}))))").alias("bucket")
+
+
+def _by_fine_sketch(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Pairs (u, v) of the wanted nodes that are alike by the fine sketch.
 
-    return pairs.mapInArrow(run, "u long, v long")
+    In each bucket every node is paired with the least and with one that a hash
+    picks, so a node of smaller id that is unlike all others hides none of them
+    for long: a link is missed where neither end is picked in any of the some
+    eleven buckets that its ends share, odds of (f / (f + 2)) ** 22 with f unlike
+    nodes in each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            registers = [sketch(shingles(text, size), FINE_REGISTERS).astype("<u2").tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(registers, pa.binary())], ["node", "registers"])
+
+    held = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+    fine = held.mapInArrow(forgetting(run, forget), "node long, registers binary")
+    rows = materialize(fine.select("node", _bands(FINE_REGISTERS, FINE_BAND)).distinct(), "fine")
+    picked = F.min_by("node", F.xxhash64("bucket", "node"))
+    hubs = rows.groupBy("bucket").agg(F.min("node").alias("least"), picked.alias("picked"), F.count("*").alias("crowd")).where("crowd > 1")
+    met = rows.join(materialize(hubs, "hubs"), "bucket").select("node", "crowd", F.explode(F.array("least", "picked")).alias("hub")).where("hub <> node")
+    pairs = met.groupBy(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).agg(F.max("crowd").alias("crowd"))
+    return _similar(pairs, nodes).where(F.col("similarity") >= FINE_FLOOR).select("u", "v")
 
 
 def confirmed_links(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
@@ -223,8 +268,8 @@ def _by_rarest(members: DataFrame, size: int, percent: int) -> DataFrame:
     return materialize(connected_components(pairs), "groups")
 
 
-def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block: int, hubs: int = 8, anew: bool = True) -> DataFrame:
-    """Edges (u, v) that connect what the links inside all groups (node, component) connect."""
+def _links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, block: int, hubs: int = 8, anew: int = 0) -> DataFrame:
+    """Edges (u, v) that connect what the links inside all groups (node, component) connect; anew: how often they were grouped anew."""
     n_blocks = F.when(F.count("*") > 2 * block, F.ceil(F.count("*") / block)).otherwise(1).cast("int")
     blocks = materialize(groups.groupBy(F.col("component").alias("group")).agg(n_blocks.alias("blocks")), "blocks")
     placed = groups.withColumnRenamed("component", "group").join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -252,12 +297,14 @@ def _links(groups: DataFrame, texts: DataFrame, size: int, percent: int, block:
     groups_left, most = loose_blocks.agg(F.count("*"), F.max("loose_blocks")).first()
     if not groups_left:
         return edges
-    if anew:
-        many = loose_blocks.where(F.col("loose_blocks") > FEW)
-        if most > FEW:
-            again = _by_rarest(wide.join(many.select("group"), "group", "left_semi"), size, percent)
-            edges = edges.unionByName(_links(again, texts, size, percent, block, hubs, anew=False))
-            loose_blocks = loose_blocks.where(F.col("loose_blocks") <= FEW)
+    if anew < 2 and most > FEW:
+        many = wide.join(loose_blocks.where(F.col("loose_blocks") > FEW).select("group"), "group", "left_semi")
+        if anew:
+            again = _by_rarest(many, size, percent)
+        else:
+            again = materialize(connected_components(_by_fine_sketch(many, nodes, texts, size)), "groups")
+        edges = edges.unionByName(_links(again, nodes, texts, size, percent, block, hubs, anew + 1))
+        loose_blocks = loose_blocks.where(F.col("loose_blocks") <= FEW)
     # Few loose ones, or sets that share their rarest shingles too and are still not linked: every loose one meets every block.
     wide = wide.join(loose_blocks, "group")
     every = wide.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1))})
@@ -282,16 +329,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = M
     least = materialize(given.groupBy("mark").agg(F.min("doc_id").alias("node")), "copies")
     nodes = given.join(least, (given["doc_id"] == least["node"]) & (given["mark"] == least["mark"])).select("node", F.col("n_shingles").alias("n"), "registers")
 
-    band = f"explode(transform(sequence(0, {REGISTERS // BAND - 1}), b -> xxhash64(b, substring(registers, b * {2 * BAND} + 1, {2 * BAND}))))"
-    rows = nodes.select(F.expr(band).alias("bucket"), "node")
-    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+    nodes = materialize(nodes, "nodes")
+    rows = nodes.select(_bands(REGISTERS, BAND), "node")
+    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("crowd")).where("hub < last").drop("last")
     # Stored first: between two stored tables Spark can split a bucket that very many nodes share.
-    pairs = rows.join(materialize(hubs, "hubs"), "bucket").where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    side = lambda key, tag: nodes.select(F.col("node").alias(key), F.col("n").alias(f"n{tag}"), F.col("registers").alias(f"r{tag}"))
-    near = _similar(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "na", "nb", "ra", "rb"), FLOOR)
-    groups = materialize(connected_components(near), "groups")
-
-    links = connected_components(_links(groups, texts, size, percent, block))
+    met = rows.join(materialize(hubs, "hubs"), "bucket").where("hub <> node")
+    pairs = met.groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.max("crowd").alias("crowd"))
+    near = materialize(_similar(pairs, nodes), "near")
+    alike = near.where(F.col("similarity") >= FLOOR).select("u", "v")
+    unsettled = materialize(near.where((F.col("similarity") < SETTLED) & (F.col("crowd") > 2)).select(F.col("v").alias("node")).distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        alike = alike.unionByName(_by_fine_sketch(unsettled, nodes, texts, size)).distinct()
+    groups = materialize(connected_components(alike), "groups")
+
+    links = connected_components(_links(groups, nodes, texts, size, percent, block))
 
     classes = materialize(least.join(links, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id")), "classes")
     found = sketches.drop("registers").join(classes, "mark", "left")
