@@ -709,12 +709,12 @@ def test_pages_of_shared_blocks_are_told_apart(spark):
     """Pages of a random half of sixty lines: each meets very many that are unlike it, and keeps its links."""
     rng = random.Random(1)
     lines = [" ".join(f"w{rng.randrange(5000)}" for _ in range(10)) for _ in range(60)]
-    pages = [[x for x in lines if rng.random() < 0.5] for _ in range(1500)]
+    pages = [[x for x in lines if rng.random() < 0.5] for _ in range(500)]
     planted = []
-    for k in range(60):
-        a = rng.randrange(1500)
+    for k in range(30):
+        a = rng.randrange(500)
         pages.append([x + " extra" * (i == 3) for i, x in enumerate(pages[a])])
         planted.append((a, len(pages) - 1))
     want = brute_components([(i, "\n".join(p)) for i, p in enumerate(pages)])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, [(i, "\n".join(p)) for i, p in enumerate(pages)]), block=32).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, [(i, "\n".join(p)) for i, p in enumerate(pages)]), block=64).collect()}
     assert got == want and all(got[a][1] == got[b][1] for a, b in planted)
