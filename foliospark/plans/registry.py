@@ -345,12 +345,13 @@ def class_balance_need(spark, d):
     return cu.class_needs(rows, dim).join(ratio, "class_name")
 
 
-_ADVICE = ", ".join(f"({a}, {b})" for a, b in ((0, 5), (0, 0), (3, 3), (3, 2), (7, 2), (9, 1)))
-
-
-@query(f"WITH p(largest, least) AS (VALUES {_ADVICE}) SELECT CAST(largest AS INT) AS largest, CAST(least AS INT) AS least, CASE WHEN least = 0 THEN 'missing' WHEN largest / least <= 1.5e0 THEN 'balanced' WHEN largest / least <= 3 THEN 'moderate' ELSE 'severe' END AS advice FROM p")
+@query(
+    "SELECT l_suppkey, greatest(a, n, r) AS largest, least(a, n, r) AS least, CASE WHEN least(a, n, r) = 0 THEN 'missing' WHEN greatest(a, n, r) / least(a, n, r) <= 1.5e0 THEN 'balanced' WHEN greatest(a, n, r) / least(a, n, r) <= 3 THEN 'moderate' ELSE 'severe' END AS advice "
+    "FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_suppkey)"
+)
 def imbalance_advice(spark, d):
-    rows = spark.createDataFrame([(0, 5), (0, 0), (3, 3), (3, 2), (7, 2), (9, 1)], "largest int, least int")
+    counts = i.table(spark, d, "lineitem").groupBy("l_suppkey").agg(*(F.count_if(F.col("l_returnflag") == f).alias(f) for f in "ANR"))
+    rows = counts.select("l_suppkey", F.greatest(*"ANR").alias("largest"), F.least(*"ANR").alias("least"))
     return rows.withColumn("advice", s.imbalance_advice(s.imbalance(F.col("largest"), F.col("least"))))
 
 
@@ -479,9 +480,10 @@ def log_kinds(spark, d):
     return ev.log_kinds(sparse).select("event_id", "kind")
 
 
-@query("SELECT CAST(range + 1 AS INT) AS epoch, round(0.5e0 * 0.001e0 * (1 + cos(3.141592653589793e0 * range / 30)), 10) AS lr FROM range(30)")
+@query("SELECT event_id, CAST(user_id % 30 + 1 AS INT) AS epoch, round(0.5e0 * 0.001e0 * (1 + cos(3.141592653589793e0 * (user_id % 30) / 30)), 10) AS lr FROM events")
 def lr_cosine(spark, d):
-    return spark.range(1, 31).select(F.col("id").cast("int").alias("epoch"), F.round(s.cosine_rate(0.001, F.col("id"), 30), 10).alias("lr"))
+    steps = i.table(spark, d, "events").select("event_id", (F.col("user_id") % 30 + 1).cast("int").alias("epoch"))
+    return steps.withColumn("lr", F.round(s.cosine_rate(0.001, F.col("epoch"), 30), 10))
 
 
 # Batches, sets, logs
@@ -518,9 +520,9 @@ def record_names(spark, d):
 _COLOURS = ", ".join(f"('{k}', '{v}')" for k, v in t.LABEL_COLOURS.items())
 
 
-@query(f"WITH l(label_id, label) AS (VALUES {', '.join(f'({k}, {v!r})' for k, v in enumerate(LABELS))}), c(base, colour) AS (VALUES {_COLOURS}) SELECT CAST(label_id AS INT) AS label_id, label, coalesce(colour, '#333333') AS colour FROM l LEFT JOIN c ON regexp_replace(label, '_PREFIX$', '') = base")
+@query(f"WITH {_KIE}, c(base, colour) AS (VALUES {_COLOURS}) SELECT image_id, token_idx AS idx, label, coalesce(colour, '#333333') AS colour FROM named LEFT JOIN c ON regexp_replace(label, '_PREFIX$', '') = base")
 def label_colours(spark, d):
-    return label_table(spark).select("label_id", "label", t.label_colour(F.col("label")).alias("colour"))
+    return _labelled(spark, d).select("image_id", "idx", "label", t.label_colour(F.col("label")).alias("colour"))
 
 
 _LATEX = reduce(lambda e, sign: f"replace({e}, '{sign[0]}', '{sign[1]}')", t.LATEX, "p_name || ' & 5% #_ $x {y} ~ ^'")
