@@ -42,9 +42,9 @@ BAND = 5
 FLOOR = 0.45
 #: A node this far from a least node may be linked with one that was dropped there: FLOOR, the distance of linked nodes, and what the estimate may be off.
 SETTLED = 0.7
-#: Registers of the fine sketch, and in a band of it: at similarity 0.8 all 170 bands miss a pair with odds of 6e-6, at 0.45 one of them joins a pair with odds of 1 %.
-FINE_REGISTERS = 2048
-FINE_BAND = 12
+#: Registers of the fine sketch, and in a band of it: at similarity 0.8 all 102 bands miss a pair with odds of 1e-5, at 0.45 one of them joins a pair with odds of 3 %.
+FINE_REGISTERS = 1024
+FINE_BAND = 10
 FINE_FLOOR = 0.55
 BLOCK = 256
 #: Texts of a large group from which the order of its shingles' rarity is taken. Links do not depend on it.
@@ -94,8 +94,8 @@ def _by_fine_sketch(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size:
     In each bucket every node is paired with the least, and with the first by
     one of four orders of hashes, so a node of smaller id that is unlike all
     others hides none of them for long. Linked nodes share some eleven buckets.
-    With one unlike node in each of them, which takes a million pages that are
-    0.3 similar, a link is missed with odds of about 1e-6. The orders are few,
+    With one unlike node in each of them, which takes some 200,000 pages that
+    are 0.3 similar, a link is missed with odds of about 1e-6. The orders are few,
     so that in a large group of near copies most buckets agree on whom to pick.
     """
 
@@ -109,7 +109,8 @@ def _by_fine_sketch(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size:
     rows = materialize(fine.select("node", _bands(FINE_REGISTERS, FINE_BAND)).distinct(), "fine")
     picked = F.min_by("node", F.xxhash64("node", F.pmod("bucket", F.lit(4))))
     hubs = rows.groupBy("bucket").agg(F.min("node").alias("least"), picked.alias("picked"), F.count("*").alias("crowd")).where("crowd > 1")
-    met = rows.join(materialize(hubs, "hubs"), "bucket").select("node", "crowd", F.explode(F.array("least", "picked")).alias("hub")).where("hub <> node")
+    met = rows.join(materialize(hubs, "hubs"), "bucket").groupBy("node", "least", "picked").agg(F.max("crowd").alias("crowd"))
+    met = met.select("node", "crowd", F.explode(F.array("least", "picked")).alias("hub")).where("hub <> node")
     pairs = met.groupBy(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).agg(F.max("crowd").alias("crowd"))
     return _similar(pairs, nodes).where(F.col("similarity") >= FINE_FLOOR).select("u", "v")
 
