@@ -420,7 +420,7 @@ def text_shorten_strip(spark, d):
 
 @query(
     f"WITH {i.RECORDS}, s AS (SELECT *, regexp_replace(regexp_replace(split_part(path, '/', -1), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS z FROM (SELECT record_id, split_name, class_name, path || '/Scan ' || record_id || '.JPG' AS path FROM recs)) "
-    "SELECT record_id, concat_ws('/', split_name, class_name, 'orig_' || regexp_replace(z, '\.JPG$', '') || '_' || lpad(CAST(row_number() OVER (PARTITION BY split_name, class_name ORDER BY path, record_id) - 1 AS VARCHAR), 6, '0') || '.jpg') AS name FROM s"
+    "SELECT record_id, concat_ws('/', split_name, class_name, 'orig_' || regexp_replace(z, '[.]JPG$', '') || '_' || lpad(CAST(row_number() OVER (PARTITION BY split_name, class_name ORDER BY path, record_id) - 1 AS VARCHAR), 6, '0') || '.jpg') AS name FROM s"
 )
 def curate_original_files(spark, d):
     rows = i.records(spark, d).withColumn("path", F.concat("path", F.lit("/Scan "), "record_id", F.lit(".JPG")))
