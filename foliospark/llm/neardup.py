@@ -3,9 +3,10 @@
 Copies of one shingle set, known by 128 bits and its size, are one node. Bands of registers bring nodes into
 buckets; in each bucket every node is paired with the bucket's least node
 only, and pairs whose similarity, estimated jointly by likelihood, is far too
-low are dropped. A node that is unlike the least node of a bucket of several,
-as pages made of shared blocks are, might miss a link so: these nodes are filed
-again by a fine sketch, in whose long bands unlike nodes hardly meet. What hangs
+low are dropped. Two nodes of a bucket that are unlike its least node, as pages
+made of shared blocks are, might miss their link so: nodes of which that holds
+in several buckets are filed again by a fine sketch, in whose long bands unlike
+nodes hardly meet. What hangs
 together is a candidate group. Inside a group,
 all links are confirmed on the full shingle sets. A group of more than two
 blocks is dealt out: each block by itself, then each block with the group's
@@ -42,6 +43,8 @@ BAND = 5
 FLOOR = 0.45
 #: A node this far from a least node may be linked with one that was dropped there: FLOOR, the distance of linked nodes, and what the estimate may be off.
 SETTLED = 0.7
+#: Buckets in which a node's links might be lost, from which it is filed again. With two such, the other 23 miss a link at similarity 0.8 with odds of 1e-4.
+RISKY = 3
 #: Registers of the fine sketch, and in a band of it: at similarity 0.8 all 102 bands miss a pair with odds of 1e-5, at 0.45 one of them joins a pair with odds of 3 %.
 FINE_REGISTERS = 1024
 FINE_BAND = 10
@@ -68,7 +71,7 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v, ...) with their estimated similarity: u, v, crowd, similarity."""
+    """Pairs (u, v) with their estimated similarity: u, v, similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,11 +79,11 @@ def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
             found = estimate(a, b, *(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("crowd"), pa.array(found)], ["u", "v", "crowd", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found)], ["u", "v", "similarity"])
 
     side = lambda key, tag: nodes.select(F.col("node").alias(key), F.col("n").alias(f"n{tag}"), F.col("registers").alias(f"r{tag}"))
-    given = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "crowd", "na", "nb", "ra", "rb")
-    return given.mapInArrow(run, "u long, v long, crowd long, similarity double")
+    given = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "na", "nb", "ra", "rb")
+    return given.mapInArrow(run, "u long, v long, similarity double")
 
 
 def _bands(registers: int, band: int) -> Column:
@@ -88,6 +91,20 @@ def _bands(registers: int, band: int) -> Column:
     return F.expr(f"explode(transform(sequence(0, {registers // band - 1}), b -> xxhash64(b, substring(registers, b * {2 * band} + 1, {2 * band}))))").alias("bucket")
 
 
+def _risky(met: DataFrame, near: DataFrame) -> DataFrame:
+    """Nodes that might have lost links in RISKY buckets or more.
+
+    A link of two nodes is lost in a bucket only if one of them was dropped
+    there and both are less than SETTLED similar to its least node: a node more
+    similar keeps all its linked ones, as distances add up. So a bucket puts
+    its far nodes at risk if there are several and one was dropped.
+    """
+    far = near.where(F.col("similarity") < SETTLED).select(F.col("u").alias("hub"), F.col("v").alias("node"), "similarity")
+    placed = materialize(met.join(far, ["hub", "node"]).select("bucket", "node", "similarity"), "far")
+    unsafe = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("similarity").alias("least")).where((F.col("n") > 1) & (F.col("least") < FLOOR))
+    return placed.join(materialize(unsafe.select("bucket"), "unsafe"), "bucket").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= RISKY).select("node")
+
+
 def _by_fine_sketch(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Pairs (u, v) of the wanted nodes that are alike by the fine sketch.
 
@@ -108,10 +125,10 @@ def _by_fine_sketch(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size:
     fine = held.mapInArrow(forgetting(run, forget), "node long, registers binary")
     rows = materialize(fine.select("node", _bands(FINE_REGISTERS, FINE_BAND)).distinct(), "fine")
     picked = F.min_by("node", F.xxhash64("node", F.pmod("bucket", F.lit(4))))
-    hubs = rows.groupBy("bucket").agg(F.min("node").alias("least"), picked.alias("picked"), F.count("*").alias("crowd")).where("crowd > 1")
-    met = rows.join(materialize(hubs, "hubs"), "bucket").groupBy("node", "least", "picked").agg(F.max("crowd").alias("crowd"))
-    met = met.select("node", "crowd", F.explode(F.array("least", "picked")).alias("hub")).where("hub <> node")
-    pairs = met.groupBy(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).agg(F.max("crowd").alias("crowd"))
+    hubs = rows.groupBy("bucket").agg(F.min("node").alias("least"), picked.alias("picked"), F.max("node").alias("last")).where("least < last").drop("last")
+    met = rows.join(materialize(hubs, "hubs"), "bucket").select("node", "least", "picked").distinct()
+    met = met.select("node", F.explode(F.array("least", "picked")).alias("hub")).where("hub <> node")
+    pairs = met.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
     return _similar(pairs, nodes).where(F.col("similarity") >= FINE_FLOOR).select("u", "v")
 
 
@@ -333,13 +350,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = M
 
     nodes = materialize(nodes, "nodes")
     rows = nodes.select(_bands(REGISTERS, BAND), "node")
-    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("crowd")).where("hub < last").drop("last")
+    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     # Stored first: between two stored tables Spark can split a bucket that very many nodes share.
-    met = rows.join(materialize(hubs, "hubs"), "bucket").where("hub <> node")
-    pairs = met.groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.max("crowd").alias("crowd"))
+    met = materialize(rows.join(materialize(hubs, "hubs"), "bucket").where("hub <> node").select("bucket", "hub", "node"), "met")
+    pairs = met.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     near = materialize(_similar(pairs, nodes), "near")
     alike = near.where(F.col("similarity") >= FLOOR).select("u", "v")
-    unsettled = materialize(near.where((F.col("similarity") < SETTLED) & (F.col("crowd") > 2)).select(F.col("v").alias("node")).distinct(), "unsettled")
+    unsettled = materialize(_risky(met, near), "unsettled")
     if not unsettled.isEmpty():
         alike = alike.unionByName(_by_fine_sketch(unsettled, nodes, texts, size)).distinct()
     groups = materialize(connected_components(alike), "groups")
