@@ -52,8 +52,8 @@ FINE_FLOOR = 0.55
 BLOCK = 256
 #: Texts of a large group from which the order of its shingles' rarity is taken. Links do not depend on it.
 SAMPLE = 64
-#: Blocks of loose nodes up to which they meet every block of their group, which is linear in the group's size.
-FEW = 4
+#: Blocks of loose nodes up to which they meet every block of their group, which is linear in the group's size and cheaper than grouping it anew.
+FEW = 8
 
 
 def _sketches(texts: DataFrame, size: int) -> DataFrame:
