@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from math import ceil, floor, log2
+from math import ceil, floor, inf, log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import MAX_CENTRE, MAX_GAP, MAX_OVERLAP, MIN_AREA, box_area, expand_box, merge_boxes, same_line
-from ..schemas import DETECTOR_CONF
+from ..schemas import DETECTOR_CONF, NMS_IOU
+from ..storage import bound_batches
 
 CORNERS = ("x1", "y1", "x2", "y2")
+#: Rows of an Arrow batch where a row is a band of an image.
+IMAGE_BANDS = 1024
 _MERGED = "image_id {key}, band long, place int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int"
 
 
@@ -202,3 +205,83 @@ def merge_lines(boxes: DataFrame) -> DataFrame:
     lines = held.mapInPandas(run, _MERGED.format(key=key))
     order = Window.partitionBy("image_id").orderBy("y1", "x1", "band", "place")
     return lines.select("image_id", (F.row_number().over(order) - 1).alias("box_idx"), *CORNERS, "conf", "cls_id")
+
+
+class _Kept:
+    """Kept boxes, asked whether one of them overlaps a box too much.
+
+    Boxes are kept by the powers of two of their width and height, in cells of
+    that size by their centre. Boxes that share more than max_overlap of their
+    union are alike in size, so few classes are looked at; and as kept boxes
+    hardly overlap, a cell holds few of them, however many boxes there are.
+    """
+
+    def __init__(self, max_overlap: float):
+        self.max_overlap = max_overlap
+        self.unlike = 2 / max_overlap * (1 + 1e-9) if max_overlap > 0 else inf  # powers of two are off by less than two
+        self.classes: dict[tuple[float, float], dict[tuple[int, int], list[tuple]]] = {}
+
+    def add(self, box: tuple) -> None:
+        x1, y1, x2, y2, _ = box
+        wide, tall = _power(x2 - x1), _power(y2 - y1)
+        cell = floor((x1 + x2) / 2 / wide), floor((y1 + y2) / 2 / tall)
+        self.classes.setdefault((wide, tall), {}).setdefault(cell, []).append(box)
+
+    def overlaps(self, box: tuple) -> bool:
+        x1, y1, x2, y2, area = box
+        width, height, across, down = _power(x2 - x1), _power(y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2
+        for (wide, tall), cells in self.classes.items():
+            if max(wide / width, width / wide, tall / height, height / tall) > self.unlike:
+                continue
+            far, deep = (wide + width) / 2, (tall + height) / 2
+            columns = range(floor((across - far) / wide), floor((across + far) / wide) + 1)
+            rows = range(floor((down - deep) / tall), floor((down + deep) / tall) + 1)
+            near = cells if len(cells) < len(columns) * len(rows) else ((c, r) for c in columns for r in rows)
+            for at in near:
+                for a1, b1, a2, b2, other in cells.get(at, ()):
+                    shared = max(min(x2, a2) - max(x1, a1), 0.0) * max(min(y2, b2) - max(y1, b1), 0.0)
+                    if shared > self.max_overlap * max(other + area - shared, 1e-9):
+                        return True
+        return False
+
+
+def survivors(boxes: list[tuple], max_overlap: float) -> list[int]:
+    """Places of the boxes (x1, y1, x2, y2), surest first, that overlap none of the kept ones before them too much."""
+    kept, out = _Kept(max_overlap), []
+    for i, corners in enumerate(boxes):
+        x1, y1, x2, y2 = (float("nan") if c is None else c for c in corners)
+        if x2 > x1 and y2 > y1:  # others have no area to share, and null corners none that is known
+            box = (x1, y1, x2, y2, (x2 - x1) * (y2 - y1))
+            if kept.overlaps(box):
+                continue
+            kept.add(box)
+        out.append(i)
+    return out
+
+
+def suppress(detections: DataFrame, max_overlap: float = NMS_IOU, per_class: bool = False) -> DataFrame:
+    """Greedy non-maximum suppression: the detections of each image that share at most max_overlap of their union with each surer one that is kept.
+
+    Equally sure ones go by det_idx, those without conf come last; per_class:
+    only detections of one cls_id suppress each other. All columns stay as they
+    are. Boxes without area or with a null corner stay and suppress nothing;
+    an empty table gives an empty one. Each image is a group of a shuffle, but
+    only a band of it that no box crosses is one row of a task.
+    """
+    bound_batches(detections.sparkSession, IMAGE_BANDS)
+    key = ["image_id", *(["cls_id"] if per_class else [])]
+    given = detections.select(*(F.col(c).alias(f"key_{i}") for i, c in enumerate(key)), F.struct("*").alias("row"))
+    corners = [F.col(f"row.{c}").cast("double").alias(c) for c in CORNERS]
+    sure = F.coalesce(-F.col("row.conf").cast("double"), F.lit(inf)).alias("unsure")
+    boxes = given.select(F.struct(*(f"key_{i}" for i in range(len(key)))).alias("image_id"), F.col("row.det_idx").alias("box_idx"), F.col("row.y1").alias("y1"), F.col("row.y2").alias("y2"), F.struct(sure, F.col("row.det_idx").alias("place"), *corners).alias("box"), "row")
+    # The order is by the box alone: rows may hold columns that have no order.
+    held = in_bands(boxes).groupBy("image_id", "band").agg(F.collect_list(F.struct("box", "row")).alias("boxes"))
+    ordered = held.select(F.array_sort(F.transform("boxes", lambda b, i: F.struct(b["box"].alias("box"), i.alias("i")))).alias("order"), "boxes")
+
+    @F.pandas_udf("array<int>")
+    def kept(bands: pd.Series) -> pd.Series:
+        return bands.map(lambda band: survivors([(b["x1"], b["y1"], b["x2"], b["y2"]) for b in band], max_overlap))
+
+    found = ordered.withColumn("kept", kept(F.col("order.box")))
+    rows = found.select(F.explode(F.transform("kept", lambda i: F.get("boxes", F.get("order", i)["i"])["row"])).alias("row"))
+    return rows.select("row.*")

@@ -293,23 +293,3 @@ def tag_words(words: DataFrame, scorer: Scorer) -> DataFrame:
         return [(r.image_id, i, word, [float(x) for x in logits]) for r, found in zip(given, net.tag(pages)) for i, (word, logits) in enumerate(found)]
 
     return _map_batches(held, ["image_id", "words"], "image_id string, token_idx int, word_id int, logits array<double>", scorer, rows)
-
-
-def suppress(detections: DataFrame, max_overlap: float = 0.45) -> DataFrame:
-    """Greedy non-maximum suppression per image for scorers that do not do it themselves."""
-    schema = detections.schema
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["conf", "det_idx"], ascending=[False, True], kind="stable")
-        box = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        area = np.prod(np.maximum(box[:, 2:] - box[:, :2], 0), axis=1)
-        alive, kept = np.ones(len(rows), bool), []
-        for i in range(len(rows)):
-            if not alive[i]:
-                continue
-            kept.append(i)
-            shared = np.prod(np.maximum(np.minimum(box[i, 2:], box[:, 2:]) - np.maximum(box[i, :2], box[:, :2]), 0), axis=1)
-            alive &= shared <= max_overlap * np.maximum(area[i] + area - shared, 1e-9)
-        return rows.iloc[kept]
-
-    return detections.groupBy("image_id").applyInPandas(one, schema)

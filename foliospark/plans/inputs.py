@@ -31,6 +31,18 @@ BOXES = """boxes AS (SELECT image_id, box_idx, x1, y1, x1 + 10 + q AS x2, y1 + 8
   FROM lineitem GROUP BY ALL))"""
 
 
+def crowded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections: each box three times, moved a little and a little surer each time."""
+    k, idx = F.col("k"), F.col("box_idx")
+    moved = lambda c, by: (F.col(c) + k * by).alias(c)
+    rows = boxes(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    right, down = 1 + idx % 4 * 7, idx % 3
+    return rows.select("image_id", (idx * 3 + k).alias("det_idx"), moved("x1", right), moved("y1", down), moved("x2", right), moved("y2", down), (F.col("conf").cast("double") + k * F.lit(0.25)).alias("conf"), "cls_id")
+
+
+CROWDED_BOXES = BOXES + """, dets AS (SELECT image_id, box_idx * 3 + k AS det_idx, x1 + k * (1 + box_idx % 4 * 7) AS x1, y1 + k * (box_idx % 3) AS y1, x2 + k * (1 + box_idx % 4 * 7) AS x2, y2 + k * (box_idx % 3) AS y2, conf::DOUBLE + k * 0.25e0 AS conf, cls_id
+  FROM boxes, (SELECT unnest([0, 1, 2]) AS k))"""
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-class logits with their true label; ten vectors are an image."""
     e = table(spark, sf_dir, "embeddings")

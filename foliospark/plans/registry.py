@@ -251,6 +251,21 @@ def box_line_merge(spark, d):
     return bx.merge_lines(i.boxes(spark, d))
 
 
+# One step tests the surest waiting detection against the kept ones.
+_SUPPRESSED = (
+    "walk AS (SELECT image_id, list({'x1': x1::DOUBLE, 'y1': y1::DOUBLE, 'x2': x2::DOUBLE, 'y2': y2::DOUBLE, 'conf': conf, 'det_idx': det_idx, 'cls_id': cls_id} ORDER BY conf DESC, det_idx) AS wait, wait[1:0] AS kept FROM dets GROUP BY image_id "
+    "UNION ALL SELECT image_id, wait[2:], CASE WHEN len(list_filter(shares, lambda s: s.shared > 0.45e0 * greatest(s.areas - s.shared, 1e-9))) > 0 THEN kept ELSE list_append(kept, b) END FROM ("
+    "SELECT *, list_transform(kept, lambda k: {'shared': greatest(least(b.x2, k.x2) - greatest(b.x1, k.x1), 0) * greatest(least(b.y2, k.y2) - greatest(b.y1, k.y1), 0), "
+    "'areas': (k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)}) AS shares FROM (SELECT *, wait[1] AS b FROM walk WHERE len(wait) > 0))), "
+    "kept AS (SELECT image_id, unnest(kept) AS b FROM walk WHERE len(wait) = 0)"
+)
+
+
+@query(f"WITH RECURSIVE {i.CROWDED_BOXES}, {_SUPPRESSED} SELECT image_id, b.det_idx AS det_idx, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2, b.conf AS conf, b.cls_id AS cls_id FROM kept")
+def box_suppress(spark, d):
+    return bx.suppress(i.crowded_boxes(spark, d))
+
+
 @query(f"WITH {i.BOXES} SELECT image_id, box_idx, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, box_idx) - 1 AS INT) AS position FROM boxes")
 def box_reading_order(spark, d):
     return bx.reading_order(i.boxes(spark, d)).select("image_id", "box_idx", "position")

@@ -24,7 +24,7 @@ OTHER = "OTHER"
 OTHER_FIELDS = "Other fields"
 OTHER_ID = LABELS.index(OTHER)
 MIN_SCORE = 0.50
-DETECTOR_CONF, SEGMENT_CONF = 0.08, 0.5
+DETECTOR_CONF, SEGMENT_CONF, NMS_IOU = 0.08, 0.5, 0.45
 
 OCR_SCHEMA = "image string, size struct<width:bigint,height:bigint>, bboxes array<array<bigint>>, bboxes_norm array<array<bigint>>, class_ids array<bigint>, tokens array<string>"
 RECORD_SCHEMA = "record_id string, split_name string, class_name string, angle int, path string, canonical_hash_int long, canonical_hash_hex string"

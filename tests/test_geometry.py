@@ -1,4 +1,5 @@
 import random
+import time
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -114,3 +115,52 @@ def test_line_pairs_of_a_crowded_image(spark):
     assert {(r.a, r.b) for r in bx.line_pairs(make(some)).collect()} == want and want
     page = [(1, i, 12.0 * (i % 40), 14.0 * (i // 40), 12.0 * (i % 40) + 10, 14.0 * (i // 40) + 10) for i in range(20_000)]
     assert bx.line_pairs(make(page)).count() == 500 * 39
+
+
+def plain_suppression(boxes, most):
+    kept = []
+    for i, (x1, y1, x2, y2) in enumerate(boxes):
+        for k in kept:
+            a1, b1, a2, b2 = boxes[k]
+            shared = max(min(x2, a2) - max(x1, a1), 0) * max(min(y2, b2) - max(y1, b1), 0)
+            if shared > most * max((a2 - a1) * (b2 - b1) + (x2 - x1) * (y2 - y1) - shared, 1e-9):
+                break
+        else:
+            kept.append(i)
+    return kept
+
+
+def test_survivors_are_those_of_all_comparisons():
+    rng = random.Random(5)
+    for most in (0.0, 0.1, 0.45, 0.9, 1.0):
+        for span in (30, 120):
+            boxes = []
+            for _ in range(300):
+                x, y, w, h = rng.randrange(-span, span), rng.randrange(span), rng.choice([0, 1, 3, 8, 20, 21, 90]), rng.choice([0, 0.5, 2, 8, 9, 40])
+                boxes.append((float(x), float(y), float(x + w), float(y + h)))
+            assert bx.survivors(boxes, most) == plain_suppression(boxes, most)
+
+
+def test_suppression(spark):
+    names = "image_id string, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int, row int, band map<string,int>"
+    rows = [
+        ("a", 0, 0.0, 0.0, 10.0, 10.0, 0.9, 0, 1, {"k": 1}), ("a", 1, 1.0, 1.0, 10.0, 10.0, 0.8, 1, None, None), ("a", 2, 20.0, 0.0, 30.0, 10.0, 0.7, 0, 2, None),
+        ("a", 3, 20.0, 0.0, 30.0, 10.0, 0.7, 0, 2, None), ("a", 4, 0.0, 0.0, 10.0, 10.0, None, 0, 2, None), ("a", 5, None, 0.0, 10.0, 10.0, 0.99, 0, 2, None),
+        (None, 0, 0.0, 0.0, 10.0, 10.0, 0.1, 0, 1, None), (None, 0, 0.0, 0.0, 10.0, 10.0, 0.1, 0, 1, None), ("b", 7, 0.0, 0.0, 10.0, 10.0, 0.1, None, 1, None),
+    ]
+    df = spark.createDataFrame(rows, names)
+    got = bx.suppress(df)
+    assert got.columns == df.columns
+    key = lambda r: (r.image_id or "", r.det_idx)
+    assert sorted(map(key, got.collect())) == [("", 0), ("a", 0), ("a", 2), ("a", 5), ("b", 7)]
+    assert [r.band for r in got.collect() if key(r) == ("a", 0)] == [{"k": 1}]
+    assert sorted(map(key, bx.suppress(df, per_class=True).collect())) == [("", 0), ("a", 0), ("a", 1), ("a", 2), ("a", 5), ("b", 7)]
+    assert bx.suppress(df.limit(0)).collect() == []
+
+
+def test_suppression_of_a_crowded_image():
+    rng = random.Random(2)
+    boxes = [(x, y, x + rng.uniform(5, 60), y + rng.uniform(4, 12)) for x, y in ((rng.uniform(0, 2000), rng.uniform(0, 3000)) for _ in range(50_000))]
+    start = time.perf_counter()
+    assert 20_000 < len(bx.survivors(boxes, 0.45)) < 50_000
+    assert time.perf_counter() - start < 60

@@ -10,7 +10,7 @@ from foliospark.functions import imaging as im
 from foliospark.operators import curation as cu
 from foliospark.operators import evaluation as ev
 from foliospark.operators import routing as ro
-from foliospark.operators.scoring import StandIn, augmented_images, cropped, image_records, loaded, mask_visuals, normalize_images, suppress
+from foliospark.operators.scoring import StandIn, augmented_images, cropped, image_records, loaded, mask_visuals, normalize_images
 from foliospark.plans.extraction import extract
 from foliospark.sources import files, readers, writers
 from foliospark.streaming import ingest
@@ -176,11 +176,6 @@ def test_logs_and_tables(spark, tmp_path):
     assert r"a\_b & 1 \\" in writers.latex_table([("a_b", 1)], ("n", "v"))
 
 
-def test_suppression(spark):
-    df = spark.createDataFrame([("a", 0, 0.0, 0.0, 10.0, 10.0, 0.9), ("a", 1, 1.0, 1.0, 10.0, 10.0, 0.8), ("a", 2, 20.0, 0.0, 30.0, 10.0, 0.7)], "image_id string, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double")
-    assert sorted(r.det_idx for r in suppress(df).collect()) == [0, 2]
-
-
 def test_stream_of_documents(spark, tmp_path):
     (tmp_path / "in").mkdir()
     doc = {"image": "a.jpg", "size": {"width": 10, "height": 10}, "bboxes": [[1, 2, 3, 4]], "class_ids": [0], "tokens": ["x"]}
