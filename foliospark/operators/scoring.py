@@ -17,6 +17,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +96,8 @@ def loaded(scorer: Scorer) -> Scorer:
     return _LOADED[key]  # type: ignore[return-value]
 
 
-def _map_batches(frame: DataFrame, columns: list[str], schema: str, scorer: Scorer, rows) -> DataFrame:
-    """rows(loaded scorer, rows of an Arrow batch) -> rows."""
+def _map_batches(frame: DataFrame, columns: list[str], schema: str, scorer: Scorer, rows, profile: ResourceProfile | None = None) -> DataFrame:
+    """rows(loaded scorer, rows of an Arrow batch) -> rows, in tasks of the resource profile, if there is one."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +111,7 @@ def _map_batches(frame: DataFrame, columns: list[str], schema: str, scorer: Scor
 
     nullable = [part.split()[0] for part in schema.split(", ") if part.split()[1] == "int"]
     bound_batches(frame.sparkSession, IMAGE_BATCH)
-    return frame.select(*columns).mapInPandas(run, schema)
+    return frame.select(*columns).mapInPandas(run, schema, profile=profile)
 
 
 def _gray_row(image: np.ndarray) -> tuple[int, int, bytes]:
@@ -161,7 +162,7 @@ def _batched(given: list, call) -> list:
         return _each(given, lambda x: call([x])[0])
 
 
-def normalize_images(images: DataFrame, scorer: Scorer, on_missing: str = "passthrough", min_conf: float = SEGMENT_CONF) -> DataFrame:
+def normalize_images(images: DataFrame, scorer: Scorer, on_missing: str = "passthrough", min_conf: float = SEGMENT_CONF, profile: ResourceProfile | None = None) -> DataFrame:
     """Segment, crop, turn upright, deskew and enhance.
 
     One row for every input: image_id, status (ok or error), error (one of
@@ -200,7 +201,7 @@ def normalize_images(images: DataFrame, scorer: Scorer, on_missing: str = "passt
         done = _each([x if isinstance(x, Exception) else (p, x) for p, x in zip(parts, logits)], lambda x: turned(*x))
         return [(r.image_id, "error", str(x)[:200], *[None] * 7) if isinstance(x, Exception) else (r.image_id, "ok", None, *x) for r, x in zip(given, done)]
 
-    return _map_batches(images, _IMAGE, "image_id string, status string, error string, rotation int, coarse_angle double, refined_angle double, best_score double, height int, width int, gray binary", scorer, rows)
+    return _map_batches(images, _IMAGE, "image_id string, status string, error string, rotation int, coarse_angle double, refined_angle double, best_score double, height int, width int, gray binary", scorer, rows, profile)
 
 
 def image_records(images: DataFrame, fail_on_error: bool = False) -> DataFrame:
@@ -260,17 +261,17 @@ def augmented_images(picks: DataFrame, images: DataFrame) -> DataFrame:
     return given.select("target_class", "source_class", "record_id", "rotation_applied", "height", "width", "channels", "data").mapInPandas(run, "target_class string, source_class string, record_id string, rotation_applied long, png binary")
 
 
-def detect_boxes(normalized: DataFrame, scorer: Scorer, min_conf: float = DETECTOR_CONF) -> DataFrame:
+def detect_boxes(normalized: DataFrame, scorer: Scorer, min_conf: float = DETECTOR_CONF, profile: ResourceProfile | None = None) -> DataFrame:
     """Boxes of normalized images; the threshold goes into the scorer, as no filter is pushed through Python."""
 
     def rows(net: Scorer, given: list) -> list[tuple]:
         images = [np.frombuffer(r.gray, np.uint8).reshape(int(r.height), int(r.width)) for r in given]
         return [(r.image_id, i, *b[:5], int(b[5]), int(r.width), int(r.height)) for r, found in zip(given, net.detect(images, min_conf)) for i, b in enumerate(found)]
 
-    return _map_batches(normalized.where("status = 'ok'"), ["image_id", "height", "width", "gray"], "image_id string, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int, width int, height int", scorer, rows)
+    return _map_batches(normalized.where("status = 'ok'"), ["image_id", "height", "width", "gray"], "image_id string, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int, width int, height int", scorer, rows, profile)
 
 
-def read_texts(normalized: DataFrame, boxes: DataFrame, scorer: Scorer) -> DataFrame:
+def read_texts(normalized: DataFrame, boxes: DataFrame, scorer: Scorer, profile: ResourceProfile | None = None) -> DataFrame:
     """Text of every box, "" for an empty crop: image_id, box_idx, text, prob. The boxes of a batch of images are read in one call."""
     held = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_idx", *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))))).alias("boxes"))
     joined = normalized.where("status = 'ok'").select("image_id", "height", "width", "gray").join(held, "image_id")
@@ -281,10 +282,10 @@ def read_texts(normalized: DataFrame, boxes: DataFrame, scorer: Scorer) -> DataF
         found = net.read([image[b["y1"] : b["y2"], b["x1"] : b["x2"]] for _, image, b in at])
         return [(image_id, int(b["box_idx"]), text, float(p)) for (image_id, _, b), (text, p) in zip(at, found)]
 
-    return _map_batches(joined, ["image_id", "height", "width", "gray", "boxes"], "image_id string, box_idx int, text string, prob double", scorer, rows)
+    return _map_batches(joined, ["image_id", "height", "width", "gray", "boxes"], "image_id string, box_idx int, text string, prob double", scorer, rows, profile)
 
 
-def tag_words(words: DataFrame, scorer: Scorer) -> DataFrame:
+def tag_words(words: DataFrame, scorer: Scorer, profile: ResourceProfile | None = None) -> DataFrame:
     """Logits of sub-tokens of the words with text: image_id, token_idx, word_id (null for special ones), logits."""
     held = words.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "text", "nx1", "ny1", "nx2", "ny2"))).alias("words"))
 
@@ -292,4 +293,4 @@ def tag_words(words: DataFrame, scorer: Scorer) -> DataFrame:
         pages = [([w["text"] for w in r.words], [(w["nx1"], w["ny1"], w["nx2"], w["ny2"]) for w in r.words]) for r in given]
         return [(r.image_id, i, word, [float(x) for x in logits]) for r, found in zip(given, net.tag(pages)) for i, (word, logits) in enumerate(found)]
 
-    return _map_batches(held, ["image_id", "words"], "image_id string, token_idx int, word_id int, logits array<double>", scorer, rows)
+    return _map_batches(held, ["image_id", "words"], "image_id string, token_idx int, word_id int, logits array<double>", scorer, rows, profile)

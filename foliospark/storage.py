@@ -55,6 +55,15 @@ def store(df: DataFrame, name: str, scoped: bool = True, by: tuple[str, ...] = (
     return out
 
 
+def stage_table(df: DataFrame, path: str) -> DataFrame:
+    """df as it is stored under path; written only if no run before has written it whole."""
+    spark = df.sparkSession
+    files, done = _located(spark, f"{path}/_SUCCESS")
+    if not files.exists(done):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop(table: DataFrame) -> None:
     """Remove a stored table, once nothing that is read later depends on it; any other is left alone."""
     if path := getattr(table, "stored_at", None):

@@ -10,8 +10,8 @@ from foliospark.functions import imaging as im
 from foliospark.operators import curation as cu
 from foliospark.operators import evaluation as ev
 from foliospark.operators import routing as ro
-from foliospark.operators.scoring import StandIn, augmented_images, cropped, image_records, loaded, mask_visuals, normalize_images
-from foliospark.plans.extraction import extract
+from foliospark.operators.scoring import StandIn, augmented_images, cropped, detect_boxes, image_records, loaded, mask_visuals, normalize_images, read_texts, tag_words
+from foliospark.plans.extraction import Settings, extract
 from foliospark.sources import files, readers, writers
 from foliospark.streaming import ingest
 
@@ -50,6 +50,58 @@ def test_images_end_to_end(spark, tmp_path):
     assert out["extracted"].columns == ["image_id", "entities", "texts", "joined"]
 
 
+def halting(folder):
+    """A scorer that notes each call of a model and cannot read while there is a file named halt."""
+
+    class Halting(StandIn):
+        def segment(self, images):
+            with open(f"{self.folder}/segmented", "a") as f:
+                f.write("x")
+            return super().segment(images)
+
+        def read(self, crops):
+            if __import__("os").path.exists(f"{self.folder}/halt"):
+                raise RuntimeError("halted")
+            return super().read(crops)
+
+    out = Halting()
+    out.folder = str(folder)
+    return out
+
+
+def test_stages_resume_from_stored_tables(spark, tmp_path):
+    page = receipt()
+    rows = [(name, True, 90, 70, 3, bytes(page.tobytes())) for name in "ab"]
+    images = spark.createDataFrame(rows, "image_id string, ok boolean, height int, width int, channels int, data binary").coalesce(1)
+    scorer, at = halting(tmp_path), f"file://{tmp_path}/stages"
+    (tmp_path / "halt").touch()
+    with pytest.raises(Exception, match="halted"):
+        extract(images, scorer, at=at)
+    calls = (tmp_path / "segmented").read_text()
+    (tmp_path / "halt").unlink()
+    out = extract(images, scorer, at=at)
+    assert (tmp_path / "segmented").read_text() == calls
+    want = extract(images, StandIn())
+    for name in ("texts", "tagged", "extracted"):
+        assert sorted(map(str, out[name].collect())) == sorted(map(str, want[name].collect()))
+    extract(images, scorer, Settings(on_missing="error"), at=at)  # other settings are other tables
+    assert len((tmp_path / "segmented").read_text()) > len(calls)
+
+
+def test_model_stages_carry_their_resources(spark):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    images = spark.createDataFrame([], "image_id string, ok boolean, height int, width int, channels int, data binary")
+    plan = lambda df: df._jdf.queryExecution().logical().numberedTreeString()
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(3)).build
+    normalized = normalize_images(images, StandIn(), profile=profile)
+    boxes = spark.createDataFrame([], "image_id string, box_idx int, x1 double, y1 double, x2 double, y2 double")
+    words = spark.createDataFrame([], "image_id string, word_id int, text string, nx1 int, ny1 int, nx2 int, ny2 int")
+    for df in (normalized, detect_boxes(normalized, StandIn(), profile=profile), read_texts(normalized, boxes, StandIn(), profile), tag_words(words, StandIn(), profile)):
+        assert "cpus, amount: 3.0" in plan(df).splitlines()[0]
+    assert "cpus" not in plan(normalize_images(images, StandIn()))
+
+
 def moody(masks):
     """A scorer with settings of its own that fails on dark images. Made here, so that workers need not import this module."""
 
