@@ -1,7 +1,8 @@
 """Image kernels in numpy, for use inside Arrow functions. Images are BGR or gray uint8 arrays.
 
-They follow published definitions; equality to the last bit with any imaging
-library is not claimed.
+They follow published definitions, and gray values, area means and the hash made
+of them the published rounding, too (see phash); for the others, equality to
+the last bit with any imaging library is not claimed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ import numpy as np
 # Channel statistics that classifiers expect, in RGB order.
 MEAN, STD = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
 
+# Weights of blue, green and red in a gray value, in parts of 2^15.
+GRAY_WEIGHTS = np.array([3735, 19235, 9798])
+
 
 def decode(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Pixels of Spark's image source."""
@@ -32,7 +36,7 @@ def to_bgr8(image: np.ndarray) -> np.ndarray:
 def gray(image: np.ndarray) -> np.ndarray:
     if image.ndim == 2:
         return image
-    return np.rint(to_bgr8(image) @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+    return ((to_bgr8(image) @ GRAY_WEIGHTS + (1 << 14)) >> 15).astype(np.uint8)
 
 
 def _area_weights(size: int, target: int) -> np.ndarray:
@@ -55,14 +59,27 @@ def dct2(block: np.ndarray) -> np.ndarray:
     return basis @ block @ basis.T
 
 
+def shrink(plain: np.ndarray, size: int) -> np.ndarray:
+    """Area means of a gray image as 8-bit values: halves go to the even neighbour, and up where exactly 2 x 2 pixels are one."""
+    means = np.round(resize_area(plain, size, size), 9)  # sums in another order are equal, too
+    return (np.floor(means + 0.5) if plain.shape == (2 * size, 2 * size) else np.rint(means)).astype(np.uint8)
+
+
 def hash_block(image: np.ndarray) -> np.ndarray:
     """The 64 lowest frequencies of the 32 x 32 gray image, row by row."""
-    return dct2(resize_area(gray(image), 32, 32))[:8, :8].ravel()
+    return dct2(shrink(gray(image), 32).astype(float))[:8, :8].ravel()
 
 
 def phash(image: np.ndarray) -> int:
+    """A bit for each frequency above the median of all but the first, whose bit is 0.
+
+    The 32 x 32 pixels are whole numbers, so frequencies that are equal by
+    symmetry are equal here, to six digits; a library that works in single
+    precision decides those by its rounding errors. Sides of less than 32
+    pixels are repeated, not interpolated.
+    """
     block = np.round(hash_block(image), 6)
-    bits = block > np.median(block[1:])
+    bits = block > np.partition(block[1:], 31)[31]
     bits[0] = False
     return int("".join("1" if b else "0" for b in bits), 2)
 

@@ -15,6 +15,30 @@ def test_canonical_hash_survives_rotation():
     assert 0 <= im.phash(image) < 1 << 63
 
 
+def test_gray_and_area_means_round_as_published():
+    pure = np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255], [1, 1, 1]]], np.uint8)
+    assert im.gray(pure).tolist() == [[29, 150, 76, 255, 1]]
+    tile = lambda cell, n: np.tile(np.array(cell, np.uint8), (n, n))
+    assert set(im.shrink(tile([[0, 1], [1, 0]], 32), 32).ravel()) == {1}  # one half, of 2 x 2 pixels: up
+    assert set(im.shrink(tile([[0, 1], [1, 0]], 64), 32).ravel()) == {0}  # one half, of 4 x 4: to the even one
+    assert set(im.shrink(tile([[1, 2], [2, 1]], 64), 32).ravel()) == {2}
+    assert set(im.shrink(tile([[0, 0, 4], [4, 4, 4], [4, 4, 4]], 32), 32).ravel()) == {3}  # 28 / 9
+
+
+def test_hashes_worked_out_by_hand():
+    # A step from dark to light has the odd frequencies across it only: the third and seventh above 0, the first and fifth below.
+    step = np.zeros((32, 32, 3), np.uint8)
+    step[:, 16:] = 200
+    want = {0: 0x1100000000000000, 90: 0x0000008000000080, 180: 0x4400000000000000, 270: 0x0080000000800000}
+    for size in (1, 2, 5):
+        large = step.repeat(size, axis=0).repeat(size, axis=1)
+        assert {a: im.phash(im.rotate_label(large, a)) for a in want} == want
+        assert {im.canonical_phash(im.rotate_label(large, a)) for a in want} == {0x0000008000000080}
+    assert im.phash(np.full((40, 50, 3), 90, np.uint8)) == 0
+    for h, w in ((33, 47), (64, 64), (101, 64), (31, 200)):
+        assert len({im.canonical_phash(im.rotate_label(picture(h, w, h), a)) for a in (0, 90, 180, 270)}) == 1
+
+
 def test_rotate_label_is_clockwise():
     assert im.rotate_label(np.array([[1, 2], [3, 4]]), 90).tolist() == [[3, 1], [4, 2]]
     with pytest.raises(ValueError):
