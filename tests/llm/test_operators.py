@@ -220,6 +220,22 @@ def test_pruned_search_equals_scoring_everything():
             assert [(round(-s, 6), d) for s, d in held.held] == want
 
 
+def test_shards_hold_one_language(spark):
+    """Queries meet few postings in shards of other languages, and skip their blocks."""
+    rng = random.Random(4)
+    of = lambda x, n: " ".join([f"{x}0"] * 9 + [f"{x}{rng.randint(1, 40)}" for _ in range(n)])
+    corpus = [(i, of("abc"[i % 3], rng.randint(1, 30))) for i in range(600)] + [(600, None), (601, ""), (602, "other")]
+    d = docs(spark, corpus).coalesce(1)
+    index = search.build_index(d, 400).collect()
+    held = [np.frombuffer(r.doc_ids, np.int64).tolist() for r in index]
+    assert sorted(i for h in held for i in h) == [i for i, _ in corpus]
+    assert sorted(len(h) for h in held) == [3, 200, 200, 200]
+    assert all(len({i % 3 for i in h}) == 1 for h in held if len(h) == 200)
+    assert sum(r.total for r in index) == sum(len((t or "").split()) for _, t in corpus) and sum(r.n for r in index) == len(corpus)
+    got = {(r.query_id, r.rank, r.doc_id) for r in search.bm25_search(d.where("doc_id % 20 = 0"), d, k=5).collect()}
+    assert got == brute_bm25([(i, t or "") for i, t in corpus], 5)
+
+
 def test_search_of_awkward_rows(spark):
     rows = [(i, t[:2000] if t else t) for i, t in awkward()] + [(20, None), (40, ""), (60, "one"), (60, "ok")]
     d = docs(spark, rows)
